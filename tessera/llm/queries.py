@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_rules, quality_rules_sql, simhash, tokens
+from tessera.llm import chat, packing, quality_rules, quality_rules_sql, simhash, tokens
 from tessera.llm.common import table
 
 
@@ -26,6 +28,32 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What formatted conversations say, from their text and spans alone."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for batch in batches:
+        rows = []
+        for key, text, spans in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "spans")), strict=True):
+            turns = chat.read_turns(text)
+            loss = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in spans)
+            rows.append((key, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if n.endswith("sha256") else pa.int64()) for c, n in zip(zip(*rows, strict=True), [c.split()[0] for c in READ_BACK.split(", ")], strict=True)],
+                names=[c.split()[0] for c in READ_BACK.split(", ")],
+            )
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    one = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat.format_conversations(turns.unionByName(one)).mapInArrow(read_back, READ_BACK)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = table(spark, sf_dir, "documents").select("doc_id", tokens.encode_column(F.col("text")).alias("ids"))
     decoded = encoded.select("doc_id", "ids", tokens.decode_column(F.col("ids")).alias("bytes"))
@@ -41,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
