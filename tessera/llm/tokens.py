@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,32 +32,41 @@ class WordTokenizer:
     """Ids of texts by a tokenizer file whose pre-tokenizer never joins across white space.
 
     Texts are cut at spaces and line ends; each distinct chunk goes to the library
-    once and is then looked up.  The store is emptied when it holds ``keep`` chunks,
-    and chunks of over 64 characters are never kept, so its size is bounded."""
+    once and is then looked up.  At most ``keep`` chunks and those of one call are
+    held: beyond that the later half goes, as frequent chunks are met early.  ASCII
+    texts are lower-cased first, where ``lowercase`` says that the file does so
+    itself, so that fewer chunks are distinct."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # control strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.lowercase = '"type":"Lowercase"' in self.library.to_str()
         self.keep, self.known = keep, {}
 
+    def _chunks(self, text: str | None) -> list[str]:
+        text = (text or "").replace("\n", " ")
+        return (text.lower() if self.lowercase and text.isascii() else text).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; a null text is empty."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut = list(map(self._chunks, texts))
         new = list(set(chain.from_iterable(cut)).difference(self.known))
         if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = list(set(chain.from_iterable(cut)))
-        ids = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known = self.known | ids if len(ids) > self.keep else self.known
-        known.update(ids)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype) for words in cut]
-        for w in ids:
+            self.known = dict(islice(self.known.items(), self.keep // 2))
+            new = list(set(chain.from_iterable(cut)).difference(self.known))
+        code = self.code
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = array(code, e.ids).tobytes()
+        known = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(known, words)), self.dtype) for words in cut]
+        for w in new:
             if len(w) > 64:
-                known.pop(w, None)
+                del self.known[w]
         return out
 
 
