@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, packing, quality_rules, quality_rules_sql, simhash, tokens, url_filter
+from tessera.llm import chat, classifier, packing, quality_rules, quality_rules_sql, simhash, tokens, url_filter
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns.unionByName(one)).mapInArrow(read_back, READ_BACK)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = table(spark, sf_dir, "documents").select("doc_id", tokens.encode_column(F.col("text")).alias("ids"))
     decoded = encoded.select("doc_id", "ids", tokens.decode_column(F.col("ids")).alias("bytes"))
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_url_filter": op10_url_filter,
 }
