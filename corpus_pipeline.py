@@ -1,23 +1,50 @@
-"""Corpus pipeline: quality rules, quality classifier, near-duplicates, packing."""
+"""Corpus pipeline: quality rules, quality classifier, near-duplicates, packing.
+
+Each stage takes what its predecessor kept, whole, and its decisions take effect."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import classifier, packing, quality_rules, simhash
+from tessera.llm.common import bound_batches, table
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the certified cutoffs reject go."""
+    return quality_rules.rejected_removed(docs, table(spark, sf_dir, "labels"))
+
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below the cutoff go."""
+    bound_batches(spark)
+    return classifier.rejected_removed(docs, table(spark, sf_dir, "labels"))
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id."""
+    bound_batches(spark)
     return simhash.near_duplicates_removed(docs)
 
 
-STAGES = [("simhash_dedup", simhash_dedup)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their ids: what a trainer reads."""
+    bound_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", classifier_stage),
+    ("simhash_dedup", simhash_stage),
+    ("packing", packing_stage),
+]
+#: fingerprints by XXH64, a fitted model and a tokenizer are beyond SQL; tests/llm/test_pipeline.py has a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

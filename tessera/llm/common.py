@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 16 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table.  Batches for Python are held to BATCH_BYTES, whatever the length of a text."""
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python are held to BATCH_BYTES, whatever the length of a text."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
