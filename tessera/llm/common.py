@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable, for n nodes and the links a-b."""
+    root = np.arange(n)
+    while a.size:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while True:
+            jump = root[root]
+            if np.array_equal(jump, root):
+                break
+            root = jump
+        if np.array_equal(before, root):
+            break
+    return root

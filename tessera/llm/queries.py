@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, classifier, packing, quality_rules, quality_rules_sql, simhash, tokens, url_filter
+from tessera.llm import chat, classifier, embedding_dedup, packing, quality_rules, quality_rules_sql, simhash, tokens, url_filter
 from tessera.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 #: (verdict, host, path prefix)
 URL_RULES = [
     ("allow", "com", "/"),
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut
+from tessera.llm.common import connected_components, cut, roots
 
 TILE = 1024
 MAX_BITS = 3
@@ -80,26 +80,6 @@ def _keys(fp: str) -> Column:
     return F.expr(f"array({', '.join(out)})")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable, for n nodes and the links a-b."""
-    root = np.arange(n)
-    while a.size:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        while True:
-            jump = root[root]
-            if np.array_equal(jump, root):
-                break
-            root = jump
-        if np.array_equal(before, root):
-            break
-    return root
-
-
 def _close(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs of x and y that differ in at most ``bits`` bits, in strips of bounded size."""
     out = []
@@ -121,7 +101,7 @@ def _forest(bits: int):
                 if len(fps) > 2:
                     x = np.unique(np.asarray(fps, np.int64))
                     a, b = _close(x.view(np.uint64), x.view(np.uint64), bits)
-                    root = _roots(len(x), a[a < b], b[a < b])
+                    root = roots(len(x), a[a < b], b[a < b])
                     off = np.nonzero(root != np.arange(len(x)))[0]
                     got.append(np.stack([x[off], x[root[off]]], axis=1))
             e = np.concatenate(got)
