@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, classifier, embedding_dedup, packing, quality_rules, quality_rules_sql, simhash, tokens, url_filter
+from tessera.llm import chat, classifier, embedding_dedup, language_id, packing, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter
 from tessera.llm.common import table
 
 
@@ -54,6 +54,16 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(turns.unionByName(one)).mapInArrow(read_back, READ_BACK)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document gets four edits: a cut, an insertion, a letter within a word, a new ending."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    at = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n + 1)
+    edit = lambda start, end, text: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(text).alias("text"))
+    edits = F.array(edit(at(1), at(1) + 40, ""), edit(at(2), at(2), " [note 1] "), edit(at(3), at(3), "x"), edit(n - 10, F.lit(None), "\nEnd."))
+    return token_counts.edited_counts(docs, edits)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +83,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path prefix)
 URL_RULES = [
     ("allow", "com", "/"),
@@ -111,9 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
 
