@@ -104,19 +104,17 @@ def _descend(gradient, size: int, steps: int, rate: float = 0.02) -> np.ndarray:
     return w
 
 
-def _with_bias(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x, np.ones((len(x), 1))])
-
-
 def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150, confidence: float = 0.1) -> float:
-    """The share of positives in u, from standardised features of positives and unlabelled rows."""
-    a, b = _with_bias(p[::2]), _with_bias(u[::2])
+    """The share of positives in u, from standardised features of positives and unlabelled rows; the last column is 1."""
+    a, b = p[::2], u[::2]
 
     def gradient(w):
-        return -(a.T @ (1 - _sigmoid(a @ w))) / len(a) + (b.T @ _sigmoid(b @ w)) / len(b) + 1e-3 * w
+        w32 = w.astype(np.float32)
+        return -((1 - _sigmoid(a @ w32)) @ a) / len(a) + (_sigmoid(b @ w32) @ b) / len(b) + 1e-3 * w
 
     w = _descend(gradient, a.shape[1], steps)
-    ps, us = np.sort(_with_bias(p[1::2]) @ w), np.sort(_with_bias(u[1::2]) @ w)
+    w32 = w.astype(np.float32)
+    ps, us = np.sort(p[1::2] @ w32), np.sort(u[1::2] @ w32)
     if not len(ps) or not len(us):
         return 0.5
     cuts = ps[: max(1, int(0.5 * len(ps)))]  # tails with at least half of the positives
@@ -127,28 +125,36 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150, confidence: f
     return float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
 
 
+def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Clipped standard scores and a column of ones, in single precision; a strip at a time."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    for k in range(0, len(x), 1024):
+        out[k : k + 1024, :-1] = np.clip((x[k : k + 1024] - mean) / scale, -8, 8)
+    return out
+
+
 def fit(p: np.ndarray, u: np.ndarray, steps: int = 400, l2: float = 3e-4) -> Model:
-    """A model from features of positives and of unlabelled documents.
+    """A model from features (single precision) of positives and of unlabelled documents.
 
     Without one or the other every document gets the score 0.5."""
     if not len(p) or not len(u):
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5)
     mean, scale = u.mean(axis=0, dtype=np.float64), u.std(axis=0, dtype=np.float64) + 1e-3
-    ps, us = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
-    prior = estimate_prior(ps, us)
-    a, b = _with_bias(ps), _with_bias(us)
+    a, b = _standardised(p, mean, scale), _standardised(u, mean, scale)
+    prior = estimate_prior(a, b)
 
     def gradient(w):
-        za, zb = a @ w, b @ w
-        sa, sb = _sigmoid(za), _sigmoid(zb)
+        w32 = w.astype(np.float32)
+        za, zb = (a @ w32).astype(np.float64), (b @ w32).astype(np.float64)
+        sa, sb = _sigmoid(za).astype(np.float32), _sigmoid(zb).astype(np.float32)
         # losses: l(+) = log(1 + exp(-z)), l(-) = log(1 + exp(z))
         negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        g_negative = (b.T @ sb) / len(b) - prior * (a.T @ sa) / len(a)
+        g_negative = (sb @ b) / len(b) - prior * (sa @ a) / len(a)
         if negative < 0:
             return -g_negative  # step back from a negative risk
         decay = l2 * w
         decay[-1] = 0
-        return -prior * (a.T @ (1 - sa)) / len(a) + g_negative + decay
+        return -prior * ((1 - sa) @ a) / len(a) + g_negative + decay
 
     w = _descend(gradient, a.shape[1], steps)
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
@@ -162,9 +168,9 @@ def _features_of(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["positive", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["chosen", "x"])
 
-    return texts.mapInArrow(run, "positive boolean, x binary")
+    return texts.mapInArrow(run, "chosen long, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -178,9 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     marked = ids.join(known.withColumn("labelled", F.lit(True)), "doc_id", "left").select("doc_id", "low", "labelled", F.xxhash64("doc_id", F.lit(17)).alias("h"))
     some = lambda rows, n, positive: rows.orderBy("h", "doc_id").limit(n).select(F.col("doc_id").alias("chosen"), F.lit(positive).alias("positive"))
     sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(marked.where("labelled IS NULL"), max_unlabelled, False)))
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("chosen")).select("positive", docs["text"], "chosen")  # bounded by the two limits
-    rows = _features_of(texts.dropDuplicates(["chosen"]).select("positive", "text")).collect()
-    matrix = lambda positive: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["positive"] == positive], np.float64).reshape(-1, SIZE)
+    texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"], "positive")  # bounded by the two limits
+    positive = {r["chosen"]: r["positive"] for r in sample.collect()}
+    rows = sorted((r["chosen"], bytes(r["x"])) for r in _features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text")).toLocalIterator())  # a partition at a time; in order, so that fits can be repeated
+    matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if positive[k] == kind), np.float32).reshape(-1, SIZE)
     return fit(matrix(True), matrix(False))
 
 

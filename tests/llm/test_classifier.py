@@ -33,7 +33,8 @@ def test_prior_of_a_mixture():
         n = int(6000 * prior)
         u = np.vstack([rng.normal(0, 1, (n, 5)), rng.normal(2.5, 1, (6000 - n, 5))])
         u = u[rng.permutation(len(u))]
-        assert C.estimate_prior(p, u) == pytest.approx(prior, abs=0.06)
+        ones = lambda x: np.hstack([x, np.ones((len(x), 1))])
+        assert C.estimate_prior(ones(p), ones(u)) == pytest.approx(prior, abs=0.06)
 
 
 def test_risk_is_not_negative_and_model_separates():
