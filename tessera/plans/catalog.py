@@ -1,4 +1,4 @@
-"""name -> (query, SQL) of the operators outside the llm subpackage."""
+"""name -> query and name -> SQL of the operators outside the llm subpackage."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import curation
+
+_MODULES = (curation,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLE_SQL.items()}
