@@ -118,7 +118,7 @@ def alert_states(windows: DataFrame, key: str, time: str, breach: str, hold_seco
     island = F.sum(F.when(F.col(breach), 0).otherwise(1)).over(w)
     marked = windows.withColumn("__island", island)
     since = F.min(F.when(F.col(breach), F.col(time))).over(Window.partitionBy(key, "__island"))
-    held = F.unix_seconds(F.col(time)) - F.unix_seconds(since)
+    held = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(since.cast("timestamp"))
     return marked.withColumn("alert", F.when(~F.col(breach), "inactive").when(held >= hold_seconds, "firing").otherwise("pending")).drop("__island")
 
 
