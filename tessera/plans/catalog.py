@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import curation, encoding, requests, scoring
+from tessera.plans import checks, curation, encoding, requests, scoring
 
-_MODULES = (curation, encoding, scoring, requests)
+_MODULES = (curation, encoding, scoring, requests, checks)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLE_SQL.items()}

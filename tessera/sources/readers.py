@@ -6,7 +6,7 @@ import json
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -167,3 +167,23 @@ def verify_files(spark: SparkSession, path: str, expected: dict[str, str]) -> Da
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
     want = spark.createDataFrame(sorted(expected.items()), "name string, expected string")
     return want.join(files, "name", "left").where("found IS NULL OR found <> expected")
+
+
+def load_split(spark: SparkSession, path: str) -> DataFrame:
+    """Encoded rows of a parquet split; rows that break the invariants of training rows, or repeat an id, are errors."""
+    from tessera.operators.encode import valid_row
+
+    rows = spark.read.parquet(path)
+    require(rows.where(~valid_row(F.col("input_ids"), F.col("attention_mask"), F.col("labels"))).select("id"), "invalid rows")
+    require(rows.groupBy("id").count().where("count > 1"), "repeated ids")
+    return rows
+
+
+def canonical_json(value: Column) -> Column:
+    """A struct column as JSON with sorted keys and no spaces, at every level; NaN and infinities are errors."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(strict_json(t), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+    return of(F.to_json(value, {"ignoreNullFields": "false"}))

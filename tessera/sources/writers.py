@@ -99,3 +99,9 @@ def tar_bytes(files: dict[str, bytes]) -> bytes:
             info.size, info.mtime, info.mode = len(files[name]), 0, 0o644
             tar.addfile(info, io.BytesIO(files[name]))
     return out.getvalue()
+
+
+def write_split(rows: DataFrame, path: str, metadata: dict[str, Any]) -> None:
+    """Encoded rows as parquet with a metadata document beside them."""
+    rows.write.mode("overwrite").parquet(path)
+    write_json_atomic(path.rstrip("/") + ".json", metadata)
