@@ -1,7 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+# Python workers import the package from here, wherever pytest is started
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parents[1]), *filter(None, [os.environ.get("PYTHONPATH")])])
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = (
