@@ -105,3 +105,13 @@ def test_components_of_a_long_path(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1001), (None, 5)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+def test_a_hot_fingerprint_and_a_hot_crowd(spark):
+    """A third of the rows share a text, and another third differ in a word each."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "the same text again and again") for i in range(150)]
+    rows += [(1000 + i, " ".join(words[: i % 60] + [f"x{i}"] + words[i % 60 :])) for i in range(150)]
+    rows += [(5000 + i, " ".join(f"{i}-{k}" for k in range(30))) for i in range(150)]
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], DOCS).repartition(7)
+    assert got(simhash.simhash_components(docs)) == held(docs.collect())

@@ -64,7 +64,8 @@ def test_query_against_brute_force(spark):
 
 def test_edges(spark):
     rows = [(1, None, None), (None, "", [(0, 0, "a b")]), (2, "a b c", [None, (None, None, " d"), (1, None, None), (-5, 99, "new")]), (3, "w " * 300_000, [(10, 20, "x" * 5000)]), (2, "a b c", [])]
-    df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}")
+    rows = [(*r, 1, "x") for r in rows]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}, n_tokens long, id string")
     out = token_counts.edited_counts(df, df["edits"]).collect()
     assert sorted((r["n_edits"], r["n_chars_edited"]) for r in out) == sorted([(0, 0), (1, 3), (4, 3), (1, 604_990), (0, 5)])
     assert token_counts.edited_counts(df.limit(0), df["edits"]).count() == 0
