@@ -16,12 +16,10 @@ of equals; where none is certified, or none gains, the rule is off.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -40,11 +38,6 @@ DELTA = 0.1
 BROADCAST_STRATA = 10_000
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value evaluated once, also where ``use`` has lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _repeat_words(w: Column) -> Column:
     """Words in windows of 8 that occur twice or more in the words ``w``; n log n in their number."""
     hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, F.lit(8))))
@@ -145,14 +138,16 @@ def stratum(lang: Column) -> Column:
     return F.coalesce(lang, F.lit(""))
 
 
-def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``; ``cutoffs`` as by thresholds()."""
+def _kept(m: Column) -> Column:
+    """The verdict on measures ``m``, next to the columns of cutoffs."""
+    fails = [F.coalesce(1000 * m[a] > F.col(r) * m[b], F.lit(False)) for r, (a, b) in RULES.items()]
+    return ~(base_failed(m) | fails[0] | fails[1] | fails[2] | fails[3])
+
+
+def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     c = cut(cutoffs.withColumnRenamed("stratum", "__stratum"))
     small = c.count() <= BROADCAST_STRATA
-    joined = measured.join(F.broadcast(c) if small else c, F.col("stratum") == F.col("__stratum"), "left")
-    over = [F.coalesce(1000 * F.col("m")[a] > F.col(r) * F.col("m")[b], F.lit(False)) for r, (a, b) in RULES.items()]
-    fails = over[0] | over[1] | over[2] | over[3]
-    return joined.withColumn("base_failed", base_failed(F.col("m"))).withColumn("kept", ~F.col("base_failed") & ~fails).drop("__stratum", *RULES)
+    return rows.join(F.broadcast(c) if small else c, F.col("stratum") == F.col("__stratum"), "left")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -162,7 +157,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     thresholds; without labels only the base rules hold."""
     measured = cut(docs.select(F.col("doc_id").alias("id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m")))
     cutoffs = thresholds(measured, labels.select(F.col("doc_id").alias("id"), "quality"), **options)
-    return judged(measured, cutoffs).select(F.col("id").alias("doc_id"), "m", "base_failed", "kept")
+    return _with_cutoffs(measured, cutoffs).select(F.col("id").alias("doc_id"), "m", base_failed(F.col("m")).alias("base_failed"), _kept(F.col("m")).alias("kept"))
 
 
 def rejected_removed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -171,5 +166,6 @@ def rejected_removed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     The texts are measured a second time rather than shuffled."""
     measured = docs.select(F.col("doc_id").alias("id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"))
     cutoffs = thresholds(cut(measured), labels.select(F.col("doc_id").alias("id"), "quality"), **options)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"))
-    return judged(rows, cutoffs).where("kept").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), stratum(F.col("lang")).alias("stratum"), F.col("text").alias("text"))
+    # bound within one expression: a filter on measures in a column would measure again for each part that moves below the join
+    return _with_cutoffs(rows, cutoffs).where(let(measures(F.col("text")), _kept)).select("row.*")
