@@ -106,6 +106,11 @@ def canonical_options(text: Column) -> Column:
     return of(text)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, also where ``use`` has lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words of letters, digits and underscores in any script, lower-cased; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
@@ -122,6 +127,19 @@ def shingles_of(word_array: Column, size: int) -> Column:
     return F.when(n >= size, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(word_array, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(text: Column, size: int) -> Column:
+    """The shingles as sorted distinct 64-bit hashes."""
+    if size < 1:
+        raise ValueError("a shingle has at least one word")
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+        return F.when(n >= size, F.array_sort(F.array_distinct(runs))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words(text), of)
+
+
 def label_set(text: Column) -> Column:
     """A comma-separated list as a set of normalised labels."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.lower(squeeze(x)))

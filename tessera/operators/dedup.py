@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import shingles_of, words
+from tessera.functions.text import shingle_hashes
 from tessera.session import cut
 
 
@@ -15,14 +15,23 @@ def check_threshold(t: float) -> float:
     return float(t)
 
 
-def exact_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """``rows`` with ``is_duplicate``: true for all but the first row, by ``order``, of each key.
+def duplicate_marks(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """``(<order>, is_duplicate)``: true for all but the first row, by ``order``, of each key; a null key is empty.
+
+    The key is taken once, as a digest, and only digests are shuffled.  The first of
+    each comes from a grouped minimum, partly summed before the shuffle: a key with
+    very many rows is no trouble."""
+    keyed = cut(rows.select(order, F.sha2(F.coalesce(key, F.lit("")), 256).alias("__key")))
+    first = cut(keyed.groupBy("__key").agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1"))  # keys met once have no part in the join
+    marked = keyed.join(first, "__key", "left")
+    return marked.select(order, F.coalesce(F.col(order) != F.col("__first"), F.lit(False)).alias("is_duplicate"))
 
-    The first of each key comes from a grouped minimum, which is partly summed
-    before the shuffle: a key with very many rows is no trouble."""
-    keyed = rows.withColumn("__key", F.sha2(F.coalesce(key, F.lit("")), 256))
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
-    return keyed.join(first, "__key").withColumn("is_duplicate", F.col(order) != F.col("__first")).drop("__key", "__first")
+
+def exact_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """``rows`` with ``is_duplicate``; ``order`` identifies a row.  The ids of duplicates are joined, not the texts."""
+    gone = duplicate_marks(rows, key, order).where("is_duplicate").select(F.col(order).alias("__gone")).distinct()
+    joined = rows.join(gone, F.col(order) == F.col("__gone"), "left")
+    return joined.withColumn("is_duplicate", F.col("__gone").isNotNull()).drop("__gone")
 
 
 def keyed_first(rows: DataFrame, key: str, content: list[Column]) -> DataFrame:
@@ -34,15 +43,22 @@ def keyed_first(rows: DataFrame, key: str, content: list[Column]) -> DataFrame:
 
 def shingle_sets(rows: DataFrame, id_col: str, text: Column, size: int = 4) -> DataFrame:
     """``(id, s, n)``: distinct shingles as sorted 64-bit hashes and their number; cut off from the text."""
-    spelled = cut(rows.select(F.col(id_col).alias("id"), words(text).alias("w")))
-    hashed = cut(spelled.select("id", shingles_of(F.col("w"), size).alias("s")))
-    return cut(hashed.select("id", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("s")).withColumn("n", F.size("s").cast("long")))
+    return cut(rows.select(F.col(id_col).alias("id"), shingle_hashes(text, size).alias("s"))).withColumn("n", F.size("s").cast("long"))
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """``(h, f)``: shingles of two sets or more and of how many."""
+    return cut(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
+
 
+def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """Of the rarest n - ceil(t n) + 1 shingles of each set those that are in ``common``: two sets that are similar share one of them.
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """The rarest n - ceil(t n) + 1 shingles of each set: two sets that similar share one of them."""
-    ranked = sets.select("id", "n", F.explode("s").alias("h")).join(frequency, "h")
-    position = F.row_number().over(Window.partitionBy("id").orderBy("f", "h"))
+    Shingles of one set only come first in the order and need no place in it: they are
+    counted, not sorted."""
+    ranked = sets.select("id", "n", F.explode("s").alias("h")).join(common, "h")
+    mine = Window.partitionBy("id")
+    position = F.row_number().over(mine.orderBy("f", "h")) + F.col("n") - F.count("*").over(mine)
     return ranked.withColumn("p", position).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "h")
 
 
@@ -74,8 +90,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     classes = cut(keyed.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
     member = cut(keyed.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
     rare = classes.where("n > 0")
-    frequency = rare.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f"))
-    prefix = cut(_prefixes(rare, frequency, t))
+    prefix = cut(_prefixes(rare, _common(rare), t))
     shared = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lively = prefix.join(shared, "h")
     left, right = lively.select("h", F.col("id").alias("a"), F.col("n").alias("na")), lively.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
@@ -91,9 +106,9 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
 def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar."""
     t = check_threshold(threshold)
-    frequency = cut(left.unionAll(right).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")))
-    a = _prefixes(left, frequency, t).select("h", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = _prefixes(right, frequency, t).select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
+    common = _common(left.unionAll(right))
+    a = _prefixes(left, common, t).select("h", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = _prefixes(right, common, t).select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     candidates = a.join(b, "h").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
     empty = left.where("n = 0").select(F.col("id").alias("a"), "n").join(right.where("n = 0").select(F.col("id").alias("b"), "n"), "n").select("a", "b", F.lit(1.0).alias("jaccard"))
     return _verified(candidates, left, right, t).unionAll(empty)

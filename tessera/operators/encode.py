@@ -76,19 +76,26 @@ def valid_row(input_ids: Column, mask: Column, labels: Column) -> Column:
 
 
 def first_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of indices: longest first, equal ones in order, each into the first bin with room."""
-    room: list[int] = []
+    """Bins of indices: longest first, equal ones in order, each into the first bin with room.
+
+    The first bin with room comes from a tree of maxima: n log n in all."""
+    leaves = 1 << max(0, (len(lengths) - 1).bit_length())
+    room = [size] * (2 * leaves)  # a bin that is not open yet has all its room
     bins: list[list[int]] = []
     for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         n = lengths[i]
         if n > size:
             raise ValueError(f"an item of {n} does not fit into bins of {size}")
-        k = next((k for k, r in enumerate(room) if r >= n), len(bins))
-        if k == len(bins):
+        at = 1
+        while at < leaves:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        if at - leaves == len(bins):
             bins.append([])
-            room.append(size)
-        bins[k].append(i)
-        room[k] -= n
+        bins[at - leaves].append(i)
+        room[at] -= n
+        while at > 1:
+            at >>= 1
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return bins
 
 

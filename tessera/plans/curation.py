@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ident, stats, text
 from tessera.operators import dedup, quality, sampling, split
-from tessera.session import cut, table
+from tessera.session import cut, spread, table
 
 THRESHOLD = 0.85
 BENCHMARK_SHARE = 0.5
@@ -34,7 +34,7 @@ def sql_shingles(w: str, k: int = 4) -> str:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def label_array() -> Column:
@@ -248,7 +248,7 @@ BLOCKLIST = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT item
 
 def exact_dedup(spark, sf):
     """The flagship: documents by normalised text, the first by id stays."""
-    return dedup.exact_duplicates(docs(spark, sf).select("doc_id", "text"), text.normalize_text(F.col("text")), "doc_id").select("doc_id", "is_duplicate")
+    return dedup.duplicate_marks(docs(spark, sf), text.normalize_text(F.col("text")), "doc_id")
 
 
 EXACT_DEDUP = f"SELECT doc_id, row_number() OVER (PARTITION BY {norm('text')} ORDER BY doc_id) > 1 AS is_duplicate FROM documents"
@@ -320,7 +320,7 @@ def minhash_signatures(spark, sf):
 
 
 def _sets_of(spark, sf, name, key):
-    return dedup.shingle_sets(table(spark, sf, name), key, F.col("text"))
+    return dedup.shingle_sets(spread(table(spark, sf, name)), key, F.col("text"))
 
 
 def contamination_report(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ident
 from tessera.operators import encode
-from tessera.session import cut, table
+from tessera.session import cut, spread, table
 
 LIMIT = 320
 WORD = r"(?U)\s+"
@@ -127,7 +127,7 @@ SELECT conv_id, batch, CAST(width AS BIGINT) AS width, array_to_string(list_conc
 def lexical_summary(spark, sf):
     """Whitespace tokens of documents, capped at 256 each."""
     n = F.size(encode.whitespace_tokens(F.col("text")))
-    return table(spark, sf, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.least("n", F.lit(256))).alias("tokens"), F.count_if(F.col("n") > 256).alias("truncated"))
+    return spread(table(spark, sf, "documents")).select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.least("n", F.lit(256))).alias("tokens"), F.count_if(F.col("n") > 256).alias("truncated"))
 
 
 LEXICAL_SUMMARY = r"""
@@ -138,7 +138,7 @@ SELECT lang, count(*) AS rows, sum(least(n, 256)) AS tokens, count(*) FILTER (n
 
 def _packed(spark, sf) -> DataFrame:
     n = F.least(F.size(encode.whitespace_tokens(F.col("text"))), F.lit(LIMIT))
-    rows = table(spark, sf, "documents").select("doc_id", n.alias("n")).where("n > 0")
+    rows = spread(table(spark, sf, "documents")).select("doc_id", n.alias("n")).where("n > 0")
     # about ten thousand rows a shard, whatever the table holds
     shards = max(1, rows.count() // 10_000)
     return encode.pack(rows, "doc_id", "n", LIMIT, shards)

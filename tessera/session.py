@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks than there are, as one small file does.
+
+    Inputs of any size worth a cluster make more tasks than cores and stay as they are:
+    they are never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder the cluster names in spark.checkpoint.dir and goes on from there.
 
