@@ -79,30 +79,43 @@ def _close_sizes(a: str, b: str, t: float) -> Column:
     return (F.col(b) >= F.ceil(F.col(a) * F.lit(t) - 1e-9)) & (F.col(a) >= F.ceil(F.col(b) * F.lit(t) - 1e-9))
 
 
-def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``(a, b, jaccard)`` with a < b: all pairs of ``sets(id, s, n)`` at least that similar.
+def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): ``(a, b, jaccard)`` between classes of equal sets at least that similar, a < b, and ``(id, class)``.
 
-    Exact: prefix filter over shingles from rare to frequent, length filter, then the
-    sets themselves.  Equal sets are joined as one class and expanded last; empty sets
-    are equal to each other."""
+    A class is named by its smallest id; empty sets are equal to each other.  Exact:
+    prefix filter over shingles from rare to frequent, length filter, then the sets
+    themselves.  Copies are never paired with each other, however many there are."""
     t = check_threshold(threshold)
-    keyed = sets.withColumn("k", F.xxhash64("s"))
-    classes = cut(keyed.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-    member = cut(keyed.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
+    classes = cut(sets.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    member = cut(sets.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
     rare = classes.where("n > 0")
     prefix = cut(_prefixes(rare, _common(rare), t))
-    shared = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    lively = prefix.join(shared, "h")
-    left, right = lively.select("h", F.col("id").alias("a"), F.col("n").alias("na")), lively.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
+    left, right = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     candidates = left.join(right, "h").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
-    of_classes = _verified(candidates, rare, rare, t)
-    # between classes, each member of one with each of the other; within a class, all pairs
+    return cut(_verified(candidates, rare, rare, t)), member
+
+
+def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``(a, b, jaccard)`` with a < b: all pairs of ``sets(id, s, n)`` at least that similar, copies written out.
+
+    Their number is the square of a class of copies: where only components, links or
+    removals are wanted, similar_classes() has it all without that."""
+    pairs, member = similar_classes(sets, threshold)
     ends = member.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    across = of_classes.join(member.select(F.col("id").alias("x"), F.col("class").alias("a")), "a").join(ends, "b").select("x", "y", "jaccard")
+    across = pairs.join(member.select(F.col("id").alias("x"), F.col("class").alias("a")), "a").join(ends, "b").select("x", "y", "jaccard")
     within = member.select(F.col("id").alias("x"), F.col("class")).join(ends, F.col("class") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
     return across.unionAll(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
+def near_duplicates(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``(id)`` that a scan in order of ids drops, as greedy_removal() of all pairs would.
+
+    Of equal sets only the first can stay: if it is dropped for a kept earlier row, so
+    are the others, and else they are for it.  So only the first takes part in rounds."""
+    pairs, member = similar_classes(sets, threshold)
+    return greedy_removal(pairs).unionAll(member.where(F.col("id") != F.col("class")).select("id")).distinct()
+
+
 def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar."""
     t = check_threshold(threshold)

@@ -309,7 +309,7 @@ UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM s x JOIN s y ON len(x.s) = 0 AND l
 
 def near_dup_greedy(spark, sf):
     """Documents a scan by id drops for a kept earlier neighbour; its order dependence is beyond plain SQL."""
-    return dedup.greedy_removal(dedup.similar_pairs(_distinct_sets(spark, sf), THRESHOLD)).select(F.col("id").alias("doc_id"))
+    return dedup.near_duplicates(_distinct_sets(spark, sf), THRESHOLD).select(F.col("id").alias("doc_id"))
 
 
 def minhash_signatures(spark, sf):

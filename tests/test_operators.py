@@ -53,6 +53,18 @@ def test_greedy_removal_is_the_scan(spark):
         assert got == set(range(n)) - set(kept)
 
 
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_near_duplicates_of_copies(spark, t):
+    sets = random_sets(31)
+    sets += sets[:40]
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(jaccard(s, sets[j]) >= t for j in kept):
+            kept.append(i)
+    got = [r["id"] for r in dedup.near_duplicates(frame(spark, sets), t).collect()]
+    assert sorted(got) == [i for i in range(len(sets)) if i not in set(kept)]
+
+
 def test_minhash_agrees_on_equal_sets(spark):
     sets = [{1, 2, 3}, {1, 2, 3}, {9, 8}, set()]
     rows = {r["id"]: r["signature"] for r in dedup.minhash(frame(spark, sets)).collect()}
