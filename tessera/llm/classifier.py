@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(marked.where("labelled IS NULL"), max_unlabelled, False)))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"], "positive")  # bounded by the two limits
     positive = {r["chosen"]: r["positive"] for r in sample.collect()}
-    rows = sorted((r["chosen"], bytes(r["x"])) for r in _features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text")).toLocalIterator())  # a partition at a time; in order, so that fits can be repeated
+    known = cut(_features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text")))  # made in parallel, then read a partition at a time
+    rows = sorted((r["chosen"], bytes(r["x"])) for r in known.toLocalIterator())  # in order, so that fits can be repeated
     matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if positive[k] == kind), np.float32).reshape(-1, SIZE)
     return fit(matrix(True), matrix(False))
 
