@@ -30,7 +30,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences with their ids: what a trainer reads."""
     bound_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_store=False)
 
 
 STAGES = [

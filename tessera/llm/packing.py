@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
 from tessera.llm.tokens import WORD_BPE, vocabulary, word_tokenizer
 
 #: length is in ids; ids are little-endian unsigned 32-bit
@@ -130,12 +131,15 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = 1,
     buffer_tokens: int = 1 << 21,
+    keep_store: bool = True,
 ) -> DataFrame:
     """Pieces of all documents, one row each (``SCHEMA``).
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id``
     alone, repeated rows are packed each time, a null id is carried as null, other
-    columns of ``docs`` are not read, and an empty table gives no piece.  The
+    columns of ``docs`` are not read, and an empty table gives no piece.  Without
+    ``keep_store`` a worker forgets its tokenizer's store at the end of a task: less
+    memory beside what runs later, more time.  The
     sequence id is the number of the partition (high bits) and of the sequence in
     it; offsets within a sequence are gapless from 0."""
     path = tokenizer or vocabulary(WORD_BPE)
@@ -181,6 +185,9 @@ def pack(
                             yield from flush()
                     some, chars = [], 0
         yield from flush()
+        if not keep_store:
+            words.known = {}
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
