@@ -32,6 +32,7 @@ from tessera.llm.common import cut
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
 CUTOFF = 0.7
+FIT_PARTITIONS = 16
 
 # classes of UTF-8 bytes: letters, digits, white space, each frequent mark, and the rest
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b";:", b"'\"`", b"-_", b"#", b"*", b"$", b"%", b"&", b"|", b"<>{}[]\\", b"()/@=+~^", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 256))]
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(marked.where("labelled IS NULL"), max_unlabelled, False)))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"], "positive")  # bounded by the two limits
     positive = {r["chosen"]: r["positive"] for r in sample.collect()}
-    known = cut(_features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text")))  # made in parallel, then read a partition at a time
+    # a bounded sample: made by a few tasks and kept in as few files, then read one at a time
+    known = cut(_features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text").coalesce(FIT_PARTITIONS)))
     rows = sorted((r["chosen"], bytes(r["x"])) for r in known.toLocalIterator())  # in order, so that fits can be repeated
     matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if positive[k] == kind), np.float32).reshape(-1, SIZE)
     return fit(matrix(True), matrix(False))
