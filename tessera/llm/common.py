@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.session import spread
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
