@@ -38,7 +38,9 @@ SMOOTHING = 10.0
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<(?:nav|footer|header|aside)\b.*?</(?:nav|footer|header|aside)\s*>|<div class=\"ad\">.*?</div>")
 _TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{1,8})")
+#: a comment (to the end where it is not closed) or an html tag with its attributes
+_HTML = re.compile(r"(?is)<!--(?:.*?-->|.*)|<html\b([^>]*)")
+_LANG = re.compile(r"(?is)\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{1,8})")
 
 
 def visible_text(page: str | None) -> str:
@@ -47,7 +49,9 @@ def visible_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str | None:
-    m = _LANG.search((page or "")[:4096])  # the html tag comes first
+    """What the first html tag outside comments declares, wherever it is."""
+    tag = next((m for m in _HTML.finditer(page or "") if m[1] is not None), None)
+    m = _LANG.search(tag[1]) if tag else None
     return m[1].lower() if m else None
 
 

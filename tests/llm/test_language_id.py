@@ -55,3 +55,12 @@ def test_edges(spark):
     assert (r["lang"], r["confidence"], r["declared_lang"]) == (None, 0.0, "en")
     assert L.declared_language('<HTML class=a\nLANG = "de-AT">') == "de" and L.declared_language("<p lang=fr>") is None
     assert L.visible_text("<p>a&amp;b<script>x<y</script><!-- c --></p>").split() == ["a&b"]
+
+
+def test_declared_after_a_preamble(spark):
+    for preamble in ("<!-- " + "licence <html lang=fr> " * 400 + "-->", "\n" * 5000, "<!DOCTYPE html [" + "<!ENTITY a 'b'>" * 400 + "]>"):
+        page = preamble + '<html class="a" lang="de-AT"><p>x'
+        assert len(preamble) > 4096 and L.declared_language(page) == "de"
+        (r,) = L.identify_languages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), spark.createDataFrame(DOCS, "doc_id long, text string, lang string")).collect()
+        assert r["declared_lang"] == "de"
+    assert L.declared_language("<!-- open <html lang=de>") is None and L.declared_language("<html><pre><html lang=de>") is None
