@@ -85,6 +85,7 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: float
     prior: float
+    fitted: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
@@ -139,7 +140,7 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 400, l2: float = 3e-4) -> Mod
 
     Without one or the other every document gets the score 0.5."""
     if not len(p) or not len(u):
-        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5)
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5, False)
     mean, scale = u.mean(axis=0, dtype=np.float64), u.std(axis=0, dtype=np.float64) + 1e-3
     a, b = _standardised(p, mean, scale), _standardised(u, mean, scale)
     prior = estimate_prior(a, b)
@@ -178,19 +179,23 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     """Fits on documents that are not held out; ``labels(doc_id, quality)``.
 
     A document with several labels is positive if all are 1.  Rows without doc_id are
-    not used.  At most ``max_positive + max_unlabelled`` documents reach the driver, as
+    not used.  Where no document lacks a label, unlabelled ones are drawn from all, their
+    labels unread.  At most ``max_positive + max_unlabelled`` documents reach the driver, as
     statistics of fixed size."""
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marked = ids.join(known.withColumn("labelled", F.lit(True)), "doc_id", "left").select("doc_id", "low", "labelled", F.xxhash64("doc_id", F.lit(17)).alias("h"))
     some = lambda rows, n, positive: rows.orderBy("h", "doc_id").limit(n).select(F.col("doc_id").alias("chosen"), F.lit(positive).alias("positive"))
-    sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(marked.where("labelled IS NULL"), max_unlabelled, False)))
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"], "positive")  # bounded by the two limits
-    positive = {r["chosen"]: r["positive"] for r in sample.collect()}
+    unlabelled = marked.where("labelled IS NULL")
+    if unlabelled.isEmpty():
+        unlabelled = marked
+    sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(unlabelled, max_unlabelled, False)))
+    texts = docs.join(F.broadcast(sample.select("chosen").distinct()), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"])  # bounded by the two limits
+    drawn = {(r["chosen"], r["positive"]) for r in sample.collect()}  # a document may be drawn as both
     # a bounded sample: made by a few tasks and kept in as few files, then read one at a time
     known = cut(_features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text").coalesce(FIT_PARTITIONS)))
     rows = sorted((r["chosen"], bytes(r["x"])) for r in known.toLocalIterator())  # in order, so that fits can be repeated
-    matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if positive[k] == kind), np.float32).reshape(-1, SIZE)
+    matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if (k, kind) in drawn), np.float32).reshape(-1, SIZE)
     return fit(matrix(True), matrix(False))
 
 
@@ -220,6 +225,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def rejected_removed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` whose score is at least the cutoff; all columns stay."""
+    """``docs`` whose score is at least the cutoff; all columns stay.
+
+    Where no model could be fitted there is no ground to reject any: all stay."""
     model = train(docs, labels, **options)
+    if not model.fitted:
+        return docs
     return docs.where(score_column(F.col("text"), model) >= CUTOFF)

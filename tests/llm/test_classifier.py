@@ -54,3 +54,12 @@ def test_edges(spark):
     assert C.rejected_removed(docs, labels).columns == docs.columns
     a, b = C.features("é\n" * 700_000), C.features("é\n" * 700)  # strips make no difference
     assert np.allclose(a[: C.CLASSES**2], b[: C.CLASSES**2], atol=0.03)
+
+
+def test_stage_where_labels_cover_all_or_none_is_good(spark):
+    good, bad = "a plain sentence about {0} rivers and {0} hills near the town", "$$ {0} !! WIN {0} ## $$ @@ {0}"
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad).format(i)) for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    kept = {r["doc_id"] for r in C.rejected_removed(docs, labels).collect()}
+    assert sum(k % 2 for k in kept) >= 190 and sum(1 - k % 2 for k in kept) <= 10
+    assert C.rejected_removed(docs, labels.selectExpr("doc_id", "0 AS quality")).count() == 400
