@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, lowest
 
+#: documents that the model is fitted on at most: those with the lowest hashes of their ids, so a fair sample of all at
+#: any size; a linear model of some 600 weights has no use for more.  All documents are scored.
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
 CUTOFF = 0.7
@@ -182,14 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     not used.  Where no document lacks a label, unlabelled ones are drawn from all, their
     labels unread.  At most ``max_positive + max_unlabelled`` documents reach the driver, as
     statistics of fixed size."""
+    docs = docs.select("doc_id", "text")  # other columns may have any names
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marked = ids.join(known.withColumn("labelled", F.lit(True)), "doc_id", "left").select("doc_id", "low", "labelled", F.xxhash64("doc_id", F.lit(17)).alias("h"))
-    some = lambda rows, n, positive: rows.orderBy("h", "doc_id").limit(n).select(F.col("doc_id").alias("chosen"), F.lit(positive).alias("positive"))
-    unlabelled = marked.where("labelled IS NULL")
-    if unlabelled.isEmpty():
-        unlabelled = marked
-    sample = cut(some(marked.where("low = 1"), max_positive, True).unionAll(some(unlabelled, max_unlabelled, False)))
+    good, without, every = marked.agg(F.count_if(F.col("low") == 1), F.count_if(F.col("labelled").isNull()), F.count("*")).first()
+    some = lambda rows, n, total, positive: lowest(rows, n, total).select(F.col("doc_id").alias("chosen"), F.lit(positive).alias("positive"))
+    unlabelled = some(marked.where("labelled IS NULL"), max_unlabelled, without, False) if without else some(marked, max_unlabelled, every, False)
+    sample = cut(some(marked.where("low = 1"), max_positive, good, True).unionAll(unlabelled))
     texts = docs.join(F.broadcast(sample.select("chosen").distinct()), docs["doc_id"] == F.col("chosen")).select("chosen", docs["text"])  # bounded by the two limits
     drawn = {(r["chosen"], r["positive"]) for r in sample.collect()}  # a document may be drawn as both
     # a bounded sample: made by a few tasks and kept in as few files, then read one at a time

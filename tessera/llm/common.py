@@ -45,7 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -63,6 +66,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def below(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """The rows whose ``h``, a 64-bit hash, is below a bound that leaves about 2n + 1000 of ``total``.
+
+    Fewer than n of them are left with a chance too small to matter (many standard
+    deviations), so the n smallest are among them."""
+    share = (2 * n + 1000) / max(1, total)
+    return rows if share >= 1 else rows.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+
+
+def lowest(rows: DataFrame, n: int, total: int, *ties: str) -> DataFrame:
+    """The ``n`` rows with the smallest ``h``, by ``doc_id`` where equal, of about ``total``.
+
+    What is sorted in one place is bounded by n, however many partitions there are."""
+    return below(rows, n, total).orderBy("h", *(ties or ("doc_id",))).limit(n)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as ``(node, component)``.
 

@@ -26,26 +26,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import below, cut, lowest
 from tessera.llm.url_filter import parts
 
 MAX_DOCS = 20_000
+#: a table of documents in more is an error, as the model of each (128 KB) is held by the driver and by each worker
 MAX_LANGUAGES = 200
 FIT_PARTITIONS = 16
 BUCKETS = 1 << 14
 EVIDENCE = 30.0
 SMOOTHING = 10.0
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<(?:nav|footer|header|aside)\b.*?</(?:nav|footer|header|aside)\s*>|<div class=\"ad\">.*?</div>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+#: what opens a comment, an element whose content is not read, or any other tag
+_MARK = re.compile(r"(?ai)<(?:(!--)|(script|style|template|noscript|nav|footer|header|aside)(?![\w-])|[a-z/!?])")
+#: without an end tag these go to the end of the page, as browsers have it; the others then are tags like any other
+_RAW = {"script", "style", "template", "noscript"}
+_CLOSE = {name: re.compile(rf"(?ai)</{name}(?![\w-])") for name in ("script", "style", "template", "noscript", "nav", "footer", "header", "aside")}
+_COMMENT_END = re.compile("-->")
+_TAG_END = re.compile(">")
+#: references beyond Unicode's range, which the library refuses when they are very long
+_NO_CHARACTER = re.compile(r"(?a)&#(?:\d{9,}|[xX][0-9a-fA-F]{9,});?")
 #: a comment (to the end where it is not closed) or an html tag with its attributes
 _HTML = re.compile(r"(?is)<!--(?:.*?-->|.*)|<html\b([^>]*)")
-_LANG = re.compile(r"(?is)\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{1,8})")
+_LANG = re.compile(r"(?is)\s(?:xml:)?lang\s*+=\s*+(?:[\"']\s*+)?([A-Za-z]{1,8})")
 
 
 def visible_text(page: str | None) -> str:
-    """The text of a page without markup, scripts, navigation and advertisements."""
-    return entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page or "")))
+    """The text of a page without markup, comments, scripts, styles and navigation.
+
+    One pass: an end is looked for only beyond the last place where one of its kind
+    was found, so the time is linear in the page, whatever it holds.  ``<`` before
+    anything but a letter, ``/``, ``!`` or ``?``, or without a ``>`` after it, is text."""
+    page = page or ""
+    out: list[str] = []
+    found: dict[re.Pattern, tuple[int, int] | None] = {}
+
+    def after(end: re.Pattern, start: int) -> int | None:
+        """Where the first ``end`` from ``start`` on ends."""
+        if end in found and (found[end] is None or found[end][0] >= start):
+            return found[end] and found[end][1]
+        m = end.search(page, start)
+        found[end] = m and m.span()
+        return m and m.end()
+
+    at = 0
+    while m := _MARK.search(page, at):
+        out.append(page[at : m.start()])
+        name = m[2] and m[2].lower()
+        if m[1]:
+            stop = after(_COMMENT_END, m.end()) or len(page)
+        else:
+            closed = after(_CLOSE[name], m.end()) if name else None
+            stop = len(page) if closed is None and name in _RAW else after(_TAG_END, closed or m.end())
+        if stop is None:
+            at = m.start()
+            break
+        out.append(" ")
+        at = stop
+    out.append(page[at:])
+    return entities.unescape(_NO_CHARACTER.sub("\ufffd", "".join(out)))
 
 
 def declared_language(page: str | None) -> str | None:
@@ -82,8 +121,10 @@ class TextModel(NamedTuple):
 
 def fit_text(docs: DataFrame, max_docs: int = MAX_DOCS) -> TextModel:
     """Trigram model from ``docs(doc_id, text, lang)``; rows without a language are not used."""
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(max_docs).withColumnRenamed("doc_id", "chosen")
+    known = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = known.select("doc_id", F.xxhash64("doc_id", F.lit(23)).alias("h"))
+    total = ids.agg(F.approx_count_distinct("doc_id")).first()[0]
+    chosen = lowest(below(ids, max_docs, total).distinct(), max_docs, total).select(F.col("doc_id").alias("chosen"))
     # bounded by max_docs, so a few partitions hold it, however many the table has
     some = known.join(F.broadcast(chosen), known["doc_id"] == F.col("chosen")).select("lang", "text").repartition(FIT_PARTITIONS)
 

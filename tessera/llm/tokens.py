@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -103,12 +104,36 @@ def safe_pieces(text: str, size: int = 1 << 16) -> Iterable[str]:
     yield text[start:]
 
 
+#: a run of Unicode's White_Space, as the patterns' \\s has it
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: white space in a row beyond this does not go through the library's regex, whose stack ends at a million
+LONG_RUN = 1 << 16
+
+
+def space_matches(text: str, least: int = LONG_RUN) -> Iterator[tuple[int, int]]:
+    """The matches of more than ``least`` white-space characters: a run, less its last one where text follows."""
+    for m in _SPACES.finditer(text):
+        start, end = m.span()
+        if end < len(text):
+            end -= 1
+        if end - start > least:
+            yield start, end
+
+
 def encode_bytes(text: str | None, encoding, size: int = 1 << 16) -> list[int]:
+    """Ids of a whole text, as the library gives them; white-space runs of any length are one match each."""
     if not text:
         return []
     if len(text) <= size:
         return encoding.encode_ordinary(text)
-    return list(chain.from_iterable(map(encoding.encode_ordinary, safe_pieces(text, size))))
+    out: list[list[int]] = []
+    at = 0
+    for start, end in space_matches(text):
+        out += map(encoding.encode_ordinary, safe_pieces(text[at:start], size))
+        out.append(encoding._encode_single_piece(text[start:end]))
+        at = end
+    out += map(encoding.encode_ordinary, safe_pieces(text[at:], size))
+    return list(chain.from_iterable(out))
 
 
 def encode_column(text: Column, path: str | None = None, pattern: str | None = None) -> Column:

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,3 +65,75 @@ def test_stage_where_labels_cover_all_or_none_is_good(spark):
     kept = {r["doc_id"] for r in C.rejected_removed(docs, labels).collect()}
     assert sum(k % 2 for k in kept) >= 190 and sum(1 - k % 2 for k in kept) <= 10
     assert C.rejected_removed(docs, labels.selectExpr("doc_id", "0 AS quality")).count() == 400
+
+
+def plain_features(text):
+    """The statistics of features(), a byte and a word at a time; short texts only (one strip)."""
+    raw = (text or "").encode()
+    kind = lambda b: next((k for k, g in enumerate(C._GROUPS) if b in g), C.CLASSES - 1)
+    kinds = [kind(b) for b in raw]
+    pairs, single = Counter(zip(kinds, kinds[1:], strict=False)), Counter(kinds)
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, m = max(1, len(raw)), max(1, len(words))
+    packer = zlib.compressobj(1)
+    packed = len(packer.compress(raw)) + len(packer.flush())
+    distinct = len(set(words)) / m
+    out = [math.sqrt(pairs[a, b] / n) for a in range(C.CLASSES) for b in range(C.CLASSES)] + [math.sqrt(single[a] / n) for a in range(C.CLASSES)]
+    out += [math.log1p(len(words)), math.log(packed / n), distinct, math.log(distinct + 1e-3) if words else 0.0, 1 - len(set(lines)) / max(1, len(lines)), n / m / 10]
+    return out + [sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / m, math.log1p(n / max(1, len(lines))) / 10]
+
+
+def test_table_against_brute_force(spark):
+    """Which documents the model is fitted on, their statistics and every score, written again; the fit itself is tested below."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
+    x = {k: plain_features(t) for k, t in docs.items()}
+    assert all(np.allclose(C.features(docs[k]), v, atol=1e-5) for k, v in x.items())
+    fitted = sorted(k for k in docs if zlib.crc32(str(k).encode()) % 4 != 2)
+    p = np.array([x[k] for k in fitted if labels.get(k) == 1], np.float32)
+    u = np.array([x[k] for k in fitted if k not in labels], np.float32)
+    model = C.fit(p, u)
+    got = {r["doc_id"]: r["score"] for r in C.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+    assert got.keys() == docs.keys()
+    for k, v in x.items():
+        z = sum(w * min(8.0, max(-8.0, (a - b) / c)) for w, a, b, c in zip(model.weights, v, model.mean, model.scale, strict=True)) + model.bias
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 2e-3
+
+
+def test_fit_lowers_the_risk():
+    """The non-negative risk, summed row by row, at the fitted weights and around them."""
+    rng = np.random.default_rng(3)
+    p = rng.normal(0, 1, (400, C.SIZE)).astype(np.float32)
+    u = np.vstack([rng.normal(0, 1, (500, C.SIZE)), rng.normal(0.5, 1, (500, C.SIZE))]).astype(np.float32)
+    m = C.fit(p, u)
+
+    def risk(w, b):
+        z = lambda x: np.clip((x - m.mean) / m.scale, -8, 8) @ w + b
+        plus, minus = (lambda t: np.mean(np.log1p(np.exp(-t)))), (lambda t: np.mean(np.log1p(np.exp(t))))
+        return m.prior * plus(z(p)) + max(0.0, minus(z(u)) - m.prior * minus(z(p))) + 1.5e-4 * w @ w
+
+    # the fit steps back wherever the second part falls below zero, so it ends near the least risk, not at it
+    assert risk(m.weights, m.bias) < 0.1 * risk(np.zeros(C.SIZE), 0.0)
+    for k in range(20):
+        away = np.random.default_rng(k).normal(0, 1, C.SIZE)
+        assert risk(m.weights, m.bias) < risk(away * np.linalg.norm(m.weights) / np.linalg.norm(away), m.bias)
+
+
+def test_sample_is_the_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import lowest
+
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(17)).alias("h"))
+    for n in (1, 100, 5000):
+        want = rows.orderBy("h", "doc_id").limit(n).collect()
+        assert lowest(rows, n, 200_000).collect() == want
+        assert 2 * n < lowest(rows, 200_000, 200_000).count() == 200_000
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(i, "plain words about a river and a town " * 9 if i % 2 else "$$ !! ## " * 40, i, 0.5, "h", True) for i in range(200)], "doc_id long, text string, chosen long, score double, h string, positive boolean")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "text", "chosen").where("doc_id < 100")
+    kept = C.rejected_removed(docs, labels).collect()
+    assert kept and kept[0].asDict().keys() == set(docs.columns) and all(r["chosen"] == r["doc_id"] and r["h"] == "h" for r in kept)

@@ -69,3 +69,12 @@ def test_edges(spark):
     out = token_counts.edited_counts(df, df["edits"]).collect()
     assert sorted((r["n_edits"], r["n_chars_edited"]) for r in out) == sorted([(0, 0), (1, 3), (4, 3), (1, 604_990), (0, 5)])
     assert token_counts.edited_counts(df.limit(0), df["edits"]).count() == 0
+
+
+def test_long_white_space():
+    enc = library()
+    tree = token_counts.TokenTree("a b" + " " * 1_200_000 + "c", lambda t: len(tokens.encode_bytes(t, enc)))
+    tree.edit(1_000_000, 1_000_000, "x")
+    head, tail = "a b" + " " * 999_997 + "x", " " * 200_003 + "c"
+    assert tree.text() == head + tail
+    assert tree.n_tokens == len(enc.encode_ordinary(head)) + len(enc.encode_ordinary(tail))

@@ -38,3 +38,29 @@ def test_edges(spark):
     out = df.select("doc_id", tokens.encode_column(df["text"]).alias("text")).select("doc_id", "text", tokens.decode_column("text").alias("ids")).collect()
     assert {r["doc_id"]: bytes(r["ids"]).decode() for r in out} == {i: t or "" for i, t in enumerate(texts)}
     assert {r["doc_id"]: list(r["text"]) for r in out} == {i: library().encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_white_space_runs():
+    """Runs are one match, less the last character before text; the library takes a million at most."""
+    enc = library()
+    for run in (" ", "\n", " \t\n\u3000", "\u2028\x85 "):
+        for text in ("a{}b", "{}", "a{}", "{}'s", "x {}1{}\n!"):
+            for n in (1, 2, 3, 50, 300):
+                t = text.format(run * n, run * n)
+                out, at = [], 0
+                for start, end in tokens.space_matches(t, 5):
+                    out += enc.encode_ordinary(t[at:start]) + enc._encode_single_piece(t[start:end])
+                    at = end
+                assert out + enc.encode_ordinary(t[at:]) == enc.encode_ordinary(t)
+    long = "a" + " " * 200_000 + "b\n" + "\n" * 150_000
+    assert tokens.encode_bytes(long, enc) == enc.encode_ordinary(long)
+    for text in (" " * 2_000_001 + "x y", "a " + "\n" * 2_000_000):
+        ids = tokens.encode_bytes(text, enc)
+        assert enc.decode_bytes(ids).decode() == text
+
+
+def test_long_white_space_and_clashing_columns(spark):
+    text = "a" + " " * 2_000_000 + "b"
+    df = spark.createDataFrame([(1, text, [1], b"x", 1), (2, None, None, None, None)], "doc_id long, text string, ids array<int>, bytes binary, n_tokens int")
+    out = df.select("doc_id", "n_tokens", tokens.decode_column(tokens.encode_column(df["text"])).alias("bytes")).collect()
+    assert {r["doc_id"]: bytes(r["bytes"]).decode() for r in out} == {1: text, 2: ""}
