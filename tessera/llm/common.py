@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -61,6 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: like cut(), for wide rows of which parts are read.
+
+    Columns may have any names: they are stored by position."""
+    names = df.columns
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*names)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value evaluated once, also where ``use`` has lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

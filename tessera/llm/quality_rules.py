@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, let
+from tessera.llm.common import cut, let, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -163,9 +163,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def rejected_removed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that the rules reject; all columns stay.
 
-    The texts are measured a second time rather than shuffled."""
-    measured = docs.select(F.col("doc_id").alias("id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m"))
-    cutoffs = thresholds(cut(measured), labels.select(F.col("doc_id").alias("id"), "quality"), **options)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), stratum(F.col("lang")).alias("stratum"), F.col("text").alias("text"))
-    # bound within one expression: a filter on measures in a column would measure again for each part that moves below the join
-    return _with_cutoffs(rows, cutoffs).where(let(measures(F.col("text")), _kept)).select("row.*")
+    Rows are written once with their measures; the thresholds read the measures alone."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    rows = written(docs.select(row.alias("row"), F.col("doc_id").alias("id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m")))
+    cutoffs = thresholds(rows.select("id", "stratum", "m"), labels.select(F.col("doc_id").alias("id"), "quality"), **options)
+    return _with_cutoffs(rows, cutoffs).where(_kept(F.col("m"))).select(*[F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])

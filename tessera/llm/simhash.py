@@ -153,13 +153,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component left, the one with the smallest id.
 
-    All columns stay as they are.  Rows that repeat an id are one document given
-    more than once: one of them stays.  Rows without an id stay."""
+    All columns stay as they are.  Rows without an id stay.  Rows that repeat an id are
+    told apart by their fingerprints: each counts in its own component, and where the
+    smallest id of a component is on several of its rows, one of them stays."""
     found = cut(simhash_components(docs, id_col, text_col, **options))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    left = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    again = cut(found.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__again")))
-    if again.isEmpty():
-        return left
-    on = left[id_col] == again["__again"]
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([id_col]))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    repeated = cut(found.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__again")))
+    if repeated.isEmpty():
+        return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    on = docs[id_col] == repeated["__again"]
+    alone = docs.join(repeated, on, "left_anti")
+    alone = alone.join(gone, alone[id_col] == F.col("__gone"), "left_anti")
+    first = found.join(repeated, found[id_col] == F.col("__again")).where(F.col("component_id") == F.col("__again"))
+    first = first.groupBy("__again").agg(F.min("fp").alias("__first"))
+    rows = docs.join(repeated, on, "left_semi").withColumn("__fp", fingerprint_column(F.col(text_col), options.get("shingle", 3)))
+    kept = rows.join(first, (rows[id_col] == first["__again"]) & (rows["__fp"] == first["__first"])).dropDuplicates([id_col]).select(*docs.columns)
+    return alone.unionByName(kept)

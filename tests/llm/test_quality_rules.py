@@ -49,6 +49,13 @@ def test_query_matches_sql(spark):
     assert same(queries.op2_quality_rules(spark, SF).collect(), rows(queries.ORACLE_SQL["op2_quality_rules"], SF))
 
 
+def test_query_matches_sql_where_cutoffs_are_active(spark):
+    big = "/root/testdata/sf0.1"
+    got = queries.op2_quality_rules(spark, big).collect()
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) >= 100
+    assert same(got, rows(queries.ORACLE_SQL["op2_quality_rules"], big))
+
+
 def labelled(spark, n=3000):
     good = " ".join(f"word{i}" for i in range(40))
     docs = [(i, good + (" ".join([""] + [f"***{j}" for j in range(20)]) if i % 10 == 0 else ""), ["en", "de", None][i % 3], "x") for i in range(n)] + [(None, good, "en", "x"), (5, None, "fr", "x")]

@@ -77,6 +77,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] or -1 for r in left.collect()) == [-1, 1, 4, 6]
 
 
+def test_rows_that_repeat_an_id_are_judged_each(spark):
+    """A row goes for its own text, not for that of another row with its id."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1), "", ""), (2, words(1), "", ""), (3, words(3), "", ""), (3, words(1), "", ""), (4, words(3), "", ""), (5, words(5), "", ""), (5, words(5), "x", "x")]
+    left = simhash.near_duplicates_removed(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, words(1)), (3, words(3)), (5, words(5))]
+
+
 @pytest.mark.parametrize("tile", [2, 16, 1024])
 def test_links_within_hot_keys(spark, tile):
     rng = random.Random(tile)
