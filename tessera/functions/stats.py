@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +12,50 @@ def nearest_rank(values: DataFrame, column: str, probabilities: dict[str, float]
 
     From counts of distinct values and their running sums, so no group's values are
     gathered: memory follows the number of distinct values of a group in a window,
-    which spills."""
+    which spills.  Without ``keys`` the windows are range partitions, each starting
+    from what the ones before it hold."""
     from pyspark.sql import Window
 
     keys = keys or []
     counts = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if not keys:
+        return _ranks_of_all(counts, column, probabilities)
+    by = Window.partitionBy(*keys)
     order = by.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("__to", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(by))
     at = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n")))
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__to") > at(q), F.col(column))).alias(name) for name, q in probabilities.items()])
 
 
+def _ranks_of_all(counts: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
+    from pyspark.sql import Window
+
+    from tessera.session import cut
+
+    ranged = cut(counts.repartitionByRange(column).withColumn("__p", F.spark_partition_id()))
+    parts = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.sum("__c").alias("n")).collect()}  # a row per partition
+    before, total = [], 0
+    for p, n in sorted(parts.items()):
+        before.append((p, total))
+        total += n
+    starts = counts.sparkSession.createDataFrame(before, "__p int, __before long")
+    order = Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    to = ranged.withColumn("__run", F.sum("__c").over(order)).join(F.broadcast(starts), "__p").withColumn("__to", F.col("__before") + F.col("__run"))
+    at = {name: min(total - 1, int(q * total)) for name, q in probabilities.items()}
+    return to.agg(*[F.min(F.when(F.col("__to") > k, F.col(column))).alias(name) for name, k in at.items()])
+
+
+def round_even(value: Column, digits: int) -> Column:
+    """The nearest decimal of a double's exact binary value, ties to even: 2.675 is 2.67, 0.125 is 0.12.
+
+    round() and bround() go by the shortest decimal form of a double and give 2.68."""
+    @F.pandas_udf("double")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x != x else round(float(x), digits) for x in values], dtype="float64")
+
+    return of(value.cast("double"))
+
+
 def nearest_rank_of(array: Column, q: float) -> Column:
     """The same of an array column; 0 where it is empty."""
     n = F.size(array)
@@ -57,14 +90,15 @@ def histogram_quantile(buckets: DataFrame, q: float, keys: list[str]) -> DataFra
     """``(keys, quantile)`` from cumulative ``buckets(keys, le, count)``.
 
     Linear within a bucket that starts at the edge before it (0 for the first); what
-    falls into the infinite bucket is at its lower edge; null for an empty histogram."""
+    falls into the infinite bucket is at its lower edge; null for an empty histogram.
+    The quantile 0 is the lower edge of a first bucket that holds something, else its upper one."""
     from pyspark.sql import Window
 
     order = Window.partitionBy(*keys).orderBy("le")
     whole = Window.partitionBy(*keys)
     infinite = float("inf")
-    rows = buckets.withColumn("__rank", F.max(F.when(F.col("le") == infinite, F.col("count"))).over(whole) * q).withColumn("__lower", F.lag("le", 1, 0.0).over(order)).withColumn("__before", F.lag("count", 1, 0).over(order).cast("double"))
+    rows = buckets.withColumn("__total", F.max(F.when(F.col("le") == infinite, F.col("count"))).over(whole)).withColumn("__rank", F.col("__total") * q).withColumn("__lower", F.lag("le", 1, 0.0).over(order)).withColumn("__before", F.lag("count", 1, 0).over(order).cast("double"))
     inside = F.col("__lower") + (F.col("le") - F.col("__lower")) * F.try_divide(F.col("__rank") - F.col("__before"), F.col("count") - F.col("__before"))
     value = F.when(F.col("le") == infinite, F.col("__lower")).when(F.col("count") > F.col("__before"), inside).otherwise(F.col("le"))
-    hit = (F.col("count") >= F.col("__rank")) & (F.col("__rank") > 0)
+    hit = (F.col("count") >= F.col("__rank")) & (F.col("__total") > 0)
     return rows.groupBy(*keys).agg(F.min_by(F.when(hit, value), F.when(hit, F.col("le"))).alias("quantile"))

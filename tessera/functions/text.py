@@ -32,12 +32,21 @@ def _normalized(form: str):
     return of
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def _beyond(plain: Column, native: Column, of, text: Column) -> Column:
+    """``native`` where ``plain``; other rows go through ``of``, a Python function, which sees null for the plain ones."""
+    return F.when(plain, native).otherwise(of(F.when(~plain, text)))
+
+
 def nfkc(text: Column) -> Column:
-    return _normalized("NFKC")(text)
+    return _beyond(is_ascii(text), text, _normalized("NFKC"), text)
 
 
 def nfc(text: Column) -> Column:
-    return _normalized("NFC")(text)
+    return _beyond(is_ascii(text), text, _normalized("NFC"), text)
 
 
 def casefold(text: Column) -> Column:
@@ -47,7 +56,7 @@ def casefold(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else t.casefold())
 
-    return of(text)
+    return _beyond(is_ascii(text), F.lower(text), of, text)
 
 
 def squeeze(text: Column) -> Column:
@@ -76,7 +85,10 @@ def normalize_answer(text: Column) -> Column:
     return squeeze(casefold(text))
 
 
-_OPTION = re.compile(r"\s*(?:\d+|[a-zа-я])\s*[.)]\s*(\S.*)", re.IGNORECASE)
+#: fixed value: a numbered or lettered answer option, a whole line
+_OPTION = re.compile(r"^\s*(?:\d+|[a-zа-я])\s*[.)]\s*(\S.*)$", re.IGNORECASE)
+#: what any line of that form has, for ASCII texts
+_MAYBE_OPTION = r"(?:^|[\n\x0b\x0c\r\x1c-\x1e])[\s\x1c-\x1f]*(?:\d+|[A-Za-z])[\s\x1c-\x1f]*[.)]"
 
 
 def _plain(text: str) -> str:
@@ -106,6 +118,19 @@ def canonical_options(text: Column) -> Column:
     return of(text)
 
 
+def comparable(text: Column) -> Column:
+    """The text whose words are compared for near-duplicates: that of canonical_options(), or one with the same words.
+
+    ASCII texts without a line that may be an option are left as they are."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(order_options)
+
+    text = F.coalesce(text, F.lit(""))
+    return _beyond(is_ascii(text) & ~text.rlike(_MAYBE_OPTION), text, of, text)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value evaluated once, also where ``use`` has lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -128,7 +153,7 @@ def shingles_of(word_array: Column, size: int) -> Column:
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
-    """The shingles as sorted distinct 64-bit hashes."""
+    """The shingles as sorted distinct 64-bit hashes; the order of numbered answer options plays no part."""
     if size < 1:
         raise ValueError("a shingle has at least one word")
 
@@ -137,18 +162,25 @@ def shingle_hashes(text: Column, size: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
         return F.when(n >= size, F.array_sort(F.array_distinct(runs))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words(text), of)
+    return let(words(comparable(text)), of)
 
 
 def label_set(text: Column) -> Column:
-    """A comma-separated list as a set of normalised labels."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.lower(squeeze(x)))
+    """A comma-separated list as a set of labels, each normalised as normalize_text() does."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:  # label by label: what NFKC makes a comma separates nothing
+        return texts.map(lambda t: t if t is None else "\x00".join(unicodedata.normalize("NFKC", x) for x in t.split(",")))
+
+    text = F.coalesce(text, F.lit(""))
+    whole = _beyond(is_ascii(text), F.replace(text, F.lit(","), F.lit("\x00")), composed, text)
+    parts = F.transform(F.split(whole, "\x00"), lambda x: F.lower(squeeze(F.translate(x, DASHES_FROM, DASHES_TO))))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
 def canonical_answer(text: Column) -> Column:
-    """Labels sorted and joined with ', '; null where one is empty or repeated."""
-    parts = F.transform(F.split(text, ","), lambda x: F.lower(squeeze(x)))
+    """Case-folded labels without white space around them, sorted and joined with ', '; null where one is empty or repeated."""
+    parts = F.transform(F.split(casefold(text), ","), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     good = F.forall(parts, lambda x: x != "") & (F.size(F.array_distinct(parts)) == F.size(parts))
     return F.when(good, F.array_join(F.array_sort(parts), ", "))
 

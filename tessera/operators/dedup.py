@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import shingle_hashes
+from tessera.functions.text import let, shingle_hashes
 from tessera.session import cut
 
 
@@ -69,6 +69,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, 1.0).otherwise(shared / whole)
 
 
+#: rows of one key in a tile
+TILE = 4096
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], place: str, tile: int = TILE) -> DataFrame:
+    """``left`` and ``right`` joined on ``keys``; those that many rows have are dealt out.
+
+    Rows of ``right`` with a key go to tiles of about ``tile`` by a hash of ``place``, a
+    column of theirs, and each row of ``left`` meets all tiles of its key: no task holds
+    more than a tile of a hot key, and nothing is left out."""
+    tiles = right.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("__t"))
+    right = right.join(tiles, keys).withColumn("__tile", F.pmod(F.xxhash64(place, F.lit(5)), F.col("__t")).cast("int")).drop("__t")
+    left = left.join(tiles, keys).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).drop("__t")
+    return left.join(right, [*keys, "__tile"]).drop("__tile")
+
+
 def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     with_a = candidates.join(left.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(right.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -91,7 +107,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame
     rare = classes.where("n > 0")
     prefix = cut(_prefixes(rare, _common(rare), t))
     left, right = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    candidates = left.join(right, "h").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
+    candidates = dealt_join(left, right, ["h"], "b").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
     return cut(_verified(candidates, rare, rare, t)), member
 
 
@@ -120,17 +136,32 @@ def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.
     """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar."""
     t = check_threshold(threshold)
     common = _common(left.unionAll(right))
-    a = _prefixes(left, common, t).select("h", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = _prefixes(right, common, t).select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    candidates = a.join(b, "h").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
+    a = cut(_prefixes(left, common, t).select("h", F.col("id").alias("a"), F.col("n").alias("na")))
+    b = cut(_prefixes(right, common, t).select("h", F.col("id").alias("b"), F.col("n").alias("nb")))
+    candidates = dealt_join(b, a, ["h"], "a").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
     empty = left.where("n = 0").select(F.col("id").alias("a"), "n").join(right.where("n = 0").select(F.col("id").alias("b"), "n"), "n").select("a", "b", F.lit(1.0).alias("jaccard"))
     return _verified(candidates, left, right, t).unionAll(empty)
 
 
 def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
-    """``(id, signature)``: the minimum of each of ``permutations`` seeded hashes over the set; null for an empty one."""
-    wide = sets.select("id", F.explode_outer("s").alias("h"))
-    return wide.groupBy("id").agg(F.array(*[F.min(F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(k)))) for k in range(permutations)]).alias("signature"))
+    """``(id, signature)``: the minimum of each of ``permutations`` hashes over the set; nulls for an empty one.
+
+    The low 32 bits x of an element become (a x + b) mod the prime beyond 2^32, with a and
+    b from a fixed rule: row by row, without a shuffle."""
+    low = F.transform("s", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def least(u: Column, a: int, b: int) -> Column:
+        return F.array_min(F.transform(u, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(PRIME)))
+
+    return sets.select("id", let(low, lambda u: F.array(*[least(u, a, b) for a, b in coefficients(permutations)])).alias("signature"))
+
+
+PRIME = 4_294_967_311
+
+
+def coefficients(permutations: int) -> list[tuple[int, int]]:
+    """The a (odd, below 2^30) and b of each permutation, by a multiplicative rule; products stay below 2^63."""
+    return [((k + 1) * 2_654_435_761 % (1 << 30) | 1, (k + 1) * 2_246_822_519 % (1 << 32)) for k in range(permutations)]
 
 
 def minhash_candidates(signatures: DataFrame, bands: int = 16) -> DataFrame:
@@ -138,27 +169,26 @@ def minhash_candidates(signatures: DataFrame, bands: int = 16) -> DataFrame:
     width = F.floor(F.size("signature") / F.lit(bands)).cast("int")
     cells = signatures.where(F.get("signature", F.lit(0)).isNotNull()).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", i * width + 1, width)))).alias("band", "cell"))
     a, b = cells.select(F.col("id").alias("a"), "band", "cell"), cells.select(F.col("id").alias("b"), "band", "cell")
-    return a.join(b, ["band", "cell"]).where("a < b").select("a", "b").distinct()
+    return dealt_join(a, b, ["band", "cell"], "b").where("a < b").select("a", "b").distinct()
 
 
-def greedy_removal(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_removal(pairs: DataFrame) -> DataFrame:
     """``(id)`` dropped by a scan in order that drops a row with a kept earlier neighbour.
 
     ``pairs(a, b)``, a < b.  Rounds: a row no undecided or kept earlier neighbour is
     left to decide is kept, its later neighbours are dropped; the rounds follow the
-    longest chain, not the rows, and only rows with a neighbour take part."""
+    longest chain, not the rows, and only rows with a neighbour take part.  Each round
+    decides a row at least, so they end."""
     edges = cut(pairs.select("a", "b").distinct())
     dropped = cut(edges.select(F.col("b").alias("id")).limit(0))
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            return dropped
+    while not edges.isEmpty():
         # kept: starts an edge and ends none
         kept = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
         gone = cut(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
         dropped = cut(dropped.unionAll(gone))
         left = edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         edges = cut(left.join(kept.withColumnRenamed("id", "a"), "a", "left_anti"))
-    raise RuntimeError(f"not decided after {max_rounds} rounds")
+    return dropped
 
 
 def key_overlap(left: DataFrame, right: DataFrame, key: Column, left_id: str, right_id: str) -> DataFrame:

@@ -17,15 +17,22 @@ EDGES = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.
 
 
 def classify(status: Column, completed: Column, chunks: Column, error: Column) -> Column:
-    """The outcome of an attempt; the first case that holds."""
+    """The outcome of an attempt; the first case that holds.
+
+    A refusal by the server decides before anything that followed it; 429 and 503 are
+    rejections.  An error text or a missing end is an interruption where an answer had
+    begun (status 200 or a chunk), else the connection failed.  'unsent' marks attempts
+    that the scheduler never made."""
+    begun = F.coalesce(status == 200, F.lit(False)) | (F.coalesce(chunks, F.lit(0)) > 0)
+    broken = F.when(begun, "interrupted").otherwise("connection_error")
+    refused = F.when(status.isin(429, 503), "rejected").otherwise("error")
+    failed = F.coalesce(error, F.lit("")) != ""
     return (
-        F.when(F.coalesce(completed, F.lit(False)), "completed")
+        F.when(status >= 400, refused)
         .when(error == "unsent", "unsent")
         .when(error == "timeout", "timeout")
-        .when(F.coalesce(chunks, F.lit(0)) > 0, "interrupted")
-        .when(status.isin(429, 503), "rejected")
-        .when(error == "connection", "connection_error")
-        .otherwise("error")
+        .when(~failed & F.coalesce(completed, F.lit(False)), "completed")
+        .otherwise(broken)
     )
 
 
@@ -125,7 +132,8 @@ def alert_states(windows: DataFrame, key: str, time: str, breach: str, hold_seco
 def lru_hits(rows: DataFrame, key: str, order: list[str], item: str, capacity: int) -> DataFrame:
     """``rows`` with ``hit``: whether an LRU cache per key holds the item, by exact replay in order.
 
-    Rows are sorted on the executors; a task keeps one cache at a time."""
+    Rows are sorted on the executors, with spilling; a task keeps one cache of
+    ``capacity`` items at a time.  A replay is sequential, so a key is one task."""
     columns = rows.columns
     schema = rows.schema
 
@@ -154,7 +162,8 @@ def admission(rows: DataFrame, server: str, arrival: str, service: str, *, runni
 
     ``rows(id, server, arrival, service)`` in seconds.  An arrival that finds
     ``waiting`` others in the queue is 'queue_full'; one that waits longer than
-    ``timeout`` is 'queue_timeout' and leaves the queue then."""
+    ``timeout`` is 'queue_timeout' and leaves the queue then.  A replay is sequential,
+    so a server is one task, which holds the queue (``waiting`` at most) alone."""
     import heapq
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,13 +14,13 @@ from tessera.sources.readers import canonical_json
 
 
 def record_equality(spark, sf):
-    """Selected documents against their source: which fields differ, after every seventh was edited."""
+    """Documents against their source: which fields differ, after every seventh was edited."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    edited = d.where("doc_id % 3 = 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang"))).withColumn("n_chars", F.when(F.col("doc_id") % 14 == 0, None).otherwise(F.col("n_chars")))
+    edited = d.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang"))).withColumn("n_chars", F.when(F.col("doc_id") % 14 == 0, None).otherwise(F.col("n_chars")))
     return sets.changed_records(d, edited, "doc_id", ["lang", "source", "n_chars"])
 
 
-RECORD_EQUALITY = "SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'lang,n_chars' ELSE 'lang' END AS columns FROM documents WHERE doc_id % 21 = 0"
+RECORD_EQUALITY = "SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'lang,n_chars' ELSE 'lang' END AS columns FROM documents WHERE doc_id % 7 = 0"
 
 
 def set_operations(spark, sf):

@@ -33,6 +33,20 @@ def sql_shingles(w: str, k: int = 4) -> str:
     return f"CASE WHEN len({w}) >= {k} THEN list_distinct(list_transform(range(1, len({w}) - {k - 2}), lambda i: array_to_string(list_slice({w}, i, i + {k - 1}), ' '))) WHEN len({w}) > 0 THEN [array_to_string({w}, ' ')] ELSE [] END"
 
 
+_LINES = "string_split_regex(coalesce({0}, ''), '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')"
+_IS_OPTION = "'(?i)^\\s*(?:\\d+|[a-zа-я])\\s*[.)]\\s*(\\S.*)$'"
+
+
+def canonical(name: str, source: str, key: str, text: str = "text") -> str:
+    """CTEs that end in ``name(key, t)``: the texts with their lines normalised and runs of numbered options sorted."""
+    lines = _LINES.format(text)
+    return f"""
+{name}_l AS (SELECT {key} AS key, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS i FROM {source}),
+{name}_o AS (SELECT key, i, line, CASE WHEN regexp_matches(line, {_IS_OPTION}) THEN regexp_extract(line, {_IS_OPTION}, 1) END AS o FROM {name}_l),
+{name}_r AS (SELECT key, i, o IS NOT NULL AS numbered, {norm('coalesce(o, line)')} AS t, sum(CASE WHEN o IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM {name}_o),
+{name} AS (SELECT key, coalesce(string_agg(t, chr(10) ORDER BY run, numbered, CASE WHEN numbered THEN t ELSE '' END, i) FILTER (numbered OR t <> ''), '') AS t FROM {name}_r GROUP BY key)"""
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
@@ -72,28 +86,32 @@ CASEFOLD_DIGESTS = r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(tex
 
 
 def option_digests(spark, sf):
-    """Texts with two numbered lines in front: the order of options plays no part."""
-    numbered = F.concat(F.lit("2) beta\n1) Alpha  x\n"), F.col("text"))
-    swapped = F.concat(F.lit("1. alpha x\n2. Beta\n"), F.col("text"))
-    return docs(spark, sf).select("doc_id", (text.canonical_options(numbered) == text.canonical_options(swapped)).alias("same"))
+    """Texts with three numbered lines in front, in two orders, one alone: digests of their canonical forms."""
+    numbered = F.concat(F.lit("2) beta\n1) Alpha  x\nc. gamma\n\n7) alone\n"), F.col("text"))
+    swapped = F.concat(F.lit("1. alpha x\nB) gamma\n2. Beta\n\n\n1) alone\n"), F.col("text"))
+    digest = lambda t: F.sha2(text.canonical_options(t), 256)
+    return docs(spark, sf).select("doc_id", digest(numbered).alias("digest"), digest(swapped).alias("swapped"))
 
 
-OPTION_DIGESTS = "SELECT doc_id, true AS same FROM documents"
+OPTION_DIGESTS = f"""
+WITH v AS (SELECT doc_id, '2) beta' || chr(10) || '1) Alpha  x' || chr(10) || 'c. gamma' || chr(10) || chr(10) || '7) alone' || chr(10) || text AS text FROM documents),
+{canonical('c', 'v', 'doc_id')} SELECT key AS doc_id, sha256(t) AS digest, sha256(t) AS swapped FROM c
+"""
 
 
 def shingle_counts(spark, sf):
     return dedup.shingle_sets(docs(spark, sf), "doc_id", F.col("text")).select(F.col("id").alias("doc_id"), "n")
 
 
-SHINGLE_COUNTS = f"WITH w AS (SELECT doc_id, {sql_words('text')} AS w FROM documents) SELECT doc_id, CAST(len({sql_shingles('w')}) AS BIGINT) AS n FROM w"
+SHINGLE_COUNTS = f"WITH {canonical('c', 'documents', 'doc_id')}, w AS (SELECT key AS doc_id, {sql_words('t')} AS w FROM c) SELECT doc_id, CAST(len({sql_shingles('w')}) AS BIGINT) AS n FROM w"
 
 
 def label_functions(spark, sf):
-    d = docs(spark, sf).withColumn("raw", F.concat_ws(",", "lang", F.lit(" EN "), "source", F.lit("")))
+    d = docs(spark, sf).withColumn("raw", F.concat_ws(",", "lang", F.lit(" EN "), "source", F.lit("Ｅｎ —  x"), F.lit("")))
     return d.select(
         "doc_id",
         F.array_join(F.array_sort(text.label_set(F.col("raw"))), "|").alias("labels"),
-        text.canonical_answer(F.concat_ws(" , ", "source", "lang")).alias("answer"),
+        text.canonical_answer(F.concat_ws(" , ", "source", "lang", F.lit("Straße  Nr"))).alias("answer"),
         F.array_join(text.map_labels(text.label_set(F.col("raw")), ALIASES), "|").alias("mapped"),
         text.iso_date(F.format_string("2%03d-%02d-%02d", (F.col("doc_id") % 30).cast("int"), (F.col("doc_id") % 14).cast("int"), (F.col("doc_id") % 33).cast("int"))).alias("day"),
     )
@@ -101,8 +119,8 @@ def label_functions(spark, sf):
 
 LABEL_FUNCTIONS = """
 SELECT doc_id,
-       array_to_string(list_sort(list_distinct([lower(lang), 'en', lower(source)])), '|') AS labels,
-       array_to_string(list_sort([lower(source), lower(lang)]), ', ') AS answer,
+       array_to_string(list_sort(list_distinct([lower(lang), 'en', lower(source), 'en - x'])), '|') AS labels,
+       array_to_string(list_sort([lower(source), lower(lang), 'strasse  nr']), ', ') AS answer,
        array_to_string(list_sort(list_distinct(list_filter(list_transform([lang, 'en'], lambda x: CASE x WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' END), lambda x: x IS NOT NULL))), '|') AS mapped,
        try_cast(printf('2%03d-%02d-%02d', doc_id % 30, doc_id % 14, doc_id % 33) AS DATE) AS day
 FROM documents
@@ -294,8 +312,9 @@ def near_dup_pairs(spark, sf):
 
 
 _SETS_SQL = f"""
-n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY {norm('text')} ORDER BY doc_id) AS r FROM documents),
-w AS (SELECT doc_id, {sql_words('text')} AS w FROM n WHERE r = 1),
+n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY {norm('text')} ORDER BY doc_id) AS r FROM documents), n1 AS (SELECT * FROM n WHERE r = 1),
+{canonical('oc', 'n1', 'doc_id')},
+w AS (SELECT key AS doc_id, {sql_words('t')} AS w FROM oc),
 s AS (SELECT doc_id, {sql_shingles('w')} AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s)
 """
@@ -308,17 +327,58 @@ UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM s x JOIN s y ON len(x.s) = 0 AND l
 
 
 def near_dup_greedy(spark, sf):
-    """Documents a scan by id drops for a kept earlier neighbour; its order dependence is beyond plain SQL."""
+    """Documents a scan by id drops for a kept earlier neighbour."""
     return dedup.near_duplicates(_distinct_sets(spark, sf), THRESHOLD).select(F.col("id").alias("doc_id"))
 
 
+# the scan itself, a document with an earlier neighbour at a time
+NEAR_DUP_GREEDY = f"""
+WITH RECURSIVE p AS ({NEAR_DUP_PAIRS}),
+q AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone
+      UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.earlier, lambda a: NOT list_contains(g.gone, a))) > 0 THEN list_append(g.gone, q.b) ELSE g.gone END FROM g JOIN q ON q.k = g.k + 1)
+SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM g ORDER BY k DESC LIMIT 1)
+"""
+
+
+def _numbered_sets(spark, sf):
+    """(id, s, n) of distinct texts with shingles as 32-bit numbers from md5, which SQL can follow."""
+    rows = docs(spark, sf).select("doc_id", "text")
+    first = dedup.exact_duplicates(rows, text.normalize_text(F.col("text")), "doc_id").where("NOT is_duplicate")
+    words = cut(first.select("doc_id", text.words(text.comparable(F.col("text"))).alias("w")))
+    number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
+    sets = words.select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(F.transform(text.shingles_of(F.col("w"), 4), number))).alias("s"))
+    return cut(sets).withColumn("n", F.size("s").cast("long"))
+
+
 def minhash_signatures(spark, sf):
+    """Digests of the 64 minima of each distinct text."""
+    return dedup.minhash(_numbered_sets(spark, sf)).select(F.col("id").alias("doc_id"), F.sha2(F.array_join("signature", ","), 256).alias("digest"))
+
+
+def minhash_pairs(spark, sf):
     """Pairs that agree on a MinHash band, verified: LSH proposes, the sets decide."""
-    sets = _distinct_sets(spark, sf)
+    sets = _numbered_sets(spark, sf)
     candidates = dedup.minhash_candidates(cut(dedup.minhash(sets)))
     return dedup._verified(candidates, sets, sets, THRESHOLD).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+_MINIMA = ", ".join(f"list_min(list_transform(u, lambda x: (x * {a} + {b}) % {dedup.PRIME}))" for a, b in dedup.coefficients(64))
+_SIGNATURES = f"""
+{_SETS_SQL.rsplit("e AS (", 1)[0]}
+u AS (SELECT doc_id, list_distinct(list_transform(s, lambda x: CAST('0x' || md5(x)[1:8] AS BIGINT))) AS u FROM s),
+m AS (SELECT doc_id, u, [{_MINIMA}] AS m FROM u)
+"""
+MINHASH_SIGNATURES = f"WITH {_SIGNATURES} SELECT doc_id, sha256(array_to_string(m, ',')) AS digest FROM m"
+MINHASH_PAIRS = f"""
+WITH {_SIGNATURES},
+b AS (SELECT doc_id, u, unnest(range(16)) AS band, m FROM m WHERE len(u) > 0), c AS (SELECT doc_id, u, band, m[band * 4 + 1 : band * 4 + 4] AS cell FROM b),
+p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.band = y.band AND x.cell = y.cell AND x.doc_id < y.doc_id),
+j AS (SELECT a, b, len(list_intersect(x.u, y.u)) AS k, len(x.u) + len(y.u) AS n FROM p JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b)
+SELECT a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= {THRESHOLD}
+"""
+
+
 def _sets_of(spark, sf, name, key):
     return dedup.shingle_sets(spread(table(spark, sf, name)), key, F.col("text"))
 
@@ -326,8 +386,8 @@ def _sets_of(spark, sf, name, key):
 def contamination_report(spark, sf):
     """Documents against the benchmark: shared ids, texts, groups, and pairs that are nearly the same."""
     d, b = docs(spark, sf), table(spark, sf, "benchmark")
-    left = d.select(F.col("doc_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.concat_ws("|", F.substring("text", 1, 12), "lang")).alias("grp"))
-    right = b.select(F.col("item_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.concat(F.substring("text", 1, 12), F.lit("|"))).alias("grp"))
+    left = d.select(F.col("doc_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.concat_ws("|", "text", "lang")).alias("grp"))
+    right = b.select(F.col("item_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.col("text")).alias("grp"))
     left, right = cut(left), cut(right)
     count = lambda rows, name: rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
     ids = left.select("id").intersect(right.select("id"))
@@ -338,14 +398,15 @@ def contamination_report(spark, sf):
 
 
 CONTAMINATION_REPORT = f"""
-WITH l AS (SELECT doc_id AS id, {norm('text')} AS k, {norm('substr(text, 1, 12)')} AS g FROM documents), r AS (SELECT item_id AS id, {norm('text')} AS k, {norm('substr(text, 1, 12)')} AS g FROM benchmark),
-lw AS (SELECT doc_id AS id, {sql_words('text')} AS w FROM documents), rw AS (SELECT item_id AS id, {sql_words('text')} AS w FROM benchmark),
+WITH l AS (SELECT doc_id AS id, {norm('text')} AS k, {norm("split_part(text, '|', 1)")} AS g FROM documents), r AS (SELECT item_id AS id, {norm('text')} AS k, {norm("split_part(text, '|', 1)")} AS g FROM benchmark),
+{canonical('lc', 'documents', 'doc_id')}, {canonical('rc', 'benchmark', 'item_id')},
+lw AS (SELECT key AS id, {sql_words('t')} AS w FROM lc), rw AS (SELECT key AS id, {sql_words('t')} AS w FROM rc),
 ls AS (SELECT id, {sql_shingles('w')} AS s FROM lw), rs AS (SELECT id, {sql_shingles('w')} AS s FROM rw),
 le AS (SELECT id, len(s) AS n, unnest(s) AS h FROM ls), re AS (SELECT id, len(s) AS n, unnest(s) AS h FROM rs),
 c AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM le x JOIN re y ON x.h = y.h GROUP BY ALL)
 SELECT 'ids' AS metric, count(*) AS value FROM (SELECT id FROM l INTERSECT SELECT id FROM r)
 UNION ALL SELECT 'texts', count(*) FROM (SELECT k FROM l INTERSECT SELECT k FROM r)
-UNION ALL SELECT 'groups', count(*) FROM (SELECT substr(g, 1, CASE WHEN strpos(g, '|') > 0 THEN strpos(g, '|') - 1 ELSE 99 END) FROM l INTERSECT SELECT substr(g, 1, CASE WHEN strpos(g, '|') > 0 THEN strpos(g, '|') - 1 ELSE 99 END) FROM r)
+UNION ALL SELECT 'groups', count(*) FROM (SELECT g FROM l INTERSECT SELECT g FROM r)
 UNION ALL SELECT 'near_pairs', (SELECT count(*) FROM c WHERE k / (na + nb - k) >= {THRESHOLD}) + (SELECT count(*) FROM ls, rs WHERE len(ls.s) = 0 AND len(rs.s) = 0)
 """
 
@@ -355,26 +416,27 @@ def contamination_containment(spark, sf):
     d = _sets_of(spark, sf, "documents", "doc_id").select(F.col("id").alias("doc_id"), F.explode("s").alias("h"))
     b = _sets_of(spark, sf, "benchmark", "item_id").select(F.col("id").alias("item_id"), "n", F.explode("s").alias("h"))
     share = F.col("k") / F.col("n")
-    return d.join(b, "h").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k")).where(share >= BENCHMARK_SHARE).select("item_id", "doc_id", F.round(share, 6).alias("share"))
+    return dedup.dealt_join(b, d, ["h"], "doc_id").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k")).where(share >= BENCHMARK_SHARE).select("item_id", "doc_id", F.round(share, 6).alias("share"))
 
 
 CONTAMINATION_CONTAINMENT = f"""
-WITH lw AS (SELECT doc_id, {sql_words('text')} AS w FROM documents), rw AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark),
+WITH {canonical('lc', 'documents', 'doc_id')}, {canonical('rc', 'benchmark', 'item_id')},
+lw AS (SELECT key AS doc_id, {sql_words('t')} AS w FROM lc), rw AS (SELECT key AS item_id, {sql_words('t')} AS w FROM rc),
 le AS (SELECT doc_id, unnest({sql_shingles('w')}) AS h FROM lw), rs AS (SELECT item_id, {sql_shingles('w')} AS s FROM rw), re AS (SELECT item_id, len(s) AS n, unnest(s) AS h FROM rs)
 SELECT item_id, doc_id, round(count(*) / n, 6) AS share FROM le JOIN re USING (h) GROUP BY item_id, doc_id, n HAVING count(*) / n >= {BENCHMARK_SHARE}
 """
 
 
 def leak_join(spark, sf):
-    """Held-out rows whose text or group is among the training rows."""
+    """Held-out rows, every fourth, whose text or group is among the training rows, all others."""
     d = docs(spark, sf).select("doc_id", "text", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 3) % 50).alias("grp"))
-    found = dedup.leaks(d.where("doc_id % 4 = 0"), d.where("doc_id % 4 = 1"), text.normalize_text(F.col("text")), "grp")
+    found = dedup.leaks(d.where("doc_id % 4 = 0"), d.where("doc_id % 4 <> 0"), text.normalize_text(F.col("text")), "grp")
     return found.select("doc_id")
 
 
 LEAK_JOIN = f"""
 WITH d AS (SELECT doc_id, {norm('text')} AS k, source || '-' || ((doc_id // 3) % 50) AS g FROM documents)
-SELECT doc_id FROM d WHERE doc_id % 4 = 0 AND (k IN (SELECT k FROM d WHERE doc_id % 4 = 1) OR g IN (SELECT g FROM d WHERE doc_id % 4 = 1))
+SELECT doc_id FROM d WHERE doc_id % 4 = 0 AND (k IN (SELECT k FROM d WHERE doc_id % 4 <> 0) OR g IN (SELECT g FROM d WHERE doc_id % 4 <> 0))
 """
 
 
@@ -487,7 +549,7 @@ def split_search(spark, sf):
 
 def _diverse(spark, sf):
     return docs(spark, sf).select(
-        F.col("doc_id").alias("seq"), F.col("lang").alias("system"), F.col("source").alias("grp"), F.col("text").alias("description"), F.expr("substring(text, 1, CAST(10 + doc_id % 40 AS INT))").alias("answer"), label_array().alias("labels")
+        F.col("doc_id").alias("seq"), F.col("lang").alias("system"), F.col("source").alias("grp"), F.col("text").alias("description"), F.concat_ws(", ", label_array()).alias("answer"), label_array().alias("labels")
     )
 
 
@@ -496,7 +558,7 @@ def diversity_metrics(spark, sf):
 
 
 DIVERSITY_METRICS = f"""
-WITH d AS (SELECT doc_id, lang, source, length(text) AS dl, substr(text, 1, 10 + doc_id % 40) AS a, {LABELS_SQL} AS labels FROM documents),
+WITH d AS (SELECT doc_id, lang, source, length(text) AS dl, array_to_string({LABELS_SQL}, ', ') AS a, {LABELS_SQL} AS labels FROM documents),
 n AS (SELECT count(*) AS n, count(DISTINCT lang) AS sp, count(DISTINCT source) AS g, count(DISTINCT a) AS an, count(*) FILTER (len(labels) > 1) AS multi, list_sort(list(length(a))) AS al, list_sort(list(dl)) AS dls FROM d),
 gc AS (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM d GROUP BY source)), lc AS (SELECT max(c) AS c, count(*) AS k FROM (SELECT count(*) AS c FROM (SELECT unnest(labels) AS l FROM d) GROUP BY l)),
 mc AS (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM d GROUP BY length(a)))
@@ -521,7 +583,7 @@ QUERIES = {
     "option_digests": option_digests, "shingle_counts": shingle_counts, "label_functions": label_functions, "stable_ids": stable_ids, "prompt_pick": prompt_pick,
     "length_filter": length_filter, "reject_reasons": reject_reasons, "pii_mask": pii_mask, "pii_counts": pii_counts, "label_histogram": label_histogram,
     "frequent_labels": frequent_labels, "blocklist": blocklist, "keyed_dedup": keyed_dedup, "clean_metrics": clean_metrics, "near_dup_pairs": near_dup_pairs,
-    "near_dup_greedy": near_dup_greedy, "minhash_signatures": minhash_signatures, "contamination_report": contamination_report, "contamination_containment": contamination_containment,
+    "near_dup_greedy": near_dup_greedy, "minhash_signatures": minhash_signatures, "minhash_pairs": minhash_pairs, "contamination_report": contamination_report, "contamination_containment": contamination_containment,
     "leak_join": leak_join, "hash_prefix_sample": hash_prefix_sample, "audit_sample": audit_sample, "stratified_sample": stratified_sample, "order_strata": order_strata,
     "group_split_drift": group_split_drift, "split_overlap": split_overlap, "split_search": split_search, "diversity_metrics": diversity_metrics, "diversity_violations": diversity_violations,
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import ident
+from tessera.functions import ident, text
 from tessera.operators import encode
 from tessera.session import cut, spread, table
 
 LIMIT = 320
+#: pieces of one document are numbered below this
+PIECES = 1 << 20
 WORD = r"(?U)\s+"
 
 
@@ -137,23 +139,46 @@ SELECT lang, count(*) AS rows, sum(least(n, 256)) AS tokens, count(*) FILTER (n
 
 
 def _packed(spark, sf) -> DataFrame:
-    n = F.least(F.size(encode.whitespace_tokens(F.col("text"))), F.lit(LIMIT))
-    rows = spread(table(spark, sf, "documents")).select("doc_id", n.alias("n")).where("n > 0")
+    """Whole documents: longer ones are cut into pieces of LIMIT words, an empty one is a piece of none."""
+    n = F.size(encode.whitespace_tokens(F.col("text"))).cast("long")
+    words = cut(spread(table(spark, sf, "documents")).select("doc_id", n.alias("n")))
+    last = F.greatest(F.ceil(F.col("n") / LIMIT), F.lit(1)).cast("long") - 1
+    pieces = words.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
+    rows = pieces.select((F.col("doc_id") * PIECES + F.col("j")).alias("piece"), F.least(F.lit(LIMIT), F.col("n") - F.col("j") * LIMIT).alias("n"))
     # about ten thousand rows a shard, whatever the table holds
     shards = max(1, rows.count() // 10_000)
-    return encode.pack(rows, "doc_id", "n", LIMIT, shards)
+    return encode.pack(rows, "piece", "n", LIMIT, shards)
 
 
 def pack_ffd(spark, sf):
-    """First-fit-decreasing bins; the sequential rule is beyond SQL."""
+    """First-fit-decreasing bins of all pieces of documents; SQL follows one shard, so tables of below 20,000 pieces."""
     return _packed(spark, sf)
 
 
+# a piece at a time: into the first bin with room, or a new one
+_BINS = f"""
+w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS n FROM documents),
+d AS (SELECT doc_id, n, unnest(range(greatest(CAST(ceil(n / {LIMIT}) AS BIGINT), 1))) AS j FROM w),
+o AS (SELECT doc_id * {PIECES} + j AS id, least({LIMIT}, n - j * {LIMIT}) AS n FROM d), i AS (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS k FROM o),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bin, CAST([] AS BIGINT[]) AS used
+      UNION ALL SELECT k, id, n, bin, CASE WHEN bin > len(used) THEN list_append(used, n) ELSE list_concat(list_concat(used[1 : bin - 1], [used[bin] + n]), used[bin + 1 :]) END
+      FROM (SELECT i.k, i.id, i.n, f.used, coalesce(nullif(list_position(list_transform(f.used, lambda x: x + i.n <= {LIMIT}), true), 0), len(f.used) + 1) AS bin FROM f JOIN i ON i.k = f.k + 1)),
+b AS (SELECT 0 AS shard, bin - 1 AS bin, row_number() OVER (PARTITION BY bin ORDER BY k) - 1 AS position, id, n AS length FROM f WHERE k > 0)
+"""
+PACK_FFD = f"WITH RECURSIVE {_BINS} SELECT shard, bin, position, id, length FROM b"
+
+
 def pack_report(spark, sf):
     bins = _packed(spark, sf).groupBy("shard", "bin").agg(F.sum("length").alias("used"), F.count("*").alias("items"))
     return bins.agg(F.sum("items").alias("items"), F.count("*").alias("bins"), F.round(F.sum("used") / (F.count("*") * LIMIT), 6).alias("fill"), F.max("items").alias("max_items"), F.ceil(F.count("*") / 8).cast("long").alias("steps"))
 
 
+PACK_REPORT = f"""
+WITH RECURSIVE {_BINS}, s AS (SELECT sum(length) AS used, count(*) AS items FROM b GROUP BY bin)
+SELECT sum(items) AS items, count(*) AS bins, round(sum(used) / (count(*) * {LIMIT}), 6) AS fill, max(items) AS max_items, CAST(ceil(count(*) / 8) AS BIGINT) AS steps FROM s
+"""
+
+
 def prefix_cache_keys(spark, sf):
     e = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
     return e.select("conv_id", ident.prefix_cache_key(F.when(F.col("conv_id") % 2 == 0, F.col("first")), F.concat(F.lit("p:"), F.col("first"))).alias("key"))
@@ -163,13 +188,19 @@ PREFIX_CACHE_KEYS = "WITH e AS (SELECT conv_id, arg_min(text, turn) AS f FROM co
 
 
 def training_view(spark, sf):
-    """Examples with the system prompt replaced and the answer as JSON."""
-    e = _examples(spark, sf)
-    answer = F.concat(F.lit('{"answer": "'), F.regexp_replace(F.regexp_extract("assistant", r"^(\w*)", 1), '"', ""), F.lit('"}'))
-    return e.select("conv_id", F.array_join(F.transform(encode.build_example(F.lit("Answer as JSON."), F.substring("user", 1, 20), answer), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " | ").alias("record"), (F.length("user") > 400).alias("long_description"))
-
-
-TRAINING_VIEW = f"""WITH {_EXAMPLES} SELECT conv_id, 'system: Answer as JSON. | user: ' || substr(u, 1, 20) || ' | assistant: {{"answer": "' || regexp_extract(a, '^(\\w*)', 1) || '"}}' AS record, length(u) > 400 AS long_description FROM x"""
+    """Examples with the system prompt replaced and all labels of the answer as JSON; no record where one is empty or repeated."""
+    e = _examples(spark, sf).select("conv_id", "user", text.canonical_answer(F.col("assistant")).alias("answer"))
+    written = F.to_json(F.array("answer"))
+    answer = F.concat(F.lit('{"answer": '), F.substring(written, F.lit(2), F.length(written) - 2), F.lit("}"))
+    record = F.array_join(F.transform(encode.build_example(F.lit("Answer as JSON."), F.col("user"), answer), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " | ")
+    return e.select("conv_id", F.when(F.col("answer").isNotNull(), F.sha2(record, 256)).alias("record_sha256"), F.length("answer").cast("long").alias("answer_chars"), (F.length("user") > 400).alias("long_description"))
+
+
+TRAINING_VIEW = f"""
+WITH {_EXAMPLES}, p AS (SELECT conv_id, u, list_transform(string_split(replace(lower(a), 'ß', 'ss'), ','), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS parts FROM x),
+r AS (SELECT conv_id, u, CASE WHEN NOT list_contains(parts, '') AND len(list_distinct(parts)) = len(parts) THEN array_to_string(list_sort(parts), ', ') END AS answer FROM p)
+SELECT conv_id, CASE WHEN answer IS NOT NULL THEN sha256('system: Answer as JSON. | user: ' || u || ' | assistant: {{"answer": ' || CAST(to_json(answer) AS VARCHAR) || '}}') END AS record_sha256, length(answer) AS answer_chars, length(u) > 400 AS long_description FROM r
+"""
 
 
 def chat_text(spark, sf):

@@ -24,15 +24,19 @@ HOLD = 1800
 
 
 def attempts(rows: DataFrame) -> DataFrame:
+    """Attempts with what the client saw, classified."""
     i = F.col("event_id")
-    outcome = F.get(F.array(*map(F.lit, R.OUTCOMES)), F.least((i * 7 % 29).cast("int") - 22, F.lit(6)))
+    k = i * 7 % 29
+    status = F.when(k == 23, 429).when(k == 27, 500).when(k.isin(25, 26, 28), None).otherwise(200)
+    error = F.when(k == 25, "timeout").when(k == 26, "refused").when(k == 28, "unsent")
+    outcome = R.classify(status, k <= 22, F.when(k <= 22, 3).when(k == 24, 2).otherwise(0), error)
     return rows.select(
         "event_id",
         "ts",
         "user_id",
         "event_type",
         "value",
-        F.coalesce(F.when(i * 7 % 29 < 22, F.lit("completed")).otherwise(outcome), F.lit("completed")).alias("outcome"),
+        outcome.alias("outcome"),
         F.concat(F.lit("pod-"), (F.col("user_id") % 4).cast("string")).alias("pod"),
         (F.col("user_id") % 6).alias("client"),
         F.when(i % 5 == 0, F.lit(None).cast("boolean")).otherwise(i % 3 == 0).alias("cache_hit"),
@@ -260,11 +264,23 @@ SELECT x.event_id, x.before IS NOT NULL AND (SELECT count(DISTINCT y.item) FROM
 
 
 def admission_queue(spark, sf):
-    """A bounded first-in first-out queue per pod, replayed: a simulation beyond SQL."""
+    """A bounded first-in first-out queue per pod, replayed."""
     rows = _attempts(spark, sf).select(F.col("event_id").alias("id"), "pod", (F.unix_micros(F.col("ts").cast("timestamp")) / 60e6).alias("t"), F.col("value").alias("s"))
     return R.admission(rows, "pod", "t", "s", waiting=8, timeout=120.0)
 
 
+# an arrival of each pod at a time
+ADMISSION_QUEUE = """
+WITH RECURSIVE r AS (SELECT event_id AS id, 'pod-' || (user_id % 4) AS pod, epoch_us(ts) / 60e6 AS t, value AS s, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts) / 60e6, event_id) AS k FROM events),
+q AS (SELECT DISTINCT pod, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS DOUBLE) AS queue_seconds, CAST(-1e300 AS DOUBLE) AS free, CAST([] AS DOUBLE[]) AS waits FROM r
+      UNION ALL SELECT pod, k, id, outcome, CASE outcome WHEN 'served' THEN start - t WHEN 'queue_timeout' THEN 120.0 END, CASE WHEN outcome = 'served' THEN start + s ELSE free END,
+                       CASE WHEN outcome = 'queue_timeout' THEN list_append(waits, t + 120.0) WHEN outcome = 'served' AND start > t THEN list_append(waits, start) ELSE waits END
+      FROM (SELECT *, CASE WHEN start > t AND len(waits) >= 8 THEN 'queue_full' WHEN start - t > 120.0 THEN 'queue_timeout' ELSE 'served' END AS outcome
+            FROM (SELECT r.pod, r.k, r.id, r.t, r.s, q.free, greatest(r.t, q.free) AS start, list_filter(q.waits, lambda x: x > r.t) AS waits FROM q JOIN r ON r.pod = q.pod AND r.k = q.k + 1)))
+SELECT id, pod AS server, outcome, queue_seconds FROM q WHERE k > 0
+"""
+
+
 def open_loop_schedule(spark, sf):
     return R.open_loop_schedule(spark, 120, 2, 4, True)
 
@@ -273,28 +289,28 @@ OPEN_LOOP_SCHEDULE = "SELECT i, i / 2.0 AS offset_seconds, CAST(CASE WHEN i % 5
 
 
 def schedule_difference(spark, sf):
-    """Planned arrivals per client against actual ones as multisets: what is on one side only."""
-    rows = table(spark, sf, "events").select((F.col("event_id") % 240).alias("i"), (F.col("user_id") % 4).alias("client"))
-    planned = R.open_loop_schedule(spark, 120, 2, 4).select("i", "client")
-    actual = rows.where("event_id < 240")
+    """A plan of as many arrivals as there are events against these, as multisets: what is on one side only; every ninth went to another client."""
+    events = table(spark, sf, "events")
+    planned = R.open_loop_schedule(spark, events.count(), 1, 4).select("i", "client")
+    actual = events.select(F.col("event_id").alias("i"), F.when(F.col("event_id") % 9 == 0, F.col("user_id") % 4).otherwise(F.col("event_id") % 4).alias("client"))
     side = lambda a, b, name: a.exceptAll(b).groupBy("i", "client").agg(F.count("*").alias("times")).withColumn("side", F.lit(name))
     return side(planned, actual, "planned").unionByName(side(actual, planned, "actual"))
 
 
 SCHEDULE_DIFFERENCE = """
-WITH p AS (SELECT i, i % 4 AS client FROM range(240) t(i)), a AS (SELECT event_id % 240 AS i, user_id % 4 AS client FROM events WHERE event_id < 240)
+WITH p AS (SELECT i, i % 4 AS client FROM range((SELECT count(*) FROM events)) t(i)), a AS (SELECT event_id AS i, CASE WHEN event_id % 9 = 0 THEN user_id % 4 ELSE event_id % 4 END AS client FROM events)
 SELECT i, client, count(*) AS times, 'planned' AS side FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM a) GROUP BY ALL UNION ALL SELECT i, client, count(*), 'actual' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM p) GROUP BY ALL
 """
 
 
 def routing_trace(spark, sf):
-    e = _attempts(spark, sf).where("event_id % 3 = 0").select(F.col("event_id").alias("request_id"), "client", F.concat(F.lit("10.0.0."), (F.col("user_id") % 5).cast("string")).alias("client_ip"), F.when(F.col("outcome") != "unsent", F.col("pod")).alias("pod"))
+    e = _attempts(spark, sf).select(F.col("event_id").alias("request_id"), "client", F.concat(F.lit("10.0.0."), (F.col("user_id") % 5).cast("string")).alias("client_ip"), F.when(F.col("outcome") != "unsent", F.col("pod")).alias("pod"))
     logs = table(spark, sf, "events").where("event_id % 4 < 3").select(F.col("event_id").alias("request_id"), F.concat(F.lit("10.0.0."), F.when(F.col("event_id") % 7 == 0, F.lit("9")).otherwise((F.col("user_id") % 5).cast("string"))).alias("source_ip"))
     return R.routing_trace(e, logs)
 
 
 ROUTING_TRACE = f"""
-WITH {_A}, e AS (SELECT event_id, client, '10.0.0.' || (user_id % 5) AS client_ip, coalesce(CASE WHEN outcome <> 'unsent' THEN pod END, 'no response') AS pod, user_id FROM a WHERE event_id % 3 = 0),
+WITH {_A}, e AS (SELECT event_id, client, '10.0.0.' || (user_id % 5) AS client_ip, coalesce(CASE WHEN outcome <> 'unsent' THEN pod END, 'no response') AS pod, user_id FROM a),
 l AS (SELECT event_id, '10.0.0.' || CASE WHEN event_id % 7 = 0 THEN '9' ELSE CAST(user_id % 5 AS VARCHAR) END AS ip FROM events WHERE event_id % 4 < 3)
 SELECT client, client_ip, pod, count(*) AS requests, count(ip) AS matched, count(*) FILTER (ip <> client_ip) AS mismatched FROM e LEFT JOIN l USING (event_id) GROUP BY ALL
 """
@@ -364,16 +380,17 @@ SELECT pod, string_agg(DISTINCT r, '; ' ORDER BY r) AS violations FROM r GROUP B
 
 
 def outcome_classes(spark, sf):
-    """Outcomes from status, completion, chunks and error by ordered cases."""
+    """Outcomes from status, completion, chunks and error by ordered cases; all combinations occur."""
     i = F.col("event_id")
-    status = F.when(i % 4 == 0, 200).when(i % 4 == 1, 429).when(i % 4 == 2, 503)
-    error = F.when(i % 7 == 1, "timeout").when(i % 7 == 2, "connection").when(i % 7 == 3, "unsent")
-    return table(spark, sf, "events").select("event_id", R.classify(status, (i % 4 == 0) & (i % 7 == 0), i % 3, error).alias("outcome"), cpu_cores(F.when(i % 2 == 0, F.concat((i % 900).cast("string"), F.lit("m"))).otherwise((i % 9).cast("string"))).alias("cores"))
+    status = F.when(i % 5 == 0, 200).when(i % 5 == 1, 429).when(i % 5 == 2, 503).when(i % 5 == 3, 500)
+    error = F.when(i % 7 == 1, "timeout").when(i % 7 == 2, "reset by peer").when(i % 7 == 3, "")
+    return table(spark, sf, "events").select("event_id", R.classify(status, i % 2 == 0, i % 3, error).alias("outcome"), cpu_cores(F.when(i % 2 == 0, F.concat((i % 900).cast("string"), F.lit("m"))).otherwise((i % 9).cast("string"))).alias("cores"))
 
 
 OUTCOME_CLASSES = """
-WITH e AS (SELECT event_id AS i, CASE WHEN event_id % 4 = 0 THEN 200 WHEN event_id % 4 = 1 THEN 429 WHEN event_id % 4 = 2 THEN 503 END AS s, CASE WHEN event_id % 7 = 1 THEN 'timeout' WHEN event_id % 7 = 2 THEN 'connection' WHEN event_id % 7 = 3 THEN 'unsent' END AS e FROM events)
-SELECT i AS event_id, CASE WHEN i % 4 = 0 AND i % 7 = 0 THEN 'completed' WHEN e = 'unsent' THEN 'unsent' WHEN e = 'timeout' THEN 'timeout' WHEN i % 3 > 0 THEN 'interrupted' WHEN s IN (429, 503) THEN 'rejected' WHEN e = 'connection' THEN 'connection_error' ELSE 'error' END AS outcome,
+WITH t(s5, e7, r) AS (VALUES (1, NULL, 'rejected'), (2, NULL, 'rejected'), (3, NULL, 'error'), (0, 1, 'timeout'), (4, 1, 'timeout'), (0, 2, 'interrupted')),
+e AS (SELECT event_id AS i, event_id % 5 AS s5, event_id % 7 AS e7, event_id % 3 > 0 AS chunks, event_id % 2 = 0 AS done FROM events)
+SELECT i AS event_id, coalesce((SELECT r FROM t WHERE t.s5 = e.s5 AND (t.e7 IS NULL OR t.e7 = e.e7)), CASE WHEN done AND e7 <> 2 THEN 'completed' WHEN s5 = 0 OR chunks THEN 'interrupted' ELSE 'connection_error' END) AS outcome,
 CASE WHEN i % 2 = 0 THEN (i % 900) / 1000 ELSE CAST(i % 9 AS DOUBLE) END AS cores FROM e
 """
 

@@ -22,7 +22,7 @@ def _expected(quality: str = "quality", n: str = "n_chars") -> Column:
 
 def _golden(spark, sf) -> DataFrame:
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rows = d.join(labels, "doc_id").where("doc_id % 2 = 0")
+    rows = d.join(labels, "doc_id")
     slices = F.array(F.concat(F.lit("lang:"), F.col("lang")), F.when(F.col("n_chars") > 2500, "size:large").otherwise("size:small"), F.lit("all"))
     return rows.select(F.col("doc_id").alias("id"), _expected().alias("expected"), F.array(*map(F.lit, CHOICES)).alias("choices"), slices.alias("slices"), F.col("source").alias("group_id"), "text")
 
@@ -30,7 +30,7 @@ def _golden(spark, sf) -> DataFrame:
 _GOLDEN = """
 g AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'REFUSE' WHEN quality = 1 AND n_chars > 2500 THEN 'clean, long' WHEN quality = 1 THEN 'clean' WHEN n_chars > 2500 THEN 'long' ELSE 'brief' END AS expected,
              ['lang:' || lang, CASE WHEN n_chars > 2500 THEN 'size:large' ELSE 'size:small' END, 'all'] AS slices
-      FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 0)
+      FROM documents JOIN labels USING (doc_id))
 """
 
 
@@ -161,14 +161,14 @@ UNION ALL SELECT 'behavioral cases not all passed' FROM bh WHERE n < 3 OR correc
 def golden_contract(spark, sf):
     golden = _golden(spark, sf).withColumn("input", F.col("text"))
     behavioral = golden.where("id % 20 = 0").select((F.col("id") + 1_000_000).alias("id"), "group_id", F.concat(F.lit("again: "), "input").alias("input"), "expected", "choices", "slices").withColumn("type", F.when(F.col("id") % 3 == 0, "format").when(F.col("id") % 3 == 1, "paraphrase").otherwise("joke")).withColumn("paired_with", (F.col("id") - 1_000_000).cast("string"))
-    training = table(spark, sf, "documents").where("doc_id % 2 = 1").select(F.col("text").alias("input"), F.concat(F.col("source"), F.lit("-t")).alias("group_id"))
+    training = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select(F.col("text").alias("input"), F.concat(F.col("source"), F.lit("-t")).alias("group_id"))
     as_text = lambda df: df.withColumn("id", F.col("id").cast("string"))
     return evaluate.golden_contract(as_text(golden), as_text(behavioral), training, lambda c: F.lower(text.squeeze(c)))
 
 
 GOLDEN_CONTRACT = r"""
-WITH g AS (SELECT doc_id AS id, source AS grp, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 0),
-b AS (SELECT id + 1000000 AS id, grp, lower('again: ') || k AS k FROM g WHERE id % 20 = 0), t AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM documents WHERE doc_id % 2 = 1),
+WITH g AS (SELECT doc_id AS id, source AS grp, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT id + 1000000 AS id, grp, lower('again: ') || k AS k FROM g WHERE id % 20 = 0), t AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 r AS (
 SELECT 'fewer than 50 golden items' AS reason, (SELECT count(*) FROM g) AS items, (SELECT count(*) FROM g) < 50 AS bad
 UNION ALL SELECT 'a kind of behavioral case is missing', (SELECT count(DISTINCT CASE WHEN id % 3 IN (0, 1) THEN id % 3 END) FROM b), true

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: metrics of one document
+MOST_METRICS = 100_000
+
+
 def write_jsonl(rows: DataFrame, path: str, order: list[str], single: bool = False) -> None:
     """One JSON object a line, UTF-8, in order.  ``single`` makes one file of a result that is known to be small."""
     ordered = rows.coalesce(1).sortWithinPartitions(*order) if single else rows.orderBy(*order)
@@ -51,8 +55,13 @@ def write_json_atomic(path: str, value: Any) -> bool:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> dict[str, Any]:
-    """One JSON document of a (metric, value) table, written before any gate may fail."""
-    found = {r["metric"]: r["value"] for r in metrics.orderBy("metric").limit(10_000).collect()}
+    """One JSON document of a (metric, value) table, written before any gate may fail.
+
+    All metrics are in it; a document is for some thousands, so more than ``MOST_METRICS`` are an error."""
+    rows = metrics.orderBy("metric").limit(MOST_METRICS + 1).collect()
+    if len(rows) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} metrics: write them as a table")
+    found = {r["metric"]: r["value"] for r in rows}
     write_json_atomic(path, found)
     return found
 

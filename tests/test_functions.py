@@ -100,3 +100,51 @@ def test_nearest_rank(spark):
 def test_histogram_quantile(spark, buckets, want):
     df = spark.createDataFrame([("k", float(e), n) for e, n in buckets], "k string, le double, count long")
     assert stats.histogram_quantile(df, 0.5, ["k"]).first()["quantile"] == (pytest.approx(want) if want is not None else None)
+
+
+def test_rules_that_are_easily_taken_for_others(spark):
+    """Case folding is no lower-casing, labels are composed, options come before words."""
+    assert one(spark, text.canonical_answer, " Straße ,b  b\t") == "b  b, strasse"  # inner white space stays
+    assert one(spark, text.canonical_answer, "STRASSE, straße") is None
+    assert sorted(one(spark, text.label_set, "Ｄｒａｍａ, a — b,DRAMA,x，y")) == ["a - b", "drama", "x,y"]
+    a, b = "Which one?\n1) red fox\n2) blue hen", "Which one?\na. Blue  hen\nb. red fox"
+    sets = [one(spark, lambda c: text.shingle_hashes(c, 2), t) for t in (a, b, a.replace("fox", "fox é"), "i. one two")]
+    assert sets[0] == sets[1] != sets[2] and sets[3] == one(spark, lambda c: text.shingle_hashes(c, 2), "one two")
+
+
+def test_outcomes_by_the_first_case_that_holds(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.requests import classify
+
+    cases = [
+        (429, True, 3, "timeout", "rejected"), (503, False, 0, None, "rejected"), (500, False, 2, None, "error"), (404, True, 0, "timeout", "error"),
+        (200, True, 3, "timeout", "timeout"), (None, False, 0, "timeout", "timeout"), (200, True, 3, "reset", "interrupted"), (None, False, 1, "reset", "interrupted"),
+        (None, False, 0, "reset", "connection_error"), (200, True, 3, None, "completed"), (200, True, 3, "", "completed"), (200, False, 0, None, "interrupted"),
+        (None, None, None, None, "connection_error"), (None, False, 0, "unsent", "unsent"),
+    ]
+    df = spark.createDataFrame(cases, "status int, completed boolean, chunks int, error string, want string")
+    for r in df.withColumn("got", classify(*map(F.col, ("status", "completed", "chunks", "error")))).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_order_statistics(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import stats
+
+    values = [random.Random(4).choice([1, 1, 2, 5, 5, 9, 40, 41]) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    s = sorted(v for v in values if v is not None)
+    got = stats.nearest_rank(df, "v", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 1.0}).first()
+    assert [got[c] for c in "abcd"] == [s[min(len(s) - 1, int(q * len(s)))] for q in (0.0, 0.1, 0.5, 1.0)]
+    assert stats.nearest_rank(df.limit(0), "v", {"a": 0.5}).first()["a"] is None
+    inf = float("inf")
+    buckets = spark.createDataFrame([("x", 1.0, 3), ("x", inf, 4), ("y", 1.0, 0), ("y", 2.0, 2), ("y", inf, 2), ("z", 1.0, 0), ("z", inf, 0)], "k string, le double, count long")
+    at = lambda q: {r["k"]: r["quantile"] for r in stats.histogram_quantile(buckets, q, ["k"]).collect()}
+    assert at(0.0) == {"x": 0.0, "y": 1.0, "z": None} and at(0.5) == {"x": 2 / 3, "y": 1.5, "z": None}
+    numbers = [2.675, 0.125, 0.375, -1.005, 1e300, 0.5, None]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(stats.round_even(F.col("x"), 2)).collect()] == [None if x is None else round(x, 2) for x in numbers]
