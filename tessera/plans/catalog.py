@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import checks, curation, encoding, requests, scoring
+from tessera.plans import checks, curation, encoding, files, requests, scoring
 
-_MODULES = (curation, encoding, scoring, requests, checks)
+_MODULES = (curation, encoding, scoring, requests, checks, files)
 #: columns that DuckDB sums to a wider integer than Spark
 _SUMS = {
+    "pack_report": ("items",),
     "token_stats": ("supervised", "tokens"),
     "lexical_summary": ("tokens",),
     "score_overall": ("tp", "fp", "fn", "support"),

@@ -333,8 +333,8 @@ def near_dup_greedy(spark, sf):
 
 # the scan itself, a document with an earlier neighbour at a time
 NEAR_DUP_GREEDY = f"""
-WITH RECURSIVE p AS ({NEAR_DUP_PAIRS}),
-q AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+WITH RECURSIVE p AS MATERIALIZED ({NEAR_DUP_PAIRS}),
+q AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
 g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone
       UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.earlier, lambda a: NOT list_contains(g.gone, a))) > 0 THEN list_append(g.gone, q.b) ELSE g.gone END FROM g JOIN q ON q.k = g.k + 1)
 SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM g ORDER BY k DESC LIMIT 1)

@@ -159,11 +159,11 @@ def pack_ffd(spark, sf):
 _BINS = f"""
 w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS n FROM documents),
 d AS (SELECT doc_id, n, unnest(range(greatest(CAST(ceil(n / {LIMIT}) AS BIGINT), 1))) AS j FROM w),
-o AS (SELECT doc_id * {PIECES} + j AS id, least({LIMIT}, n - j * {LIMIT}) AS n FROM d), i AS (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS k FROM o),
+o AS (SELECT doc_id * {PIECES} + j AS id, least({LIMIT}, n - j * {LIMIT}) AS n FROM d), i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS k FROM o),
 f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bin, CAST([] AS BIGINT[]) AS used
       UNION ALL SELECT k, id, n, bin, CASE WHEN bin > len(used) THEN list_append(used, n) ELSE list_concat(list_concat(used[1 : bin - 1], [used[bin] + n]), used[bin + 1 :]) END
       FROM (SELECT i.k, i.id, i.n, f.used, coalesce(nullif(list_position(list_transform(f.used, lambda x: x + i.n <= {LIMIT}), true), 0), len(f.used) + 1) AS bin FROM f JOIN i ON i.k = f.k + 1)),
-b AS (SELECT 0 AS shard, bin - 1 AS bin, row_number() OVER (PARTITION BY bin ORDER BY k) - 1 AS position, id, n AS length FROM f WHERE k > 0)
+b AS (SELECT 0 AS shard, CAST(bin - 1 AS INTEGER) AS bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY k) - 1 AS INTEGER) AS position, id, n AS length FROM f WHERE k > 0)
 """
 PACK_FFD = f"WITH RECURSIVE {_BINS} SELECT shard, bin, position, id, length FROM b"
 

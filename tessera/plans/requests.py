@@ -271,7 +271,7 @@ def admission_queue(spark, sf):
 
 # an arrival of each pod at a time
 ADMISSION_QUEUE = """
-WITH RECURSIVE r AS (SELECT event_id AS id, 'pod-' || (user_id % 4) AS pod, epoch_us(ts) / 60e6 AS t, value AS s, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts) / 60e6, event_id) AS k FROM events),
+WITH RECURSIVE r AS MATERIALIZED (SELECT event_id AS id, 'pod-' || (user_id % 4) AS pod, epoch_us(ts) / 60e6 AS t, value AS s, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts) / 60e6, event_id) AS k FROM events),
 q AS (SELECT DISTINCT pod, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS DOUBLE) AS queue_seconds, CAST(-1e300 AS DOUBLE) AS free, CAST([] AS DOUBLE[]) AS waits FROM r
       UNION ALL SELECT pod, k, id, outcome, CASE outcome WHEN 'served' THEN start - t WHEN 'queue_timeout' THEN 120.0 END, CASE WHEN outcome = 'served' THEN start + s ELSE free END,
                        CASE WHEN outcome = 'queue_timeout' THEN list_append(waits, t + 120.0) WHEN outcome = 'served' AND start > t THEN list_append(waits, start) ELSE waits END
