@@ -59,7 +59,7 @@ def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame
     ranked = sets.select("id", "n", F.explode("s").alias("h")).join(common, "h")
     mine = Window.partitionBy("id")
     position = F.row_number().over(mine.orderBy("f", "h")) + F.col("n") - F.count("*").over(mine)
-    return ranked.withColumn("p", position).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "h")
+    return ranked.withColumn("p", position).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "h", "f")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -73,15 +73,21 @@ def jaccard(a: Column, b: Column) -> Column:
 TILE = 4096
 
 
-def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], place: str, tile: int = TILE) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], place: str, tile: int = TILE, count: str | None = None) -> DataFrame:
     """``left`` and ``right`` joined on ``keys``; those that many rows have are dealt out.
 
+    ``count`` is a column of both with the rows that a key has, where it is known; it goes.
+
     Rows of ``right`` with a key go to tiles of about ``tile`` by a hash of ``place``, a
     column of theirs, and each row of ``left`` meets all tiles of its key: no task holds
     more than a tile of a hot key, and nothing is left out."""
-    tiles = right.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("__t"))
-    right = right.join(tiles, keys).withColumn("__tile", F.pmod(F.xxhash64(place, F.lit(5)), F.col("__t")).cast("int")).drop("__t")
-    left = left.join(tiles, keys).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).drop("__t")
+    if count:
+        left, right = (side.withColumn("__t", F.ceil(F.col(count) / tile).cast("int")).drop(count) for side in (left, right))
+    else:
+        tiles = right.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("__t"))
+        left, right = left.join(tiles, keys), right.join(tiles, keys)
+    right = right.withColumn("__tile", F.pmod(F.xxhash64(place, F.lit(5)), F.col("__t")).cast("int")).drop("__t")
+    left = left.withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).drop("__t")
     return left.join(right, [*keys, "__tile"]).drop("__tile")
 
 
@@ -106,8 +112,8 @@ def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame
     member = cut(sets.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
     rare = classes.where("n > 0")
     prefix = cut(_prefixes(rare, _common(rare), t))
-    left, right = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    candidates = dealt_join(left, right, ["h"], "b").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
+    left, right = prefix.select("h", "f", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
+    candidates = dealt_join(left, right, ["h"], "b", count="f").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
     return cut(_verified(candidates, rare, rare, t)), member
 
 
@@ -136,9 +142,9 @@ def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.
     """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar."""
     t = check_threshold(threshold)
     common = _common(left.unionAll(right))
-    a = cut(_prefixes(left, common, t).select("h", F.col("id").alias("a"), F.col("n").alias("na")))
-    b = cut(_prefixes(right, common, t).select("h", F.col("id").alias("b"), F.col("n").alias("nb")))
-    candidates = dealt_join(b, a, ["h"], "a").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
+    a = _prefixes(left, common, t).select("h", "f", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = _prefixes(right, common, t).select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
+    candidates = dealt_join(b, a, ["h"], "a", count="f").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
     empty = left.where("n = 0").select(F.col("id").alias("a"), "n").join(right.where("n = 0").select(F.col("id").alias("b"), "n"), "n").select("a", "b", F.lit(1.0).alias("jaccard"))
     return _verified(candidates, left, right, t).unionAll(empty)
 
