@@ -93,13 +93,14 @@ def lowest(rows: DataFrame, n: int, total: int, *ties: str) -> DataFrame:
     return below(rows, n, total).orderBy("h", *(ties or ("doc_id",))).limit(n)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as ``(node, component)``.
 
     ``component`` is the smallest node reachable.  Nodes without an edge do not
     appear.  Alternating large-star and small-star rounds (Kiveris et al., 2014):
     each is a grouped minimum and a join, so neither the driver nor a task ever
-    holds a component; the rounds grow with the logarithm of the longest path.
+    holds a component; the rounds, which end at a fixed point, grow with the logarithm
+    of the longest path.
     Null ends and self loops are ignored, repeats are merged."""
     e = cut(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -112,9 +113,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return row[0], row[1]
 
     now = state(e)
-    for _ in range(max_rounds):
-        if not now[0]:
-            break
+    while now[0]:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("x")).unionAll(e.select(F.col("v").alias("n"), F.col("u").alias("x")))
         low = both.groupBy("n").agg(F.min("x").alias("m0")).select("n", F.least("n", "m0").alias("m"))
         large = both.where("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
@@ -131,8 +130,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before, now = now, state(e)
         if before == now:
             break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -105,7 +105,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
 
     ``rules``: (verdict, host, path prefix), verdict "allow" or "block"; of two for the
     same host and path the last holds.  A url that no rule fits gets ``otherwise`` and
-    a null rule.  Null urls and those without ``://`` have an empty host and path.
+    a null rule; of two rules of equal length that fit, the one whose host has fewer
+    labels wins.  Null urls and those without ``://`` have an empty host and path.
     Repeated rows, null ids and other columns are no trouble; the latter are not read."""
     if {v for v, _, _ in rules} - {"allow", "block"}:
         raise ValueError("a verdict is allow or block")
