@@ -33,29 +33,36 @@ TILE = 1024
 MAX_BITS = 3
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; a text with fewer words has one, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = len(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.empty(n, np.int64)
     starts[0] = 0
     starts[1:] = ends[:-1] + 1
     h64 = xxhash.xxh64_intdigest
     last = n - shingle + 1
-    hashes = np.fromiter(
+    return np.fromiter(
         (h64(joined[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, last
     )
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     ones = np.zeros(64, np.int64)
-    for k in range(0, last, 1 << 16):  # bounded memory for very long texts
+    for k in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint_column(text: Column, shingle: int = 3) -> Column:
@@ -140,14 +147,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with one get the smallest id of their component, or null if it has none.
     Repeated ids each get a row; an empty table gives an empty result.  Other
     columns of ``docs`` are not read."""
+    return _components(docs, id_col, text_col, shingle, max_bits).drop("root")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     ids = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     classes = cut(ids.groupBy("fp").agg(F.min("id").alias("low")))
     comps = cut(connected_components(links(classes.select("fp"), max_bits)))
     named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = cut(named.join(lows, "root").select("fp", "component_id"))
+    by_fp = cut(named.join(lows, "root").select("fp", "component_id", "root"))
     # (id, fp) rows only; a hot fingerprint's rows are a skewed side that adaptive execution splits
-    return ids.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return ids.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -155,8 +166,17 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     All columns stay as they are.  Rows without an id stay.  Rows that repeat an id are
     told apart by their fingerprints: each counts in its own component, and where the
-    smallest id of a component is on several of its rows, one of them stays."""
-    found = cut(simhash_components(docs, id_col, text_col, **options))
+    smallest id of a component is on several of its rows, one of them stays; different
+    texts that share an id but no component all stay."""
+    found = cut(_components(docs, id_col, text_col, **options))
+    return representatives(docs, found, "fp", fingerprint_column(F.col(text_col), options.get("shingle", 3)), id_col)
+
+
+def representatives(docs: DataFrame, found: DataFrame, kind: str, of_text: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found(<id_col>, <kind>, component_id, root)``.
+
+    ``of_text`` gives the ``kind`` of a row of ``docs``, by which rows that repeat an id are told apart.
+    Components that such rows name with one id differ by ``root``."""
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     repeated = cut(found.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__again")))
     if repeated.isEmpty():
@@ -165,7 +185,7 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     alone = docs.join(repeated, on, "left_anti")
     alone = alone.join(gone, alone[id_col] == F.col("__gone"), "left_anti")
     first = found.join(repeated, found[id_col] == F.col("__again")).where(F.col("component_id") == F.col("__again"))
-    first = first.groupBy("__again").agg(F.min("fp").alias("__first"))
-    rows = docs.join(repeated, on, "left_semi").withColumn("__fp", fingerprint_column(F.col(text_col), options.get("shingle", 3)))
-    kept = rows.join(first, (rows[id_col] == first["__again"]) & (rows["__fp"] == first["__first"])).dropDuplicates([id_col]).select(*docs.columns)
+    first = first.groupBy("__again", "root").agg(F.min(kind).alias("__first")).drop("root")
+    rows = docs.join(repeated, on, "left_semi").withColumn("__kind", of_text)
+    kept = rows.join(first, (rows[id_col] == first["__again"]) & (rows["__kind"] == first["__first"])).dropDuplicates([id_col, "__kind"]).select(*docs.columns)
     return alone.unionByName(kept)

@@ -85,6 +85,13 @@ def test_rows_that_repeat_an_id_are_judged_each(spark):
     assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, words(1)), (3, words(3)), (5, words(5))]
 
 
+def test_different_texts_that_share_an_id_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(7, words(1), "", ""), (7, words(2), "", ""), (8, words(2), "", ""), (7, words(1), "", "")]
+    left = simhash.near_duplicates_removed(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(7, words(1)), (7, words(2))]
+
+
 @pytest.mark.parametrize("tile", [2, 16, 1024])
 def test_links_within_hot_keys(spark, tile):
     rng = random.Random(tile)
