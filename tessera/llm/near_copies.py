@@ -7,8 +7,9 @@ similarity of ``least`` = 0.8 or more; two empty sets are alike.
 A set of shingles has a fingerprint of 256 bits, each 1 where over half of its shingles
 have it.  At a similarity of 0.8 a bit differs with probability 0.15, about 39 bits in
 all, too many for blocks that are sure to be untouched: blocks of ``b`` bits are drawn
-from all 256, so many that a pair at 0.8 shares one with probability ``1 - e^-3.5`` = 0.97
-(0.85^b for each), and nearer pairs more often.  ``b`` is 18, and grows with the number of
+from all 256, 5.5 / 0.85^b of them.  Were they independent a pair at 0.8 would share one with
+probability ``1 - e^-5.5``; as they share bits it is less (README has what was measured),
+and more for nearer pairs.  ``b`` is 18, and grows with the number of
 texts so that a block's value is shared by some 64 strangers at any size.  What shares a
 block is compared by Hamming distance: at most ``SURE`` bits link at once (at 0.8 that many
 or fewer has a probability below 1e-5), up to ``OPEN`` bits are decided on the sets.
@@ -82,7 +83,7 @@ def block_values(words: np.ndarray, width: int, blocks: int) -> np.ndarray:
 def plan(n: int) -> tuple[int, int]:
     """Bits of a block and number of blocks for ``n`` texts."""
     width = min(40, max(18, math.ceil(math.log2(max(1, n))) - 6))
-    return width, math.ceil(3.5 / 0.85**width)
+    return width, math.ceil(5.5 / 0.85**width)
 
 
 def _described(text: Column, size: int) -> Column:
