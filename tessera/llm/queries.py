@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, classifier, embedding_dedup, language_id, packing, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter
+from tessera.llm import chat, classifier, embedding_dedup, fill_in_middle, language_id, packing, point_in_time, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter
 from tessera.llm.common import table
 
 
@@ -120,6 +120,73 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 """
 
 
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as versions of their source, with times drawn from their ids; labels as questions."""
+    draw = lambda i: F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 8 * i + 1, 8), 16, 10).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    event = draw(0) % 20000
+    versions = docs.select("doc_id", "source", event.alias("event"), (event - 60 + draw(1) % 300).alias("arrival"), (event + draw(2) % 900).alias("expiry"), "n_chars", "lang")
+    sources = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("source").alias("source"))  # one for each id, also where rows repeat it
+    questions = table(spark, sf_dir, "labels").select("doc_id", (draw(3) % 20000).alias("t")).join(sources, "doc_id", "left")
+    found = point_in_time.point_in_time(questions, versions, entity="source", version_id="doc_id", features=["n_chars", "lang"])
+    age = F.col("t") - F.col("version.event")
+    status = F.when(F.col("version").isNull(), "none").when(age > 60, "stale").otherwise("fresh")
+    fresh = lambda name: F.when(F.col("status") == "fresh", F.col(f"version.{name}")).alias(name)
+    return found.withColumn("status", status).select("doc_id", "t", F.col("version.version_id").alias("version_id"), age.alias("age"), "status", fresh("n_chars"), fresh("lang"))
+
+
+OP12_SQL = """
+WITH drawn AS (
+    SELECT doc_id, source, n_chars, lang, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents
+), versions AS (
+    SELECT doc_id, source, n_chars, lang, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 20000 AS event,
+           CAST('0x' || substr(h, 9, 8) AS BIGINT) % 300 AS b, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 900 AS c
+    FROM drawn
+), asked AS (
+    SELECT row_number() OVER () AS ask, l.doc_id, d.source, CAST('0x' || substr(sha256(CAST(l.doc_id AS VARCHAR)), 25, 8) AS BIGINT) % 20000 AS t
+    FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id
+), ranked AS (
+    SELECT ask, a.doc_id, t, v.doc_id AS version_id, t - event AS age, n_chars, lang,
+           row_number() OVER (PARTITION BY ask ORDER BY event DESC, event - 60 + b, v.doc_id DESC) AS k
+    FROM asked a LEFT JOIN versions v ON v.source = a.source AND event <= t AND event - 60 + b <= t AND t < event + c
+)
+SELECT doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 60 THEN 'stale' ELSE 'fresh' END AS status,
+       CASE WHEN age <= 60 THEN n_chars END AS n_chars, CASE WHEN age <= 60 THEN lang END AS lang
+FROM ranked WHERE k = 1
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), cut AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM drawn
+), formed AS (
+    SELECT doc_id, text, units, len(units) AS n,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+           least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b
+    FROM cut
+), parts AS (
+    SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s
+    FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -131,9 +198,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op12_point_in_time": op12_point_in_time,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules_sql.SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_point_in_time": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
