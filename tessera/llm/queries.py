@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, classifier, embedding_dedup, fill_in_middle, language_id, packing, point_in_time, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter
+from tessera.llm import chat, classifier, embedding_dedup, fill_in_middle, language_id, packing, point_in_time, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -120,6 +120,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives in the shared folder and says of each what its record says."""
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payload=False).where("record_type IN ('response', 'revisit')")
+    return read.select(warc.row_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.row_id(F.col("refers_to")).alias("refers_to"))
+
+
 def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as versions of their source, with times drawn from their ids; labels as questions."""
     draw = lambda i: F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 8 * i + 1, 8), 16, 10).cast("long")
@@ -198,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_warc": op11_warc,
     "op12_point_in_time": op12_point_in_time,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
