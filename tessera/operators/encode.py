@@ -1,13 +1,12 @@
-"""Chat examples, prompt masks, truncation, packing and padding."""
+"""Chat examples, prompt masks, truncation and padding."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import ranked
+
 IGNORED = -100
 DEFAULT_SYSTEM = "You are a helpful assistant."
 
@@ -75,62 +74,9 @@ def valid_row(input_ids: Column, mask: Column, labels: Column) -> Column:
     return F.coalesce(same & bits & match & F.exists(labels, lambda x: x != IGNORED), F.lit(False))
 
 
-def first_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of indices: longest first, equal ones in order, each into the first bin with room.
-
-    The first bin with room comes from a tree of maxima: n log n in all."""
-    leaves = 1 << max(0, (len(lengths) - 1).bit_length())
-    room = [size] * (2 * leaves)  # a bin that is not open yet has all its room
-    bins: list[list[int]] = []
-    for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        n = lengths[i]
-        if n > size:
-            raise ValueError(f"an item of {n} does not fit into bins of {size}")
-        at = 1
-        while at < leaves:
-            at = 2 * at if room[2 * at] >= n else 2 * at + 1
-        if at - leaves == len(bins):
-            bins.append([])
-        bins[at - leaves].append(i)
-        room[at] -= n
-        while at > 1:
-            at >>= 1
-            room[at] = max(room[2 * at], room[2 * at + 1])
-    return bins
-
-
-def pack(rows: DataFrame, id_col: str, length: str, size: int, shards: int) -> DataFrame:
-    """``(shard, bin, position, id, length)``: first-fit decreasing within each of ``shards`` hash shards.
-
-    The algorithm is sequential; a shard is one task, and shards are chosen so that
-    each stays small."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        out = [(int(pdf["shard"].iat[0]), b, p, pdf["id"].iat[i], int(pdf["length"].iat[i])) for b, items in enumerate(first_fit_decreasing(pdf["length"].tolist(), size)) for p, i in enumerate(items)]
-        return pd.DataFrame(out, columns=["shard", "bin", "position", "id", "length"])
-
-    dealt = rows.select(F.col(id_col).alias("id"), F.col(length).cast("long").alias("length"), F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(run, "shard int, bin int, position int, id long, length long")
-
-
 def batches(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """``rows`` with ``batch``: their rank by ``order``, in batches of ``size``.
-
-    Ranks come from range partitions and the row counts before each, not from a
-    window over everything."""
-    spark = rows.sparkSession
-    from tessera.session import cut
-
-    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % F.lit(1 << 33)))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("c")).collect()  # one row per partition
-    before, at = [], 0
-    for r in sorted(counts, key=lambda r: r["__p"]):
-        before.append((r["__p"], at))
-        at += r["c"]
-    starts = spark.createDataFrame(before, "__p int, __before long")
-    rank = F.col("__before") + F.col("__i")
-    return ranged.join(F.broadcast(starts), "__p").withColumn("rank", rank).withColumn("batch", F.floor(rank / F.lit(size))).drop("__p", "__i", "__before")
+    """``rows`` with ``batch``: their rank by ``order``, in batches of ``size``."""
+    return ranked(rows, order).withColumn("batch", F.floor(F.col("rank") / F.lit(size)))
 
 
 def pad(rows: DataFrame, batch: str, columns: dict[str, int], side: str = "right") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ident, text
-from tessera.operators import encode
+from tessera.operators import encode, packing
 from tessera.session import cut, spread, table
 
 LIMIT = 320
@@ -141,35 +141,41 @@ SELECT lang, count(*) AS rows, sum(least(n, 256)) AS tokens, count(*) FILTER (n
 def _packed(spark, sf) -> DataFrame:
     """Whole documents: longer ones are cut into pieces of LIMIT words, an empty one is a piece of none."""
     n = F.size(encode.whitespace_tokens(F.col("text"))).cast("long")
-    words = cut(spread(table(spark, sf, "documents")).select("doc_id", n.alias("n")))
+    words = spread(table(spark, sf, "documents")).select("doc_id", n.alias("n"))
     last = F.greatest(F.ceil(F.col("n") / LIMIT), F.lit(1)).cast("long") - 1
     pieces = words.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
     rows = pieces.select((F.col("doc_id") * PIECES + F.col("j")).alias("piece"), F.least(F.lit(LIMIT), F.col("n") - F.col("j") * LIMIT).alias("n"))
-    # about ten thousand rows a shard, whatever the table holds
-    shards = max(1, rows.count() // 10_000)
-    return encode.pack(rows, "piece", "n", LIMIT, shards)
+    return packing.pack_first_fit(rows, "piece", "n", LIMIT)
 
 
 def pack_ffd(spark, sf):
-    """First-fit-decreasing bins of all pieces of documents; SQL follows one shard, so tables of below 20,000 pieces."""
+    """First-fit-decreasing bins of all pieces of documents."""
     return _packed(spark, sf)
 
 
-# a piece at a time: into the first bin with room, or a new one
+# a length at a time over all bins that could be needed (of any two neighbours one is more than half full): what
+# fits into each bin, and how much the bins before it take
 _BINS = f"""
 w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS n FROM documents),
 d AS (SELECT doc_id, n, unnest(range(greatest(CAST(ceil(n / {LIMIT}) AS BIGINT), 1))) AS j FROM w),
-o AS (SELECT doc_id * {PIECES} + j AS id, least({LIMIT}, n - j * {LIMIT}) AS n FROM d), i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS k FROM o),
-f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bin, CAST([] AS BIGINT[]) AS used
-      UNION ALL SELECT k, id, n, bin, CASE WHEN bin > len(used) THEN list_append(used, n) ELSE list_concat(list_concat(used[1 : bin - 1], [used[bin] + n]), used[bin + 1 :]) END
-      FROM (SELECT i.k, i.id, i.n, f.used, coalesce(nullif(list_position(list_transform(f.used, lambda x: x + i.n <= {LIMIT}), true), 0), len(f.used) + 1) AS bin FROM f JOIN i ON i.k = f.k + 1)),
-b AS (SELECT 0 AS shard, CAST(bin - 1 AS INTEGER) AS bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY k) - 1 AS INTEGER) AS position, id, n AS length FROM f WHERE k > 0)
+o AS (SELECT doc_id * {PIECES} + j AS id, CAST(least({LIMIT}, n - j * {LIMIT}) AS BIGINT) AS n FROM d),
+i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY n ORDER BY id) - 1 AS r FROM o),
+h AS MATERIALIZED (SELECT n, count(*) AS c, row_number() OVER (ORDER BY n DESC) AS k FROM o GROUP BY n),
+f AS (SELECT CAST(0 AS BIGINT) AS k, bin, CAST({LIMIT} AS BIGINT) AS room, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS put, CAST(0 AS BIGINT) AS before
+      FROM (SELECT unnest(range(CAST(2 * sum(n) // {LIMIT} + 2 AS BIGINT))) AS bin FROM o)
+      UNION ALL SELECT k, bin, room - put * n, items + put, put, before
+      FROM (SELECT k, bin, room, items, n, before, greatest(least(fits, c - before), 0) AS put
+            FROM (SELECT h.k, f.bin, f.room, f.items, h.n, h.c, CASE WHEN h.n = 0 THEN h.c ELSE f.room // h.n END AS fits,
+                         CAST(coalesce(sum(CASE WHEN h.n = 0 THEN h.c ELSE f.room // h.n END) OVER (ORDER BY f.bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+                  FROM f JOIN h ON h.k = f.k + 1))),
+b AS (SELECT f.bin, f.items - f.put + i.r - f.before AS position, i.id, i.n AS length
+      FROM f JOIN h USING (k) JOIN i ON i.n = h.n AND i.r >= f.before AND i.r < f.before + f.put WHERE f.put > 0)
 """
-PACK_FFD = f"WITH RECURSIVE {_BINS} SELECT shard, bin, position, id, length FROM b"
+PACK_FFD = f"WITH RECURSIVE {_BINS} SELECT bin, position, id, length FROM b"
 
 
 def pack_report(spark, sf):
-    bins = _packed(spark, sf).groupBy("shard", "bin").agg(F.sum("length").alias("used"), F.count("*").alias("items"))
+    bins = _packed(spark, sf).groupBy("bin").agg(F.sum("length").alias("used"), F.count("*").alias("items"))
     return bins.agg(F.sum("items").alias("items"), F.count("*").alias("bins"), F.round(F.sum("used") / (F.count("*") * LIMIT), 6).alias("fill"), F.max("items").alias("max_items"), F.ceil(F.count("*") / 8).cast("long").alias("steps"))
 
 

@@ -132,25 +132,6 @@ def test_bad_ratios(bad):
         split.check_ratios(bad)
 
 
-def test_first_fit_decreasing():
-    assert encode.first_fit_decreasing([5, 5, 3, 3, 2], 8) == [[0, 2], [1, 3], [4]]
-    assert encode.first_fit_decreasing([8, 1], 8) == [[0], [1]]
-    with pytest.raises(ValueError):
-        encode.first_fit_decreasing([9], 8)
-    rng = random.Random(6)
-    for _ in range(100):
-        lengths = [rng.randint(1, 20) for _ in range(rng.randrange(50))]
-        room, want = [], []
-        for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-            k = next((k for k, r in enumerate(room) if r >= lengths[i]), len(room))
-            if k == len(room):
-                room.append(20)
-                want.append([])
-            room[k] -= lengths[i]
-            want[k].append(i)
-        assert encode.first_fit_decreasing(lengths, 20) == want
-
-
 def test_padding_goldens(spark):
     df = spark.createDataFrame([(0, [10, 11], [1, 1], [-100, 11], 0), (1, [20, 21, 22], [1, 1, 1], [-100, 21, 22], 0)], "i int, input_ids array<int>, attention_mask array<int>, labels array<int>, batch int")
     rows = encode.pad(df, "batch", {"input_ids": 99, "attention_mask": 0, "labels": -100}, "left").orderBy("i").collect()
