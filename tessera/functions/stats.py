@@ -6,25 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import nearest
+
 
 def nearest_rank(values: DataFrame, column: str, probabilities: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """The element at index min(n - 1, int(q n)) of the sorted values, by group; no rows give no group.
 
-    From counts of distinct values and their running sums, so no group's values are
-    gathered: memory follows the number of distinct values of a group in a window,
-    which spills.  Without ``keys`` the windows are range partitions, each starting
+    By ranges where there are ``keys``, so that a group may hold any number of values; else from counts of distinct values in range partitions, each starting
     from what the ones before it hold."""
-    from pyspark.sql import Window
-
-    keys = keys or []
-    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c"))
-    if not keys:
-        return _ranks_of_all(counts, column, probabilities)
-    by = Window.partitionBy(*keys)
-    order = by.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__to", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(by))
-    at = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n")))
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__to") > at(q), F.col(column))).alias(name) for name, q in probabilities.items()])
+    if keys:
+        return nearest(values, keys, column, probabilities).where("n > 0").drop("n")
+    return _ranks_of_all(values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__c")), column, probabilities)
 
 
 def _ranks_of_all(counts: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:

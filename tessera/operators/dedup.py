@@ -197,12 +197,21 @@ def greedy_removal(pairs: DataFrame) -> DataFrame:
     return dropped
 
 
+def first_ids(rows: DataFrame, key: str, id_col: str, k: int, name: str) -> DataFrame:
+    """``(key, <name>)``: the ``k`` smallest ids of each key, in order.
+
+    A limit by rank is taken in each task before the shuffle too, so a key leaves a task with at most ``k`` ids."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(id_col))
+    few = rows.where(F.col(id_col).isNotNull()).select(key, id_col, place.alias("__place")).where(F.col("__place") <= k)
+    return few.groupBy(key).agg(F.array_sort(F.collect_list(id_col)).alias(name))
+
+
 def key_overlap(left: DataFrame, right: DataFrame, key: Column, left_id: str, right_id: str) -> DataFrame:
     """``(key, left_ids, right_ids)`` for keys on both sides: how many ids each has, and the first three."""
     def grouped(rows: DataFrame, id_col: str, name: str) -> DataFrame:
-        ranked = rows.select(key.alias("key"), F.col(id_col).alias("i")).where("key IS NOT NULL")
-        place = ranked.withColumn("p", F.row_number().over(Window.partitionBy("key").orderBy("i")))
-        return place.groupBy("key").agg(F.count("*").alias(f"{name}_rows"), F.array_sort(F.collect_list(F.when(F.col("p") <= 3, F.col("i")))).alias(f"{name}_ids"))
+        keyed = rows.select(key.alias("key"), F.col(id_col).alias("i")).where("key IS NOT NULL")
+        counts = keyed.groupBy("key").agg(F.count("*").alias(f"{name}_rows"))
+        return counts.join(first_ids(keyed, "key", "i", 3, f"{name}_ids"), "key", "left")
 
     return grouped(left, left_id, "left").join(grouped(right, right_id, "right"), "key")
 

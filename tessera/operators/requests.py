@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import finite
+from tessera.operators import ranges
+from tessera.operators.quantiles import linear
 
 #: fixed values
 OUTCOMES = ("completed", "rejected", "interrupted", "timeout", "connection_error", "error", "unsent")
@@ -55,9 +60,20 @@ def accounting(rows: DataFrame, outcome: str, keys: list[str] | None = None) ->
 def distribution(rows: DataFrame, value: Column, keys: list[str] | None = None) -> DataFrame:
     """count, mean, p50, p95, p99 and max of the finite values, linear between neighbours; null where there are none.
 
-    Exact percentiles are kept by Spark as counts of distinct values per group."""
-    v = F.when(finite(value), value)
-    return rows.groupBy(*(keys or [])).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), *[F.percentile(v, F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max(v).alias("max"))
+    Quantiles are exact and by ranges, so a group may hold any number of distinct values."""
+    keys = keys or []
+    values = rows.select(*keys, F.when(finite(value), value).alias("__value"))
+    whole = values.groupBy(*keys).agg(F.count("__value").alias("count"), F.avg("__value").alias("mean"), F.max("__value").alias("max"))
+    placed = linear(values, keys, "__value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
+    both = whole.join(placed.withColumnsRenamed({k: f"__{k}" for k in keys}), _all(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)) if keys else whole.crossJoin(placed)  # one row each
+    return both.select(*keys, "count", "mean", "p50", "p95", "p99", "max")
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
+    return out
 
 
 def cache_counts(rows: DataFrame, hit: Column, keys: list[str] | None = None) -> DataFrame:
@@ -106,11 +122,74 @@ def routing_decision(runs: DataFrame, repeats: int = 3) -> DataFrame:
 
 
 def transitions(rows: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """The rows where the state differs from the one before, the first included."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(state).over(w)
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("previous", before).withColumn("__change", first | ~F.col(state).eqNullSafe(before)).where("__change").drop("__change")
+    """The rows where the state differs from the one before, the first included; ``order`` is total within a key.
+
+    A key of any size: its history lies in range partitions, and each hands its last state to the next."""
+    placed = ranges.ranged(rows, [key], order)
+    seen = ranges.carried(placed, [key], order, previous={"__before": F.struct(F.col(state).alias("s"))})
+    change = F.col("__before").isNull() | ~F.col(state).eqNullSafe(F.col("__before.s"))
+    return seen.where(change).select(*[c for c in rows.columns if c != "previous"], F.col("__before.s").alias("previous"))
+
+
+def follows_in_order(rows: DataFrame, key: str, order: list[str], state: str, pattern: list[str]) -> DataFrame:
+    """``(key, followed)``: whether the states of a key hold ``pattern`` as a subsequence in ``order``, others in between.
+
+    Each stretch of a key within a range partition is summed up as what it makes of the pattern's automaton: for each number
+    of steps already taken, how many are taken after it.  These tables, one for each key and partition, are applied in turn."""
+    steps = [sorted(set(pattern)).index(p) for p in pattern]
+    code = F.lit(-1)
+    for i, p in enumerate(sorted(set(pattern))):
+        code = F.when(F.col(state) == p, i).otherwise(code)
+    placed = ranges.ranged(rows, [key], order).select(F.col(key).alias("key"), code.cast("int").alias("code"), ranges.PART)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the sorted rows of a partition only the table of the key that is being read is held."""
+        current, table, part = None, None, 0
+        for batch in batches:
+            keys, codes = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(zero_copy_only=False)
+            if not len(codes):
+                continue
+            at, part = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False), batch.column(2)[0].as_py()
+            done_keys, done_tables = [], []
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]):
+                name = (keys.dictionary[int(at[lo])].as_py() if at[lo] >= 0 else None,)
+                if name != current:
+                    if current is not None:
+                        done_keys.append(current[0])
+                        done_tables.append(table)
+                    current, table = name, list(range(len(steps) + 1))
+                table = _advanced(table, codes[lo:hi], steps)
+            if done_keys:
+                yield _tables(done_keys, part, done_tables, batch.schema.field(0).type)
+        if current is not None:
+            yield _tables([current[0]], part, [table], batch.schema.field(0).type)
+
+    kind = placed.schema["key"].dataType.simpleString()
+    tables = placed.mapInArrow(run, f"key {kind}, part int, after array<int>")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "after")))  # at most one for each partition
+    taken = F.aggregate(ordered, F.lit(0), lambda at, x: F.get(x["after"], at))
+    return tables.groupBy("key").agg((taken == len(steps)).alias("followed")).withColumnRenamed("key", key)
+
+
+def _advanced(table: list[int], codes: np.ndarray, steps: list[int]) -> list[int]:
+    """``table`` followed by a stretch of codes."""
+    where = {c: np.flatnonzero(codes == c) for c in set(steps)}
+
+    def after(step: int) -> int:
+        at = 0
+        while step < len(steps):
+            k = np.searchsorted(where[steps[step]], at)
+            if k == len(where[steps[step]]):
+                break
+            at, step = where[steps[step]][k] + 1, step + 1
+        return step
+
+    moved = {s: after(s) for s in set(table)}
+    return [moved[s] for s in table]
+
+
+def _tables(keys: list, part: int, tables: list[list[int]], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([part] * len(keys), pa.int32()), pa.array(tables, pa.list_(pa.int32()))], names=["key", "part", "after"])
 
 
 def follows(states: Column, pattern: list[str]) -> Column:
@@ -120,13 +199,17 @@ def follows(states: Column, pattern: list[str]) -> Column:
 
 
 def alert_states(windows: DataFrame, key: str, time: str, breach: str, hold_seconds: int) -> DataFrame:
-    """``windows`` with ``alert``: inactive, pending, or firing once the breach has lasted ``hold_seconds`` (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(time)
-    island = F.sum(F.when(F.col(breach), 0).otherwise(1)).over(w)
-    marked = windows.withColumn("__island", island)
-    since = F.min(F.when(F.col(breach), F.col(time))).over(Window.partitionBy(key, "__island"))
+    """``windows`` with ``alert``: inactive, pending, or firing once the breach has lasted ``hold_seconds``; a null breach is none.
+
+    A key has a window at a time at most once.  A breach that goes on across range partitions carries the time of its start."""
+    bad = F.coalesce(F.col(breach), F.lit(False))
+    placed = ranges.ranged(windows, [key], [time])
+    seen = ranges.carried(placed, [key], [time], previous={"__before": bad})
+    began = F.when(bad & ~F.coalesce("__before", F.lit(False)), F.col(time))
+    marked = ranges.carried(seen, [key], [time], latest={"__since": began})
+    since = F.coalesce(began, "__since")
     held = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(since.cast("timestamp"))
-    return marked.withColumn("alert", F.when(~F.col(breach), "inactive").when(held >= hold_seconds, "firing").otherwise("pending")).drop("__island")
+    return marked.select(*[c for c in windows.columns if c != "alert"], F.when(~bad, "inactive").when(held >= hold_seconds, "firing").otherwise("pending").alias("alert"))
 
 
 def lru_hits(rows: DataFrame, key: str, order: list[str], item: str, capacity: int) -> DataFrame:

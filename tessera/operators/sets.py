@@ -14,6 +14,19 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def multiset_digests(rows: DataFrame, columns: list[str], keys: list[str] | None = None, salt: str = "") -> DataFrame:
+    """``(keys, n, digest)``: equal for groups that hold the same rows equally often, in any order, and with that certainty of SHA-256 only for these.
+
+    A row's hash is taken as four numbers of 64 bits, each summed exactly over the group and before the shuffle; the digest is that of the sums and the count.
+    ``salt`` keys the hashes, for rows that others may choose.  Nulls are values like others; columns are told apart by their lengths."""
+    field = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    whole = F.sha2(F.concat(F.lit(f"{len(salt)}:{salt}"), *map(field, columns)), 256)
+    hashed = rows.select(*(keys or []), whole.alias("__h"))
+    parts = [F.conv(F.substring("__h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = hashed.groupBy(*(keys or [])).agg(F.count("*").alias("n"), *[F.sum(p).alias(f"__s{i}") for i, p in enumerate(parts)])
+    return sums.select(*(keys or []), "n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(4)]), 256).alias("digest"))
+
+
 def subset(a: DataFrame, b: DataFrame) -> bool:
     return a.subtract(b).isEmpty()
 

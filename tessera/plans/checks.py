@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ident, text
-from tessera.operators import dedup, evaluate, runs, sets, split
+from tessera.operators import dedup, evaluate, ranges, runs, sets, split
 from tessera.plans import curation, scoring
 from tessera.plans import requests as req
 from tessera.session import cut, table
@@ -41,9 +40,9 @@ UNION ALL SELECT 'any', count(*) FROM (FROM a UNION FROM b) UNION ALL SELECT 'on
 
 def contamination_examples(spark, sf):
     """Keys that two parts of the documents share: how many rows each has, and the first three."""
-    d = cut(table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("k")))
+    d = cut(table(spark, sf, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("k")))
     over = dedup.key_overlap(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), F.col("k"), "doc_id", "doc_id")
-    return over.select(F.sha2("key", 256).alias("digest"), "left_rows", "right_rows", F.array_join("left_ids", ",").alias("left_ids"), F.array_join("right_ids", ",").alias("right_ids"))
+    return over.select(F.col("key").alias("digest"), "left_rows", "right_rows", F.array_join("left_ids", ",").alias("left_ids"), F.array_join("right_ids", ",").alias("right_ids"))
 
 
 CONTAMINATION_EXAMPLES = f"""
@@ -90,8 +89,8 @@ REPORT_RECOMPUTE = "SELECT 'all' AS slice"
 def workload_identity(spark, sf):
     """Whether all runs of a kind of traffic had the same schedule, by a digest of each."""
     e = table(spark, sf, "events").select((F.col("event_id") % 3).alias("run"), (F.col("event_id") % 2).alias("traffic"), F.floor(F.col("event_id") / 6).alias("i"), (F.floor(F.col("event_id") / 6) % 5).alias("client"))
-    digests = e.groupBy("traffic", "run").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.format_string("%09d:%d", F.col("i"), F.col("client")))), ";"), 256).alias("d"))
-    return digests.groupBy("traffic").agg(F.count("*").alias("runs"), (F.count_distinct("d") == 1).alias("same"))
+    digests = sets.multiset_digests(e, ["i", "client"], ["traffic", "run"])
+    return digests.groupBy("traffic").agg(F.count("*").alias("runs"), (F.count_distinct("digest") == 1).alias("same"))
 
 
 WORKLOAD_IDENTITY = """
@@ -102,8 +101,9 @@ SELECT traffic, count(*) AS runs, count(DISTINCT d) = 1 AS same FROM d GROUP BY
 
 def counter_resets(spark, sf):
     """Per user, how often a counter went down from one event to the next."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").select("user_id", (F.col("event_id") % 50 < F.lag(F.col("event_id") % 50).over(w)).alias("down"))
+    counter = F.col("event_id") % 50
+    placed = ranges.ranged(table(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    rows = ranges.carried(placed, ["user_id"], ["ts", "event_id"], previous={"before": counter}).select("user_id", (counter < F.col("before")).alias("down"))
     return rows.groupBy("user_id").agg(F.count_if("down").alias("resets"))
 
 

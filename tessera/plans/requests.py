@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions.text import cpu_cores
+from tessera.operators import ranges
 from tessera.operators import requests as R
-from tessera.session import table
+from tessera.operators.quantiles import linear
+from tessera.session import cut, table
 from tessera.sources.writers import merge_ledgers
 from tessera.streaming import windows as W
 
@@ -91,14 +93,13 @@ CACHE_ACCOUNTING = f"WITH {_A} SELECT pod, count(*) FILTER (cache_hit) AS hits,
 
 
 def inter_chunk(spark, sf):
-    """Gaps between successive events of a user as one distribution, also from arrays."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """Gaps between successive events of a user as one distribution, from arrays of at most 64 gaps."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = table(spark, sf, "events").select("user_id", ((micros - F.lag(micros).over(w)) / 1e6).alias("gap")).where("gap IS NOT NULL")
-    nested = gaps.groupBy("user_id", F.floor(F.col("gap") / 3600).alias("hour")).agg(F.collect_list("gap").alias("gaps"))
-    out = R.distribution(nested.select(F.explode("gaps").alias("v")), F.col("v"))
+    placed = ranges.ranged(table(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    seen = ranges.carried(placed, ["user_id"], ["ts", "event_id"], previous={"before": micros}, total={"i": F.lit(1)})
+    gaps = seen.select("user_id", "i", ((micros - F.col("before")) / 1e6).alias("gap")).where("gap IS NOT NULL")
+    nested = gaps.groupBy("user_id", F.floor(F.col("i") / 64).alias("piece")).agg(F.collect_list("gap").alias("gaps"))
+    out = R.distribution(cut(nested.select(F.explode("gaps").alias("v"))), F.col("v"))
     return out.select("count", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p95", "p99", "max")])
 
 
@@ -195,9 +196,8 @@ FIRST_READY = f"WITH {_A} SELECT pod, min(ts) AS first_seen, arg_min(event_id, t
 
 def ordered_pattern(spark, sf):
     """Users whose events go view, click, purchase, view in this order, others in between."""
-    states = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    by = table(spark, sf, "events").groupBy("user_id").agg(states.alias("s"))
-    return by.select("user_id", R.follows(F.col("s"), ["view", "click", "purchase", "view"]).alias("followed"))
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return R.follows_in_order(events, "user_id", ["ts", "event_id"], "event_type", ["view", "click", "purchase", "view"])
 
 
 ORDERED_PATTERN = """
@@ -319,8 +319,9 @@ SELECT client, client_ip, pod, count(*) AS requests, count(ip) AS matched, count
 def routing_decision(spark, sf):
     """Runs are weeks of two policies: even users are routed normally, odd ones by address."""
     e = _attempts(spark, sf).withColumn("policy", F.when(F.col("user_id") % 2 == 0, "normal").otherwise("clientip")).withColumn("run", F.least(F.floor(F.dayofmonth("ts") / 11), F.lit(2)))
-    p95 = F.percentile(F.when(F.col("outcome") == "completed", F.col("value")), F.lit(0.95))
-    runs = e.groupBy("policy", "run").agg(p95.alias("p95"), F.count_if(F.col("outcome") != "unsent").alias("sent"), F.count_if(F.col("outcome") == "completed").alias("successful"))
+    latency = e.where("outcome = 'completed'")
+    p95 = linear(latency, ["policy", "run"], "value", {"p95": 0.95}).drop("n")
+    runs = e.groupBy("policy", "run").agg(F.count_if(F.col("outcome") != "unsent").alias("sent"), F.count_if(F.col("outcome") == "completed").alias("successful")).join(p95, ["policy", "run"], "left")
     return R.routing_decision(runs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import evaluate
+from tessera.operators import evaluate, ranges
 from tessera.session import cut, table
 
 TAXONOMY = ["brief", "clean", "long", "plain", "rare"]
@@ -217,10 +217,10 @@ WEIGHTED_LOSS = "SELECT lang, round(sum((doc_id % 100) / 25.0 * (length(text) %
 
 def loss_curves(spark, sf):
     """Per user a curve of values: steps that do not rise, and means of its first and last fifth."""
-    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = F.count("*").over(Window.partitionBy("user_id"))
-    rows = e.select("user_id", "value", (F.col("event_id") - F.lag("event_id").over(w)).alias("step"), F.row_number().over(w).alias("i"), n.alias("n"))
+    placed = ranges.ranged(table(spark, sf, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"])
+    seen = ranges.carried(placed, ["user_id"], ["ts", "event_id"], previous={"before": F.col("event_id")}, total={"i": F.lit(1)})
+    lengths = placed.groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = seen.join(lengths, "user_id").select("user_id", "value", (F.col("event_id") - F.col("before")).alias("step"), "i", "n")
     fifth = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
     return rows.groupBy("user_id").agg(F.count_if(F.col("step") <= 0).alias("not_rising"), F.round(F.avg(F.when(F.col("i") <= fifth, F.col("value"))), 6).alias("head"), F.round(F.avg(F.when(F.col("i") > F.col("n") - fifth, F.col("value"))), 6).alias("tail"))
 
