@@ -65,11 +65,18 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: like cut(), for wide rows of which parts are read.
 
-    Columns may have any names: they are stored by position."""
-    names = df.columns
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    Columns may have any names: they are stored by position.  The files go when the driver ends."""
+    names, spark = df.columns, df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
-    return df.sparkSession.read.parquet(path).toDF(*names)
+    gone_at_end(spark, path)
+    return spark.read.parquet(path).toDF(*names)
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Has a file or folder that exists deleted when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -9,8 +9,9 @@ have it.  At a similarity of 0.8 a bit differs with probability 0.15, about 39 b
 all, too many for blocks that are sure to be untouched: blocks of ``b`` bits are drawn
 from all 256, 5.5 / 0.85^b of them.  Were they independent a pair at 0.8 would share one with
 probability ``1 - e^-5.5``; as they share bits it is less (README has what was measured),
-and more for nearer pairs.  ``b`` is 18, and grows with the number of
-texts so that a block's value is shared by some 64 strangers at any size.  What shares a
+and more for nearer pairs.  ``b`` is 8, and grows with the number of
+texts so that a block's value is shared by some thousand strangers at any size: short blocks are few, and
+what is shuffled is a row of 48 bytes for each block of a text.  What shares a
 block is compared by Hamming distance: at most ``SURE`` bits link at once (at 0.8 that many
 or fewer has a probability below 1e-5), up to ``OPEN`` bits are decided on the sets.
 
@@ -37,7 +38,7 @@ from tessera.llm.simhash import representatives, shingle_hashes
 BITS = 256
 SURE = 12
 OPEN = 60
-TILE = 512
+TILE = 2048
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -82,7 +83,7 @@ def block_values(words: np.ndarray, width: int, blocks: int) -> np.ndarray:
 
 def plan(n: int) -> tuple[int, int]:
     """Bits of a block and number of blocks for ``n`` texts."""
-    width = min(40, max(18, math.ceil(math.log2(max(1, n))) - 6))
+    width = min(40, max(8, math.ceil(math.log2(max(1, n))) - 10))
     return width, math.ceil(5.5 / 0.85**width)
 
 

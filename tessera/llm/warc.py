@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, shared_dir, written
+from tessera.llm.common import bound_batches, gone_at_end, shared_dir, written
 
 # fixed values of the formats
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -348,15 +348,17 @@ def with_keepers(rows: DataFrame, least_bytes: int = 0, hot: int = HOT) -> DataF
 def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes a record for each row of ``pages`` and returns the list of archives, ``(path, records, bytes)``.
 
-    ``folder`` is one that all machines share; without it, one below the checkpoint folder is taken.  A page is
+    ``folder`` is one that all machines share; without it, one below the checkpoint folder is taken, which goes when the driver ends.  A page is
     the ``response`` of its payload or, for payloads of ``least_bytes`` or more, a ``revisit`` of the row with the smallest id and the same payload.
     A null payload is empty; a null url gives the record's own id as its target, white space in a url is percent-encoded; a null id is kept as such;
     repeated rows are written each; other columns are not read; an empty table gives an empty list."""
     spark = pages.sparkSession
     bound_batches(spark)
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    own, folder = folder is None, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    if own:
+        gone_at_end(spark, folder)
     rows = with_keepers(keyed_pages(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), least_bytes)
     first = F.col("keeper").isNull()
     rows = rows.select("id", "url", F.when(first, F.col("payload")).alias("payload"), "digest", "size", (~first).alias("again"), F.col("keeper.kept").alias("kept"))
