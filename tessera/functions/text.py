@@ -36,17 +36,34 @@ def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
 
+#: fixed values: scripts and signs that composition (NFC, NFKC) leaves as they are, whatever stands beside them
+_STABLE = (
+    "\\x00-\\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ƿǍ-ǰǴ-ʯͰͱͶͷΈ-ΊΌΎ-ΡΣ-ώ"  # Latin and Greek letters
+    "Ѐ-҂Ҋ-ԯԱ-Ֆա-ֆא-ת\\u0620-\\u064aٱ-ٴॐ๐-๙ა-ჺ"  # Cyrillic, Armenian, Hebrew, Arabic, Georgian
+    "\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u2027\\u2030-\\u2032₠-₧₩-⃀←-⇿─-▟■-◿"  # dashes, quotes, arrows
+    "、-〄〇-〟ぁ-ゔァ-ヴ一-鿿가-힣\\ue000-\\uf8ff"  # Chinese, Japanese, Korean
+)
+_NOT_STABLE = f"[^{_STABLE}]"
+#: the same, with signs that composition changes but not into letters or digits: no word begins, ends or differs by them
+_NOT_STABLE_FOR_WORDS = f"[^{_STABLE}\\xa0\\u2000-\\u200a\\u2011\\u2024-\\u2026\\u202f\\u2033\\u2034\\u3000]"
+
+
+def is_stable(text: Column) -> Column:
+    """Whether a text surely is its own NFC and NFKC form."""
+    return is_ascii(text) | ~text.rlike(_NOT_STABLE)
+
+
 def _beyond(plain: Column, native: Column, of, text: Column) -> Column:
     """``native`` where ``plain``; other rows go through ``of``, a Python function, which sees null for the plain ones."""
     return F.when(plain, native).otherwise(of(F.when(~plain, text)))
 
 
 def nfkc(text: Column) -> Column:
-    return _beyond(is_ascii(text), text, _normalized("NFKC"), text)
+    return _beyond(is_stable(text), text, _normalized("NFKC"), text)
 
 
 def nfc(text: Column) -> Column:
-    return _beyond(is_ascii(text), text, _normalized("NFC"), text)
+    return _beyond(is_stable(text), text, _normalized("NFC"), text)
 
 
 def casefold(text: Column) -> Column:
@@ -87,8 +104,8 @@ def normalize_answer(text: Column) -> Column:
 
 #: fixed value: a numbered or lettered answer option, a whole line
 _OPTION = re.compile(r"^\s*(?:\d+|[a-zа-я])\s*[.)]\s*(\S.*)$", re.IGNORECASE)
-#: what any line of that form has, for ASCII texts
-_MAYBE_OPTION = r"(?:^|[\n\x0b\x0c\r\x1c-\x1e])[\s\x1c-\x1f]*(?:\d+|[A-Za-z])[\s\x1c-\x1f]*[.)]"
+#: what any line of that form has, in texts without characters that composition would make a digit, letter, dot or bracket
+_MAYBE_OPTION = r"(?U)(?:^|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029])[\s\x1c-\x1f]*+(?:\p{Nd}++|[A-Za-zА-Яа-яİı])[\s\x1c-\x1f]*+[.)\u2024-\u2026]"
 
 
 def _plain(text: str) -> str:
@@ -121,14 +138,15 @@ def canonical_options(text: Column) -> Column:
 def comparable(text: Column) -> Column:
     """The text whose words are compared for near-duplicates: that of canonical_options(), or one with the same words.
 
-    ASCII texts without a line that may be an option are left as they are."""
+    Texts without a line that may be an option, and without characters that composition would turn into letters or digits, are left as they are."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(order_options)
 
     text = F.coalesce(text, F.lit(""))
-    return _beyond(is_ascii(text) & ~text.rlike(_MAYBE_OPTION), text, of, text)
+    as_it_is = (is_ascii(text) | ~text.rlike(_NOT_STABLE_FOR_WORDS)) & ~text.rlike(_MAYBE_OPTION)
+    return _beyond(as_it_is, text, of, text)
 
 
 def let(value: Column, use) -> Column:

@@ -101,6 +101,12 @@ def _close_sizes(a: str, b: str, t: float) -> Column:
     return (F.col(b) >= F.ceil(F.col(a) * F.lit(t) - 1e-9)) & (F.col(a) >= F.ceil(F.col(b) * F.lit(t) - 1e-9))
 
 
+def equal_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): ``(id, s, n)`` with each set once, under the smallest of its ids, and ``(id, class)``."""
+    classes = cut(sets.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    return classes, cut(sets.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
+
+
 def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): ``(a, b, jaccard)`` between classes of equal sets at least that similar, a < b, and ``(id, class)``.
 
@@ -108,8 +114,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame
     prefix filter over shingles from rare to frequent, length filter, then the sets
     themselves.  Copies are never paired with each other, however many there are."""
     t = check_threshold(threshold)
-    classes = cut(sets.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-    member = cut(sets.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
+    classes, member = equal_classes(sets)
     rare = classes.where("n > 0")
     prefix = cut(_prefixes(rare, _common(rare), t))
     left, right = prefix.select("h", "f", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
@@ -138,10 +143,25 @@ def near_duplicates(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     return greedy_removal(pairs).unionAll(member.where(F.col("id") != F.col("class")).select("id")).distinct()
 
 
+#: shingles of one side, eight bytes each, up to which they are broadcast to the other side's
+BROADCAST_SHINGLES = 1_000_000
+
+
+def shared_shingles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(h, f)``: shingles that are on both sides, and in how many sets; ``right`` is the side with fewer.
+
+    Only what ``right`` has is counted on the left, so what is shuffled follows the smaller side."""
+    theirs = cut(right.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("fr")))
+    few = theirs.select("h")
+    few = F.broadcast(few) if theirs.count() <= BROADCAST_SHINGLES else few
+    ours = left.select(F.explode("s").alias("h")).join(few, "h", "left_semi").groupBy("h").agg(F.count("*").alias("fl"))
+    return cut(theirs.join(ours, "h").select("h", (F.col("fr") + F.col("fl")).alias("f")))
+
+
 def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar."""
+    """``(a, b, jaccard)``: a of ``left``, b of ``right``, both ``(id, s, n)``, at least that similar; ``right`` is the side with fewer sets."""
     t = check_threshold(threshold)
-    common = _common(left.unionAll(right))
+    common = shared_shingles(left, right)
     a = _prefixes(left, common, t).select("h", "f", F.col("id").alias("a"), F.col("n").alias("na"))
     b = _prefixes(right, common, t).select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
     candidates = dealt_join(b, a, ["h"], "a", count="f").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
@@ -149,6 +169,19 @@ def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.
     return _verified(candidates, left, right, t).unionAll(empty)
 
 
+def contained_pairs(items: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """``(a, b, share)``: sets b of ``docs`` that hold at least that share of the shingles of a, of ``items``; both ``(id, s, n)``.
+
+    A set with that share has one of the rarest n - ceil(share n) + 1 shingles of the item: only by these are they paired, and then counted.  Empty items are in none."""
+    t = check_threshold(share)
+    prefix = _prefixes(items, shared_shingles(docs, items), t).select("h", F.col("id").alias("a"))
+    hits = docs.select(F.col("id").alias("b"), F.explode("s").alias("h")).join(prefix.select("h").distinct(), "h", "left_semi")
+    candidates = dealt_join(prefix, hits, ["h"], "b").select("a", "b").distinct()
+    with_a = candidates.join(items.select(F.col("id").alias("a"), F.col("s").alias("sa"), "n"), "a")
+    both = with_a.join(docs.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.col("n")).alias("share")).where(F.col("share") >= t)
+
+
 def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
     """``(id, signature)``: the minimum of each of ``permutations`` hashes over the set; nulls for an empty one.
 
@@ -171,7 +204,9 @@ def coefficients(permutations: int) -> list[tuple[int, int]]:
 
 
 def minhash_candidates(signatures: DataFrame, bands: int = 16) -> DataFrame:
-    """``(a, b)``, a < b, that agree on a band; a proposal only, to be verified."""
+    """``(a, b)``, a < b, that agree on a band; a proposal only, to be verified.
+
+    Of equal sets one is enough (equal_classes()): copies agree on all bands, and their pairs are the square of their number."""
     width = F.floor(F.size("signature") / F.lit(bands)).cast("int")
     cells = signatures.where(F.get("signature", F.lit(0)).isNotNull()).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", i * width + 1, width)))).alias("band", "cell"))
     a, b = cells.select(F.col("id").alias("a"), "band", "cell"), cells.select(F.col("id").alias("b"), "band", "cell")

@@ -34,6 +34,37 @@ def strict_json(text: str) -> Any:
     return json.loads(text, object_pairs_hook=no_repeats, parse_float=bounded, parse_constant=refuse)
 
 
+#: what the JVM's parser may see otherwise than strict_json() does: numbers beyond a double or of many digits, surrogates
+_UNUSUAL = r"[eE]\+?[0-9]{3}|[0-9]{300}|\\\\u[dD][89a-fA-F]"
+
+
+def is_strict_json(text: Column) -> Column:
+    """Whether a text is what strict_json() takes; null for null.
+
+    The JVM's parser refuses repeated keys and names of numbers, but reads no further than the end of the first value.  So the text is read as the
+    value of an object that goes on with a key which the text can't hold, the digest of itself: where a text ends early, that key is missing,
+    where it goes on, there are more.  Texts that hold what the parser may see otherwise, or that are long or have many brackets, go through Python."""
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else _accepts(t))
+
+    mark = F.sha2(text, 256)
+    whole = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"'), mark, F.lit('":1}')))
+    keys = F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>"))
+    native = F.coalesce((F.size(keys) == 2) & F.array_contains(keys, mark), F.lit(False))
+    unusual = text.rlike(_UNUSUAL) | (F.length(text) > 1 << 20) | (F.length(text) - F.length(F.translate(text, "[{", "")) > 300)
+    return F.when(text.isNull(), None).when(unusual, of(F.when(unusual, text))).otherwise(native)
+
+
+def _accepts(text: str) -> bool:
+    try:
+        strict_json(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def answer_of(raw: Column) -> Column:
     """The string under "answer" of a strict JSON object with no other key, else null."""
 

@@ -67,7 +67,10 @@ def split_gate(spark, sf):
     return drift.crossJoin(shared).select(F.round("drift", 6).alias("drift"), "shared", ((F.col("drift") <= 0.10) & (F.col("shared") == 0)).alias("passed"))  # one row each
 
 
-SPLIT_GATE = f"SELECT max(total_variation) AS drift, CAST(0 AS BIGINT) AS shared, max(total_variation) <= 0.10 AS passed FROM ({curation.GROUP_SPLIT_DRIFT})"
+SPLIT_GATE = f"""
+SELECT drift, shared, drift <= 0.10 AND shared = 0 AS passed FROM (SELECT max(total_variation) AS drift FROM ({curation.GROUP_SPLIT_DRIFT})), 
+(WITH {curation._SPLIT_SQL}, p AS (SELECT DISTINCT split, grp FROM r) SELECT count(*) AS shared FROM p a JOIN p b ON a.grp = b.grp AND a.split < b.split)
+"""
 
 
 def report_recompute(spark, sf):
@@ -83,7 +86,10 @@ def report_recompute(spark, sf):
     return joined.where(~F.coalesce(ok, F.lit(False))).select("slice")
 
 
-REPORT_RECOMPUTE = "SELECT 'all' AS slice"
+REPORT_RECOMPUTE = f"""
+WITH f AS ({scoring.SCORE_SLICES}), s AS (SELECT * REPLACE (CASE WHEN slice = 'all' THEN correct + 1 ELSE correct END AS correct) FROM f)
+SELECT coalesce(f.slice, s.slice) AS slice FROM f FULL JOIN s ON f.slice = s.slice WHERE f.n IS DISTINCT FROM s.n OR f.correct IS DISTINCT FROM s.correct OR f.valid IS DISTINCT FROM s.valid
+"""
 
 
 def workload_identity(spark, sf):

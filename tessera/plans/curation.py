@@ -307,8 +307,15 @@ def _distinct_sets(spark, sf):
     return dedup.shingle_sets(first, "doc_id", F.col("text"))
 
 
+def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs between classes and who belongs to a class, but for the one it is named by, in one table."""
+    found = pairs.select(F.lit("pair").alias("kind"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return found.unionByName(members.where("id <> class").select(F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+
+
 def near_dup_pairs(spark, sf):
-    return dedup.similar_pairs(_distinct_sets(spark, sf), THRESHOLD).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Similar pairs between classes of equal shingles, and the members of each: copies are not paired with each other."""
+    return _with_members(*dedup.similar_classes(_distinct_sets(spark, sf), THRESHOLD))
 
 
 _SETS_SQL = f"""
@@ -318,7 +325,7 @@ w AS (SELECT key AS doc_id, {sql_words('t')} AS w FROM oc),
 s AS (SELECT doc_id, {sql_shingles('w')} AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s)
 """
-NEAR_DUP_PAIRS = f"""
+_ALL_NEAR_PAIRS = f"""
 WITH {_SETS_SQL},
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id AND y.n >= 0.84 * x.n AND x.n >= 0.84 * y.n GROUP BY ALL)
 SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM c WHERE k / (na + nb - k) >= {THRESHOLD}
@@ -326,6 +333,12 @@ UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM s x JOIN s y ON len(x.s) = 0 AND l
 """
 
 
+NEAR_DUP_PAIRS = f"""
+WITH p AS ({_ALL_NEAR_PAIRS}), m AS (WITH {_SETS_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class FROM s)
+SELECT 'pair' AS kind, a, b, jaccard FROM p WHERE a IN (SELECT class FROM m) AND b IN (SELECT class FROM m) UNION ALL SELECT 'member', class, doc_id, 1.0 FROM m WHERE doc_id <> class
+"""
+
+
 def near_dup_greedy(spark, sf):
     """Documents a scan by id drops for a kept earlier neighbour."""
     return dedup.near_duplicates(_distinct_sets(spark, sf), THRESHOLD).select(F.col("id").alias("doc_id"))
@@ -333,7 +346,7 @@ def near_dup_greedy(spark, sf):
 
 # the scan itself, a document with an earlier neighbour at a time
 NEAR_DUP_GREEDY = f"""
-WITH RECURSIVE p AS MATERIALIZED ({NEAR_DUP_PAIRS}),
+WITH RECURSIVE p AS MATERIALIZED ({_ALL_NEAR_PAIRS}),
 q AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
 g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone
       UNION ALL SELECT q.k, CASE WHEN len(list_filter(q.earlier, lambda a: NOT list_contains(g.gone, a))) > 0 THEN list_append(g.gone, q.b) ELSE g.gone END FROM g JOIN q ON q.k = g.k + 1)
@@ -357,10 +370,10 @@ def minhash_signatures(spark, sf):
 
 
 def minhash_pairs(spark, sf):
-    """Pairs that agree on a MinHash band, verified: LSH proposes, the sets decide."""
-    sets = _numbered_sets(spark, sf)
-    candidates = dedup.minhash_candidates(cut(dedup.minhash(sets)))
-    return dedup._verified(candidates, sets, sets, THRESHOLD).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs that agree on a MinHash band, verified, between classes of equal sets, and the members of each: LSH proposes, the sets decide."""
+    classes, members = dedup.equal_classes(_numbered_sets(spark, sf).where("n > 0"))
+    candidates = dedup.minhash_candidates(cut(dedup.minhash(classes)))
+    return _with_members(dedup._verified(candidates, classes, classes, THRESHOLD), members)
 
 
 _MINIMA = ", ".join(f"list_min(list_transform(u, lambda x: (x * {a} + {b}) % {dedup.PRIME}))" for a, b in dedup.coefficients(64))
@@ -371,11 +384,11 @@ m AS (SELECT doc_id, u, [{_MINIMA}] AS m FROM u)
 """
 MINHASH_SIGNATURES = f"WITH {_SIGNATURES} SELECT doc_id, sha256(array_to_string(m, ',')) AS digest FROM m"
 MINHASH_PAIRS = f"""
-WITH {_SIGNATURES},
-b AS (SELECT doc_id, u, unnest(range(16)) AS band, m FROM m WHERE len(u) > 0), c AS (SELECT doc_id, u, band, m[band * 4 + 1 : band * 4 + 4] AS cell FROM b),
+WITH {_SIGNATURES}, k AS (SELECT doc_id, u, m, min(doc_id) OVER (PARTITION BY list_sort(u)) AS class FROM m WHERE len(u) > 0), r AS (SELECT * FROM k WHERE doc_id = class),
+b AS (SELECT doc_id, unnest(range(16)) AS band, m FROM r), c AS (SELECT doc_id, band, m[band * 4 + 1 : band * 4 + 4] AS cell FROM b),
 p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.band = y.band AND x.cell = y.cell AND x.doc_id < y.doc_id),
-j AS (SELECT a, b, len(list_intersect(x.u, y.u)) AS k, len(x.u) + len(y.u) AS n FROM p JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b)
-SELECT a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= {THRESHOLD}
+j AS (SELECT a, b, len(list_intersect(x.u, y.u)) AS k, len(x.u) + len(y.u) AS n FROM p JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b)
+SELECT 'pair' AS kind, a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= {THRESHOLD} UNION ALL SELECT 'member', class, doc_id, 1.0 FROM k WHERE doc_id <> class
 """
 
 
@@ -385,16 +398,18 @@ def _sets_of(spark, sf, name, key):
 
 def contamination_report(spark, sf):
     """Documents against the benchmark: shared ids, texts, groups, and pairs that are nearly the same."""
-    d, b = docs(spark, sf), table(spark, sf, "benchmark")
-    left = d.select(F.col("doc_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.concat_ws("|", "text", "lang")).alias("grp"))
-    right = b.select(F.col("item_id").alias("id"), text.normalize_text(F.col("text")).alias("key"), text.normalize_group(F.col("text")).alias("grp"))
-    left, right = cut(left), cut(right)
+    def side(rows: DataFrame, id_col: str, group: Column) -> DataFrame:
+        """Key, group and shingles from one read of the texts."""
+        digest = lambda c: F.sha2(c, 256)
+        read = rows.select(F.col(id_col).alias("id"), digest(text.normalize_text(F.col("text"))).alias("key"), digest(text.normalize_group(group)).alias("grp"), text.shingle_hashes(F.col("text"), 4).alias("s"))
+        return cut(read).withColumn("n", F.size("s").cast("long"))
+
+    left = side(docs(spark, sf), "doc_id", F.concat_ws("|", "text", "lang"))
+    right = side(spread(table(spark, sf, "benchmark")), "item_id", F.col("text"))
     count = lambda rows, name: rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-    ids = left.select("id").intersect(right.select("id"))
-    near = dedup.cross_similar_pairs(_sets_of(spark, sf, "documents", "doc_id"), _sets_of(spark, sf, "benchmark", "item_id"), THRESHOLD)
-    texts = dedup.key_overlap(left, right, F.col("key"), "id", "id")
-    groups = dedup.key_overlap(left, right, F.col("grp"), "id", "id")
-    return count(ids, "ids").unionAll(count(texts, "texts")).unionAll(count(groups, "groups")).unionAll(count(near, "near_pairs"))
+    both = lambda c: left.select(c).join(right.select(c).distinct(), c, "left_semi").distinct()
+    near = dedup.cross_similar_pairs(left, right, THRESHOLD)
+    return count(both("id"), "ids").unionAll(count(both("key"), "texts")).unionAll(count(both("grp"), "groups")).unionAll(count(near, "near_pairs"))
 
 
 CONTAMINATION_REPORT = f"""
@@ -413,10 +428,8 @@ UNION ALL SELECT 'near_pairs', (SELECT count(*) FROM c WHERE k / (na + nb - k) >
 
 def contamination_containment(spark, sf):
     """Benchmark items of whose shingles a document has at least half (an extension: containment, not Jaccard)."""
-    d = _sets_of(spark, sf, "documents", "doc_id").select(F.col("id").alias("doc_id"), F.explode("s").alias("h"))
-    b = _sets_of(spark, sf, "benchmark", "item_id").select(F.col("id").alias("item_id"), "n", F.explode("s").alias("h"))
-    share = F.col("k") / F.col("n")
-    return dedup.dealt_join(b, d, ["h"], "doc_id").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k")).where(share >= BENCHMARK_SHARE).select("item_id", "doc_id", F.round(share, 6).alias("share"))
+    found = dedup.contained_pairs(_sets_of(spark, sf, "benchmark", "item_id"), _sets_of(spark, sf, "documents", "doc_id"), BENCHMARK_SHARE)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("share", 6).alias("share"))
 
 
 CONTAMINATION_CONTAINMENT = f"""

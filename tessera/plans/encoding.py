@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ident, text
@@ -15,26 +15,55 @@ PIECES = 1 << 20
 WORD = r"(?U)\s+"
 
 
+def _exchanges(turns: DataFrame) -> DataFrame:
+    """``turns`` with the next turn of the conversation and the last system prompt so far."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    system = F.last(F.when(F.col("role") == "system", F.col("text")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return turns.select("conv_id", "turn", "role", "text", F.lead("role").over(by).alias("next_role"), F.lead("text").over(by).alias("next_text"), F.lag("role").over(by).alias("last_role"), system.alias("system"))
+
+
 def _examples(spark, sf) -> DataFrame:
-    """One example per conversation: its first user turn and the assistant turn after it, under a default system prompt."""
-    turns = table(spark, sf, "conversations")
-    pick = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return turns.groupBy("conv_id").agg(pick("user").alias("user"), pick("assistant").alias("assistant"), pick("system").alias("system")).where("user IS NOT NULL AND assistant IS NOT NULL")
+    """One example per exchange: a user's turn and the assistant's that follows it, under the last system prompt before them, if any."""
+    e = _exchanges(table(spark, sf, "conversations")).where("role = 'user' AND next_role = 'assistant' AND text IS NOT NULL AND next_text IS NOT NULL")
+    return e.select("conv_id", "turn", F.col("text").alias("user"), F.col("next_text").alias("assistant"), "system")
 
 
-_EXAMPLES = """
-x AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS u, arg_min(text, turn) FILTER (role = 'assistant') AS a, arg_min(text, turn) FILTER (role = 'system') AS s FROM conversations GROUP BY conv_id HAVING u IS NOT NULL AND a IS NOT NULL)
+_EXCHANGES = """
+y AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lag(role) OVER w AS last_role,
+      last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+"""
+_EXAMPLES = f"""{_EXCHANGES},
+x AS (SELECT conv_id, turn, text AS u, next_text AS a, s FROM y WHERE role = 'user' AND next_role = 'assistant' AND text IS NOT NULL AND next_text IS NOT NULL)
+"""
+
+
+def unused_turns(spark, sf):
+    """Turns that are in no example, with the reason: with those of the examples and system prompts they are all turns."""
+    e = _exchanges(table(spark, sf, "conversations")).where("role IS NULL OR role <> 'system'")
+    reason = (
+        F.when(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"), "other role")
+        .when((F.col("role") == "user") & ~F.coalesce(F.col("next_role") == "assistant", F.lit(False)), "no answer")
+        .when((F.col("role") == "assistant") & ~F.coalesce(F.col("last_role") == "user", F.lit(False)), "no question")
+        .when(F.col("text").isNull(), "no text")
+    )
+    return e.select("conv_id", "turn", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+UNUSED_TURNS = f"""
+WITH {_EXCHANGES} SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') OR role IS NULL THEN 'other role' WHEN role = 'user' AND next_role IS DISTINCT FROM 'assistant' THEN 'no answer'
+WHEN role = 'assistant' AND last_role IS DISTINCT FROM 'user' THEN 'no question' ELSE 'no text' END AS reason FROM y
+WHERE role IS DISTINCT FROM 'system' AND (role IS NULL OR text IS NULL OR NOT (role = 'user' AND next_role IS NOT DISTINCT FROM 'assistant' OR role = 'assistant' AND last_role IS NOT DISTINCT FROM 'user'))
 """
 
 
 def chat_examples(spark, sf):
     e = _examples(spark, sf)
     messages = encode.build_example(F.coalesce("system", F.lit(encode.DEFAULT_SYSTEM)), F.col("user"), F.col("assistant"))
-    rows = e.select("conv_id", messages.alias("m"))
-    return rows.select("conv_id", F.format_string("release_year:%d", (F.lit(1990) + F.col("conv_id") % 30).cast("int")).alias("topic"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat_ws("\n", x["role"], x["content"])), "\n"), 256).alias("digest"), F.size("m").cast("long").alias("n"))
+    rows = e.select("conv_id", "turn", messages.alias("m"))
+    return rows.select("conv_id", "turn", F.format_string("release_year:%d", (F.lit(1990) + F.col("conv_id") % 30).cast("int")).alias("topic"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat_ws("\n", x["role"], x["content"])), "\n"), 256).alias("digest"), F.size("m").cast("long").alias("n"))
 
 
-CHAT_EXAMPLES = f"WITH {_EXAMPLES} SELECT conv_id, 'release_year:' || (1990 + conv_id % 30) AS topic, sha256('system' || chr(10) || coalesce(s, '{encode.DEFAULT_SYSTEM}') || chr(10) || 'user' || chr(10) || u || chr(10) || 'assistant' || chr(10) || a) AS digest, CAST(3 AS BIGINT) AS n FROM x"
+CHAT_EXAMPLES = f"WITH {_EXAMPLES} SELECT conv_id, turn, 'release_year:' || (1990 + conv_id % 30) AS topic, sha256('system' || chr(10) || coalesce(s, '{encode.DEFAULT_SYSTEM}') || chr(10) || 'user' || chr(10) || u || chr(10) || 'assistant' || chr(10) || a) AS digest, CAST(3 AS BIGINT) AS n FROM x"
 
 
 def role_contract(spark, sf):
@@ -54,10 +83,10 @@ SELECT conv_id, 'wrong roles' AS reason FROM g WHERE roles <> 'system,user,assis
 def _lengths(spark, sf) -> DataFrame:
     e = _examples(spark, sf)
     words = lambda c: encode.whitespace_tokens(F.col(c))
-    return e.select("conv_id", words("user").alias("p"), words("assistant").alias("a"))
+    return e.select("conv_id", "turn", words("user").alias("p"), words("assistant").alias("a"))
 
 
-_TOKENS = f"""{_EXAMPLES}, t AS (SELECT conv_id, list_filter(string_split_regex(u, '\\s+'), lambda w: w <> '') AS p, list_filter(string_split_regex(a, '\\s+'), lambda w: w <> '') AS a FROM x)"""
+_TOKENS = f"""{_EXAMPLES}, t AS (SELECT conv_id, turn, list_filter(string_split_regex(u, '\\s+'), lambda w: w <> '') AS p, list_filter(string_split_regex(a, '\\s+'), lambda w: w <> '') AS a FROM x)"""
 
 
 def token_stats(spark, sf):
@@ -86,43 +115,43 @@ SELECT count(*) AS rows, sum(n) AS tokens, sum(greatest(least(n, {LIMIT}) - p, 0
 def _encoded(spark, sf) -> DataFrame:
     """Ids are token lengths, which SQL can follow too."""
     ids = lambda c: F.transform(c, lambda w: F.length(w))
-    rows = cut(_lengths(spark, sf).select("conv_id", ids("p").alias("p"), ids("a").alias("a")))
-    return rows.select("conv_id", encode.encode_pair(F.col("p"), F.col("a"), 120).alias("e")).select("conv_id", "e.*")
+    rows = cut(_lengths(spark, sf).select("conv_id", "turn", ids("p").alias("p"), ids("a").alias("a")))
+    return rows.select("conv_id", "turn", encode.encode_pair(F.col("p"), F.col("a"), 120).alias("e")).select("conv_id", "turn", "e.*")
 
 
 def mask_and_truncate(spark, sf):
     """Rows that keep a supervised token, with digests of their ids and labels."""
     e = _encoded(spark, sf).where("supervised > 0")
-    return e.select("conv_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"), "truncated", F.col("supervised").cast("long").alias("supervised"))
+    return e.select("conv_id", "turn", F.array_join("input_ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"), "truncated", F.col("supervised").cast("long").alias("supervised"))
 
 
-_ENCODED = f"""{_TOKENS}, e AS (SELECT conv_id, list_transform(p, lambda w: length(w)) AS p, list_transform(a, lambda w: length(w)) AS a FROM t),
-f AS (SELECT conv_id, list_slice(list_concat(p, a), 1, 120) AS ids, least(len(p), 120) AS m, len(p) + len(a) AS n FROM e),
-k AS (SELECT conv_id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= m THEN -100 ELSE x END) AS labels, n > 120 AS truncated, len(ids) - m AS supervised FROM f)
+_ENCODED = f"""{_TOKENS}, e AS (SELECT conv_id, turn, list_transform(p, lambda w: length(w)) AS p, list_transform(a, lambda w: length(w)) AS a FROM t),
+f AS (SELECT conv_id, turn, list_slice(list_concat(p, a), 1, 120) AS ids, least(len(p), 120) AS m, len(p) + len(a) AS n FROM e),
+k AS (SELECT conv_id, turn, ids, list_transform(ids, lambda x, i: CASE WHEN i <= m THEN -100 ELSE x END) AS labels, n > 120 AS truncated, len(ids) - m AS supervised FROM f)
 """
-MASK_AND_TRUNCATE = f"WITH {_ENCODED} SELECT conv_id, array_to_string(ids, ',') AS ids, array_to_string(labels, ',') AS labels, truncated, CAST(supervised AS BIGINT) AS supervised FROM k WHERE supervised > 0"
+MASK_AND_TRUNCATE = f"WITH {_ENCODED} SELECT conv_id, turn, array_to_string(ids, ',') AS ids, array_to_string(labels, ',') AS labels, truncated, CAST(supervised AS BIGINT) AS supervised FROM k WHERE supervised > 0"
 
 
 def encoded_rows_valid(spark, sf):
     """Which encoded rows hold the invariants of training rows."""
     e = _encoded(spark, sf)
-    return e.select("conv_id", encode.valid_row(F.col("input_ids"), F.col("attention_mask"), F.col("labels")).alias("valid"))
+    return e.select("conv_id", "turn", encode.valid_row(F.col("input_ids"), F.col("attention_mask"), F.col("labels")).alias("valid"))
 
 
-ENCODED_ROWS_VALID = f"WITH {_ENCODED} SELECT conv_id, len(ids) > 0 AND supervised > 0 AS valid FROM k"
+ENCODED_ROWS_VALID = f"WITH {_ENCODED} SELECT conv_id, turn, len(ids) > 0 AND supervised > 0 AS valid FROM k"
 
 
 def pad_batches(spark, sf):
     """Batches of eight by length, padded left to the longest of each batch."""
-    e = _encoded(spark, sf).where("supervised > 0").select("conv_id", "input_ids", "attention_mask", "labels", F.size("input_ids").alias("n"))
-    placed = encode.batches(e, [F.col("n"), F.col("conv_id")], 8)
+    e = _encoded(spark, sf).where("supervised > 0").select("conv_id", "turn", "input_ids", "attention_mask", "labels", F.size("input_ids").alias("n"))
+    placed = encode.batches(e, [F.col("n"), F.col("conv_id"), F.col("turn")], 8)
     padded = encode.pad(placed, "batch", {"input_ids": 99, "attention_mask": 0, "labels": encode.IGNORED}, "left")
-    return padded.select("conv_id", "batch", F.size("input_ids").cast("long").alias("width"), F.array_join("input_ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).cast("long").alias("ones"), F.array_join("labels", ",").alias("labels"))
+    return padded.select("conv_id", "turn", "batch", F.size("input_ids").cast("long").alias("width"), F.array_join("input_ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).cast("long").alias("ones"), F.array_join("labels", ",").alias("labels"))
 
 
 PAD_BATCHES = f"""
-WITH {_ENCODED}, o AS (SELECT *, len(ids) AS n, (row_number() OVER (ORDER BY len(ids), conv_id) - 1) // 8 AS batch FROM k WHERE supervised > 0), w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM o)
-SELECT conv_id, batch, CAST(width AS BIGINT) AS width, array_to_string(list_concat(list_transform(range(width - n), lambda i: 99), ids), ',') AS ids, CAST(n AS BIGINT) AS ones, array_to_string(list_concat(list_transform(range(width - n), lambda i: -100), labels), ',') AS labels FROM w
+WITH {_ENCODED}, o AS (SELECT *, len(ids) AS n, (row_number() OVER (ORDER BY len(ids), conv_id, turn) - 1) // 8 AS batch FROM k WHERE supervised > 0), w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM o)
+SELECT conv_id, turn, batch, CAST(width AS BIGINT) AS width, array_to_string(list_concat(list_transform(range(width - n), lambda i: 99), ids), ',') AS ids, CAST(n AS BIGINT) AS ones, array_to_string(list_concat(list_transform(range(width - n), lambda i: -100), labels), ',') AS labels FROM w
 """
 
 
@@ -194,32 +223,50 @@ PREFIX_CACHE_KEYS = "WITH e AS (SELECT conv_id, arg_min(text, turn) AS f FROM co
 
 
 def training_view(spark, sf):
-    """Examples with the system prompt replaced and all labels of the answer as JSON; no record where one is empty or repeated."""
-    e = _examples(spark, sf).select("conv_id", "user", text.canonical_answer(F.col("assistant")).alias("answer"))
+    """Records of whole conversations: the system prompt replaced, the one user message, and all labels of the final answer as JSON.
+
+    A conversation has no record, but a reason, unless it has exactly one user message, which isn't blank, and ends with the assistant's, whose labels are neither empty nor repeated."""
+    turns = table(spark, sf, "conversations")
+    by = turns.groupBy("conv_id").agg(
+        F.count_if(F.col("role") == "user").alias("users"), F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user"), F.max_by("role", "turn").alias("last"), F.max_by("text", "turn").alias("final")
+    )  # where there is one user message, the largest is that one
+    e = by.withColumn("answer", F.when(F.col("last") == "assistant", text.canonical_answer(F.coalesce("final", F.lit("")))))
     written = F.to_json(F.array("answer"))
     answer = F.concat(F.lit('{"answer": '), F.substring(written, F.lit(2), F.length(written) - 2), F.lit("}"))
     record = F.array_join(F.transform(encode.build_example(F.lit("Answer as JSON."), F.col("user"), answer), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " | ")
-    return e.select("conv_id", F.when(F.col("answer").isNotNull(), F.sha2(record, 256)).alias("record_sha256"), F.length("answer").cast("long").alias("answer_chars"), (F.length("user") > 400).alias("long_description"))
-
-
-TRAINING_VIEW = f"""
-WITH {_EXAMPLES}, p AS (SELECT conv_id, u, list_transform(string_split(replace(lower(a), 'ß', 'ss'), ','), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS parts FROM x),
-r AS (SELECT conv_id, u, CASE WHEN NOT list_contains(parts, '') AND len(list_distinct(parts)) = len(parts) THEN array_to_string(list_sort(parts), ', ') END AS answer FROM p)
-SELECT conv_id, CASE WHEN answer IS NOT NULL THEN sha256('system: Answer as JSON. | user: ' || u || ' | assistant: {{"answer": ' || CAST(to_json(answer) AS VARCHAR) || '}}') END AS record_sha256, length(answer) AS answer_chars, length(u) > 400 AS long_description FROM r
+    blank = F.coalesce(F.regexp_replace("user", r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit(True))
+    reason = F.when((F.col("users") != 1) | blank, "not one user message").when(F.coalesce(F.col("last") != "assistant", F.lit(True)), "no final answer").when(F.col("answer").isNull(), "empty or repeated labels")
+    rows = e.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    return rows.select("conv_id", "reason", F.when(good, F.sha2(record, 256)).alias("record_sha256"), F.when(good, F.length("answer").cast("long")).alias("answer_chars"), F.when(good, F.length("user") > 400).alias("long_description"))
+
+
+TRAINING_VIEW = """
+WITH u AS (SELECT conv_id, text FROM conversations WHERE role = 'user' QUALIFY count(*) OVER (PARTITION BY conv_id) = 1 AND regexp_replace(coalesce(text, ''), '[\\s\\x1c-\\x1f]+', '', 'g') <> ''),
+l AS (SELECT conv_id, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+p AS (SELECT l.conv_id, u.text AS u, l.role, list_transform(string_split(replace(lower(coalesce(l.text, '')), 'ß', 'ss'), ','), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS parts FROM l LEFT JOIN u USING (conv_id)),
+r AS (SELECT conv_id, u, CASE WHEN u IS NULL THEN 'not one user message' WHEN role IS DISTINCT FROM 'assistant' THEN 'no final answer' WHEN list_contains(parts, '') OR len(list_distinct(parts)) < len(parts) THEN 'empty or repeated labels' END AS reason, array_to_string(list_sort(parts), ', ') AS answer FROM p)
+SELECT conv_id, reason, CASE WHEN reason IS NULL THEN sha256('system: Answer as JSON. | user: ' || u || ' | assistant: {"answer": ' || CAST(to_json(answer) AS VARCHAR) || '}') END AS record_sha256,
+       CASE WHEN reason IS NULL THEN length(answer) END AS answer_chars, CASE WHEN reason IS NULL THEN length(u) > 400 END AS long_description FROM r
 """
 
 
 def chat_text(spark, sf):
-    """Chat text by a template of our own, and whether it ends as it must."""
+    """Chat text by a template of our own, and whether what is read back between the prompt and the first end mark after it is the answer."""
     e = _examples(spark, sf)
-    body = F.array_join(F.transform(encode.build_example(F.lit("S"), F.col("user"), F.col("assistant")), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>"))), "")
-    return e.select("conv_id", F.sha2(body, 256).alias("digest"), F.endswith(body, F.concat("assistant", F.lit("<|end|>"))).alias("exact_suffix"), F.length(F.substring_index(body, "<|end|>", 2)).cast("long").alias("prompt_chars"))
+    prompt = F.concat(F.lit("<|system|>S<|end|><|user|>"), "user", F.lit("<|end|><|assistant|>"))
+    rows = e.select("conv_id", "turn", "assistant", prompt.alias("prompt"), F.concat(prompt, "assistant", F.lit("<|end|>")).alias("body"))
+    answer = F.substring_index(F.substring("body", F.length("prompt") + 1, F.length("body")), "<|end|>", 1)
+    return rows.select("conv_id", "turn", F.sha2("body", 256).alias("digest"), (answer == F.col("assistant")).alias("exact_suffix"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-CHAT_TEXT = f"WITH {_EXAMPLES} SELECT conv_id, sha256('<|system|>S<|end|><|user|>' || u || '<|end|><|assistant|>' || a || '<|end|>') AS digest, true AS exact_suffix, CAST(length('<|system|>S<|end|><|user|>' || u) AS BIGINT) AS prompt_chars FROM x"
+CHAT_TEXT = f"""
+WITH {_EXAMPLES} SELECT conv_id, turn, sha256('<|system|>S<|end|><|user|>' || u || '<|end|><|assistant|>' || a || '<|end|>') AS digest, NOT contains(a, '<|end|>') AS exact_suffix,
+CAST(length('<|system|>S<|end|><|user|>' || u || '<|end|><|assistant|>') AS BIGINT) AS prompt_chars FROM x
+"""
 
 QUERIES = {
-    "chat_examples": chat_examples, "role_contract": role_contract, "token_stats": token_stats, "mask_and_truncate": mask_and_truncate, "encoded_rows_valid": encoded_rows_valid,
+    "chat_examples": chat_examples, "unused_turns": unused_turns, "role_contract": role_contract, "token_stats": token_stats, "mask_and_truncate": mask_and_truncate, "encoded_rows_valid": encoded_rows_valid,
     "pad_batches": pad_batches, "lexical_summary": lexical_summary, "pack_ffd": pack_ffd, "pack_report": pack_report, "prefix_cache_keys": prefix_cache_keys, "training_view": training_view, "chat_text": chat_text,
 }
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

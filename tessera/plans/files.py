@@ -20,17 +20,17 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tessera import config
 from tessera.functions import stats
 from tessera.operators import encode, release
-from tessera.operators.evaluate import strict_json
+from tessera.operators.evaluate import is_strict_json
 from tessera.plans import curation, encoding
 from tessera.plans import requests as req
-from tessera.session import shared_dir, table
+from tessera.session import own_folder, spread, table
 from tessera.sources import readers, writers
 from tessera.streaming import windows as W
 from tessera.streaming.progress import Progress
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return f"{own_folder(spark, 'files')}/data"
 
 
 def _mounted(spark) -> str:
@@ -111,25 +111,34 @@ FIRST_ROWS = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100"
 
 
 def json_documents(spark, sf):
-    """Which documents are strict JSON: no repeated keys, no NaN or infinities, nothing after the end."""
-    forms = ['{"a": 1, "b": {"a": 2}}', '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1} x', '[1, {"b": -Infinity}]', '{"b": {"c": 1, "c": 1}}']
-
-    @F.pandas_udf("boolean")
-    def strict(texts: pd.Series) -> pd.Series:
-        def ok(t: str) -> bool:
-            try:
-                strict_json(t)
-            except ValueError:
-                return False
-            return True
-
-        return texts.map(ok)
-
-    form = F.get(F.array(*map(F.lit, forms)), (F.col("doc_id") % len(forms)).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", strict(form).alias("strict"))
-
-
-JSON_DOCUMENTS = "SELECT doc_id, doc_id % 6 = 0 AS strict FROM documents"
+    """Which of the documents, each written whole as JSON in one of six forms, are strict JSON: no repeated keys, no NaN or infinities, nothing after the end."""
+    body = F.to_json(F.struct("text", "lang"), {"ignoreNullFields": "false"})
+    inner = F.substring(body, F.lit(2), F.length(body) - 2)  # without its brackets
+    forms = [
+        F.concat(F.lit('{"a": '), body, F.lit(', "lang": {"a": 2}}')),
+        F.concat(F.lit("{"), inner, F.lit(","), inner, F.lit("}")),
+        F.concat(F.lit("["), body, F.lit(", NaN]")),
+        F.concat(body, F.lit(" x")),
+        F.concat(F.lit('[1, {"b": -Infinity, "c": '), body, F.lit("}]")),
+        F.concat(F.lit('{"b": {"text": 1, '), inner, F.lit("}}")),
+    ]
+    kind = F.col("doc_id") % len(forms)
+    written = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        written = F.when(kind == i, form).otherwise(written)
+    rows = spread(table(spark, sf, "documents")).select("doc_id", written.alias("json"))
+    return rows.select("doc_id", is_strict_json(F.col("json")).alias("strict"))
+
+
+# the library's reader takes names of numbers, so what is outside strings is searched for them; keys are counted where they may repeat
+JSON_DOCUMENTS = r"""
+WITH b AS (SELECT doc_id, CAST(json_object('text', text, 'lang', lang) AS VARCHAR) AS b FROM documents), i AS (SELECT *, b[2 : length(b) - 1] AS n FROM b),
+j AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"a": ' || b || ', "lang": {"a": 2}}' WHEN 1 THEN '{' || n || ',' || n || '}' WHEN 2 THEN '[' || b || ', NaN]' WHEN 3 THEN b || ' x'
+      WHEN 4 THEN '[1, {"b": -Infinity, "c": ' || b || '}]' ELSE '{"b": {"text": 1, ' || n || '}}' END AS j FROM i),
+v AS (SELECT doc_id, j, json_valid(j) AS valid, regexp_replace(j, '"([^"\\]|\\.)*"', '', 'g') AS bare FROM j),
+k AS (SELECT doc_id, valid AND NOT regexp_matches(bare, 'NaN|Infinity') AS valid, CASE WHEN valid THEN json_keys(j) END AS top, CASE WHEN valid THEN json_keys(j, '$.b') END AS inner_keys FROM v)
+SELECT doc_id, valid AND len(list_distinct(coalesce(top, []))) = len(coalesce(top, [])) AND len(list_distinct(coalesce(inner_keys, []))) = len(coalesce(inner_keys, [])) AS strict FROM k
+"""
 
 
 def metrics_document(spark, sf):
@@ -155,13 +164,13 @@ COMPARISON_LINES = f"WITH h AS ({curation.LABEL_HISTOGRAM}) SELECT 1 AS line, 'l
 def encoded_split(spark, sf):
     """Encoded rows written as a split with its metadata, and read with all checks."""
     path = f"{_mounted(spark)}/train"
-    rows = encoding._encoded(spark, sf).where("supervised > 0").select(F.col("conv_id").alias("id"), "input_ids", "attention_mask", "labels")
+    rows = encoding._encoded(spark, sf).where("supervised > 0").select((F.col("conv_id") * encoding.PIECES + F.col("turn")).alias("id"), "input_ids", "attention_mask", "labels")
     writers.write_split(rows, path, {"limit": 120})
     limit = readers.read_json(path + ".json")["limit"]
     return readers.load_split(spark, path).select("id", F.array_join("input_ids", ",").alias("ids"), F.lit(limit).alias("limit"))
 
 
-ENCODED_SPLIT = f"WITH {encoding._ENCODED} SELECT conv_id AS id, array_to_string(ids, ',') AS ids, 120 AS \"limit\" FROM k WHERE supervised > 0"
+ENCODED_SPLIT = f"WITH {encoding._ENCODED} SELECT conv_id * {encoding.PIECES} + turn AS id, array_to_string(ids, ',') AS ids, 120 AS \"limit\" FROM k WHERE supervised > 0"
 
 
 # -- metric texts, series, logs
@@ -370,14 +379,14 @@ PARAMETER_CHECKS = "SELECT name, name IN ('defaults', 'one threshold') AS accept
 
 def prompt_boundaries(spark, sf):
     """Tokens of the prompt by character offsets, in texts of prompt and answer."""
-    e = encoding._examples(spark, sf).select("conv_id", F.length("user").alias("boundary"), F.split(F.concat("user", F.lit(" "), "assistant"), " ").alias("t"))
+    e = encoding._examples(spark, sf).select("conv_id", "turn", F.length("user").alias("boundary"), F.split(F.concat("user", F.lit(" "), "assistant"), " ").alias("t"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("o"))
     step = lambda s, t: F.struct((s["at"] + F.length(t) + 1).alias("at"), F.concat(s["o"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(t)).alias("end")))).alias("o"))
     offsets = F.aggregate("t", start, step, lambda s: s["o"])
-    return e.select("conv_id", "boundary", offsets.alias("o")).select("conv_id", encode.prompt_boundary(F.col("o"), F.col("boundary")).cast("long").alias("tokens"))
+    return e.select("conv_id", "turn", "boundary", offsets.alias("o")).select("conv_id", "turn", encode.prompt_boundary(F.col("o"), F.col("boundary")).cast("long").alias("tokens"))
 
 
-PROMPT_BOUNDARIES = f"WITH {encoding._EXAMPLES} SELECT conv_id, len(string_split(u, ' ')) - CASE WHEN u = '' OR ends_with(u, ' ') THEN 1 ELSE 0 END AS tokens FROM x"
+PROMPT_BOUNDARIES = f"WITH {encoding._EXAMPLES} SELECT conv_id, turn, len(string_split(u, ' ')) - CASE WHEN u = '' OR ends_with(u, ' ') THEN 1 ELSE 0 END AS tokens FROM x"
 
 
 def rounded_values(spark, sf):
@@ -408,7 +417,7 @@ def stream_progress(spark, sf):
     progress, name = Progress(), f"p{uuid.uuid4().hex}"
     spark.streams.addListener(progress)
     try:
-        W.drain(req._stream(spark, sf).groupBy("event_type").count(), name, f"{_folder(spark)}/checkpoint", "complete")
+        W.drain(req._stream(spark, sf).groupBy("event_type").count(), _folder(spark), "complete", name)
         until = time.monotonic() + 30  # reports come from another thread
         while not any(r["name"] == name and r["rows"] for r in list(progress.reports)) and time.monotonic() < until:
             time.sleep(0.1)

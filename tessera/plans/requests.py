@@ -5,9 +5,6 @@ client and cache hit."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from tessera.functions.text import cpu_cores
 from tessera.operators import ranges
 from tessera.operators import requests as R
 from tessera.operators.quantiles import linear
-from tessera.session import cut, table
+from tessera.session import cut, own_folder, table
 from tessera.sources.writers import merge_ledgers
 from tessera.streaming import windows as W
 
@@ -356,15 +353,21 @@ SELECT request, count(*) FILTER (NOT done) AS chunks, max(declared) FILTER (done
 """
 
 
+KINDS = ("view", "click", "purchase", "error", "signup")
+
+
 def merged_ledger(spark, sf):
-    """Attempts of two kinds with different columns in one ledger."""
+    """The logs of all kinds of events, whose columns differ, in one ledger; a kind that is not known is an entry of its own."""
     e = table(spark, sf, "events")
-    a = e.where("event_type = 'view'").select("event_id", "user_id", F.lit("view").alias("run"))
-    b = e.where("event_type = 'error'").select("event_id", "value", F.lit("error").alias("run"))
-    return merge_ledgers([a, b], ["run", "event_id"])
+    logs = [e.where(F.col("event_type") == k).select("event_id", "value" if i % 2 else "user_id", F.lit(k).alias("run")) for i, k in enumerate(KINDS)]
+    other = e.where(F.col("event_type").isNull() | ~F.col("event_type").isin(*KINDS)).select("event_id", F.lit("other").alias("run"))
+    return merge_ledgers([*logs, other], ["run", "event_id"])
 
 
-MERGED_LEDGER = "SELECT event_id, CASE WHEN event_type = 'view' THEN user_id END AS user_id, event_type AS run, CASE WHEN event_type = 'error' THEN value END AS value FROM events WHERE event_type IN ('view', 'error')"
+MERGED_LEDGER = """
+SELECT event_id, CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN user_id END AS user_id, CASE WHEN event_type IN ('view', 'click', 'purchase', 'error', 'signup') THEN event_type ELSE 'other' END AS run,
+       CASE WHEN event_type IN ('click', 'error') THEN value END AS value FROM events
+"""
 
 
 def log_violations(spark, sf):
@@ -404,9 +407,7 @@ def _stream(spark, sf) -> DataFrame:
 
 
 def _drained(spark, stream: DataFrame, mode: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    name = f"s{uuid.uuid4().hex}"
-    return W.drain(stream, name, f"{base}/{name}", mode)
+    return W.drain(stream, f"{own_folder(spark, 'stream')}/out", mode)
 
 
 def stream_alert_windows(spark, sf):
@@ -443,24 +444,39 @@ SELECT user_id, count(*) AS sessions, sum(n) AS events FROM c WHERE until <= (SE
 
 
 def stream_alert_states(spark, sf):
-    """Changes of the alert of each pod, by a state machine over streamed events: breaches are slow requests."""
+    """Changes of the alert of each pod, by a state machine over streamed events in any order: breaches are slow requests.
+
+    As far as the watermark, ten minutes before the last event, has come."""
     rows = _stream(spark, sf).withColumn("breach", F.col("value") > 20)
-    out = _drained(spark, W.alert_machine(rows, "pod", "ts", "breach", HOLD), "append")
+    out = _drained(spark, W.alert_machine(rows, "pod", "ts", "breach", HOLD, F.col("event_id")), "append")
     return out.groupBy("key", "alert").agg(F.count("*").alias("times"))
 
 
 STREAM_ALERT_STATES = f"""
-WITH e AS (SELECT 'pod-' || (user_id % 4) AS key, ts, event_id, value > 20 AS breach FROM events), i AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM e),
+WITH e AS (SELECT 'pod-' || (user_id % 4) AS key, ts, event_id, value > 20 AS breach FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000),
+i AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM e),
 s AS (SELECT *, min(ts) FILTER (breach) OVER (PARTITION BY key, island) AS since FROM i), a AS (SELECT *, CASE WHEN NOT breach THEN 'inactive' WHEN floor(epoch(ts)) - floor(epoch(since)) >= {HOLD} THEN 'firing' ELSE 'pending' END AS alert FROM s)
 SELECT key, alert, count(*) AS times FROM (SELECT *, lag(alert, 1, 'inactive') OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM a) WHERE alert <> before GROUP BY ALL
 """
 
+
+def stream_interval_join(spark, sf):
+    """The pairs of interval_join, by a join of two streams that forgets what can have no partner any more."""
+    events = W.read_events(spark, sf, "events.parquet", EVENTS)
+    purchases = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("at"))
+    errors = events.where("event_type = 'error'").select(F.col("event_id").alias("error"), "user_id", "ts")
+    pairs = W.interval_matches(purchases, errors, "user_id", "at", "ts", "5 MINUTES", "60 MINUTES")
+    return _drained(spark, pairs.select("purchase", "error"), "append")
+
+
+STREAM_INTERVAL_JOIN = INTERVAL_JOIN
+
 QUERIES = {
     f.__name__: f
     for f in (
         outcome_accounting, latency_quantiles, per_pod_summary, cache_accounting, inter_chunk, histogram_buckets, histogram_quantile, histogram_delta, cohort_gate, arrivals_per_hour,
         state_transitions, first_ready, ordered_pattern, alert_windows, alert_states, quantile_windows, lru_hits, admission_queue, open_loop_schedule, schedule_difference, routing_trace,
-        routing_decision, interval_join, chunk_contract, merged_ledger, log_violations, outcome_classes, stream_alert_windows, stream_lru_hits, stream_sessions, stream_alert_states,
+        routing_decision, interval_join, chunk_contract, merged_ledger, log_violations, outcome_classes, stream_alert_windows, stream_lru_hits, stream_sessions, stream_alert_states, stream_interval_join,
     )
 }
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -43,9 +43,9 @@ def _outputs(golden: DataFrame, seed: int) -> DataFrame:
     return golden.select("id", F.when(k != 10, raw).alias("raw"), F.when(k == 10, "timeout").alias("error"))
 
 
-def _outputs_sql(name: str, seed: int) -> str:
+def _outputs_sql(name: str, seed: int, source: str = "g") -> str:
     return f"""
-k_{name} AS (SELECT *, (id // 2 + {seed}) % 11 AS k FROM g),
+k_{name} AS (SELECT *, (id // 2 + {seed}) % 11 AS k FROM {source}),
 a_{name} AS (SELECT *, CASE WHEN k < 5 THEN expected WHEN k = 5 THEN 'long, plain' WHEN k = 6 THEN 'clean' WHEN k = 7 THEN 'plain, long' ELSE 'brief, plain' END AS answer FROM k_{name}),
 v_{name} AS (SELECT id, expected, slices, k = 10 AS failed, CASE WHEN k < 8 THEN answer END AS parsed, k < 8 AND k <> 7 AND list_contains([{", ".join(f"'{c}'" for c in CHOICES)}], answer) AS valid FROM a_{name}),
 l_{name} AS (SELECT *, CASE WHEN expected = 'REFUSE' THEN [] ELSE string_split(expected, ', ') END AS e, CASE WHEN NOT valid OR parsed = 'REFUSE' THEN [] ELSE string_split(parsed, ', ') END AS p FROM v_{name}),
@@ -136,19 +136,27 @@ def outputs_match(spark, sf):
 OUTPUTS_MATCH = f"WITH {_GOLDEN} SELECT id, 'golden' AS side FROM g WHERE id % 13 = 0 UNION ALL SELECT id + 10000000, 'output' FROM g WHERE id % 17 = 0"
 
 
+def _behavioral(golden: DataFrame) -> DataFrame:
+    """Cases of a set of their own, each paired with the golden item that it asks again in another form."""
+    kind = F.when(F.col("id") % 3 == 0, "format").when(F.col("id") % 3 == 1, "paraphrase").otherwise("joke")
+    rows = golden.where("id % 20 = 0").select((F.col("id") + 1_000_000).alias("id"), "group_id", F.concat(F.lit("again: "), "text").alias("input"), "expected", "choices", "slices")
+    return rows.withColumn("type", kind).withColumn("paired_with", (F.col("id") - 1_000_000).cast("string"))
+
+
 def quality_gate(spark, sf):
     """Why the candidate of seed 3 may not replace the baseline of seed 0."""
     labels = _labels(spark)
     models = {"baseline": _scores(spark, sf, 0), "candidate": _scores(spark, sf, 3)}
     overall = [evaluate.metrics(s, labels).withColumn("model", F.lit(m)) for m, s in models.items()]
     slices = [evaluate.by_slice(s, labels).withColumn("model", F.lit(m)) for m, s in models.items()]
-    behavioral = evaluate.metrics(models["candidate"].where("id % 10 = 0"), labels)
+    cases = _behavioral(_golden(spark, sf))
+    behavioral = evaluate.metrics(cut(evaluate.score_items(cases.select("id", "expected", "choices", "slices"), _outputs(cases, 3))), labels)
     return evaluate.gate(overall[0].unionByName(overall[1]), slices[0].unionByName(slices[1]), behavioral, ["lang:en", "size:large", "lang:xx"])
 
 
 QUALITY_GATE = f"""
-WITH {_GOLDEN}, {_outputs_sql('s', 0)}, {_outputs_sql('c', 3)}, mb AS ({_metrics_sql('s')}), mc AS ({_metrics_sql('c')}), sb AS ({_metrics_sql('s', 'slice')}), sc AS ({_metrics_sql('c', 'slice')}),
-bh AS (SELECT count(*) AS n, count(*) FILTER (correct) AS correct, count(*) FILTER (valid) AS valid, count(*) FILTER (failed) AS errors FROM c WHERE id % 10 = 0)
+WITH {_GOLDEN}, gb AS (SELECT id + 1000000 AS id, expected, slices FROM g WHERE id % 20 = 0), {_outputs_sql('s', 0)}, {_outputs_sql('c', 3)}, {_outputs_sql('bc', 3, 'gb')}, mb AS ({_metrics_sql('s')}), mc AS ({_metrics_sql('c')}), sb AS ({_metrics_sql('s', 'slice')}), sc AS ({_metrics_sql('c', 'slice')}),
+bh AS (SELECT count(*) AS n, count(*) FILTER (correct) AS correct, count(*) FILTER (valid) AS valid, count(*) FILTER (failed) AS errors FROM bc)
 SELECT 'overall: ' || m || ' fell' AS reason FROM (SELECT unnest(['accuracy', 'format_rate', 'micro_f1', 'macro_f1']) AS m, unnest([mc.accuracy < mb.accuracy, mc.format_rate < mb.format_rate, mc.micro_f1 < mb.micro_f1, mc.macro_f1 < mb.macro_f1]) AS bad FROM mb, mc) WHERE bad
 UNION ALL SELECT 'slice ' || slice || ': ' || m || ' fell' FROM (SELECT slice, unnest(['accuracy', 'micro_f1']) AS m, unnest([NOT coalesce(sc.accuracy >= sb.accuracy, false), NOT coalesce(sc.micro_f1 >= sb.micro_f1, false)]) AS bad FROM (VALUES ('lang:en'), ('size:large'), ('lang:xx')) q(slice) LEFT JOIN sb USING (slice) LEFT JOIN sc USING (slice)) WHERE bad
 UNION ALL SELECT 'baseline: generation errors' FROM mb WHERE errors > 0 UNION ALL SELECT 'candidate: generation errors' FROM mc WHERE errors > 0
@@ -160,7 +168,7 @@ UNION ALL SELECT 'behavioral cases not all passed' FROM bh WHERE n < 3 OR correc
 
 def golden_contract(spark, sf):
     golden = _golden(spark, sf).withColumn("input", F.col("text"))
-    behavioral = golden.where("id % 20 = 0").select((F.col("id") + 1_000_000).alias("id"), "group_id", F.concat(F.lit("again: "), "input").alias("input"), "expected", "choices", "slices").withColumn("type", F.when(F.col("id") % 3 == 0, "format").when(F.col("id") % 3 == 1, "paraphrase").otherwise("joke")).withColumn("paired_with", (F.col("id") - 1_000_000).cast("string"))
+    behavioral = _behavioral(golden)
     training = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select(F.col("text").alias("input"), F.concat(F.col("source"), F.lit("-t")).alias("group_id"))
     as_text = lambda df: df.withColumn("id", F.col("id").cast("string"))
     return evaluate.golden_contract(as_text(golden), as_text(behavioral), training, lambda c: F.lower(text.squeeze(c)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     A temporary folder is used only where none is set, as in tests."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new empty folder below the checkpoint folder; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path

@@ -23,11 +23,24 @@ def read_events(spark: SparkSession, folder: str, name: str, schema: str, files_
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote; for small results (memory sink)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote, of any size: files below ``folder``, which all machines share.
+
+    In mode ``append`` rows go to a file sink, which lists each batch once; in mode ``complete`` each batch
+    replaces the result, so the last one is returned."""
+    spark, last = stream.sparkSession, []
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer = writer.queryName(name) if name else writer
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch}")
+        last.append(batch)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch-{last[-1]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def sliding(events: DataFrame, time: str, keys: list[str], aggregates: list[Column], width: str = "30 seconds", slide: str = "5 seconds", late: str | None = None) -> DataFrame:
@@ -79,30 +92,49 @@ def completion(chunks: DataFrame, request: str, done: Column, declared: Column)
 
 
 ALERT = "key string, at timestamp, alert string"
+_ALERT_STATE = "since long, last string, at array<long>, tie array<long>, bad array<boolean>"
 
 
-def alert_machine(windows: DataFrame, key: str, time: str, breach: str, hold_seconds: int) -> DataFrame:
-    """``(key, at, alert)`` at every change among inactive, pending and firing, across micro-batches.
+def alert_machine(windows: DataFrame, key: str, time: str, breach: str, hold_seconds: int, tie: Column | None = None, late: str = "10 minutes") -> DataFrame:
+    """``(key, at, alert)`` at every change among inactive, pending and firing, in the order of event time and then ``tie``.
 
-    Windows of a key come in order of their end; the state is when the breach began
-    and the last alert."""
+    Rows may come in any order within ``late``: they wait in the state of their key until the watermark has passed them, and a timer
+    takes them up in order then; rows behind the watermark are dropped.  A key holds the rows of that stretch of time, when the
+    breach began and the last alert.  Rows that the watermark has not passed when the stream ends are not in the result."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last = state.get if state.exists else (None, "inactive")
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        since, last, *held = state.get if state.exists else (None, "inactive", [], [], [])
+        waiting = [pd.DataFrame({"at": held[0], "tie": held[1], "bad": held[2]}).astype({"at": "int64", "tie": "int64", "bad": "bool"})]
+        waiting += [pd.DataFrame({"at": f["micros"].astype("int64"), "tie": f["tie"].astype("int64"), "bad": f["breach"].astype("bool")}) for f in frames]
+        rows = pd.concat(waiting, ignore_index=True).sort_values(["at", "tie"], kind="stable")
+        ready = rows["at"] // 1000 < state.getCurrentWatermarkMs()
         out = []
-        for at, bad in zip(rows["at"], rows["breach"], strict=True):
-            seconds = int(at.timestamp())
+        for at, bad in zip(rows["at"][ready], rows["bad"][ready], strict=True):
+            seconds = at // 1_000_000
             since = (seconds if since is None else since) if bad else None
             now = "inactive" if since is None else "firing" if seconds - since >= hold_seconds else "pending"
             if now != last:
-                out.append((k[0], at, now))
+                out.append((k[0], pd.Timestamp(at, unit="us", tz="UTC"), now))
                 last = now
-        state.update((since, last))
+        rest = rows[~ready]
+        state.update((since, last, rest["at"].tolist(), rest["tie"].tolist(), rest["bad"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["at"].iloc[0]) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "at", "alert"])
 
-    plain = windows.select(F.col(key).cast("string").alias("key"), F.col(time).alias("at"), F.coalesce(breach, F.lit(False)).alias("breach"))
-    return plain.groupBy("key").applyInPandasWithState(step, ALERT, "since long, last string", "append", GroupStateTimeout.NoTimeout)
+    rows = windows.withWatermark(time, late)
+    at = F.col(time).cast("timestamp")
+    plain = rows.select(F.col(key).cast("string").alias("key"), F.col(time), F.unix_micros(at).alias("micros"), (F.lit(0) if tie is None else tie).cast("long").alias("tie"), F.coalesce(F.col(breach), F.lit(False)).alias("breach"))
+    return plain.groupBy("key").applyInPandasWithState(step, ALERT, _ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def interval_matches(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, least: str, most: str, late: str = "10 minutes") -> DataFrame:
+    """Pairs of equal key where the right row is ``least`` to ``most`` before the left one; in a stream as in a batch.
+
+    In a stream both sides are kept only while the watermark still allows for a partner.  The key and times have names of their own on each side's other columns."""
+    a, b = left.withWatermark(left_time, late).alias("a"), right.withWatermark(right_time, late).alias("b")
+    inside = F.expr(f"b.{right_time} <= a.{left_time} - INTERVAL {least} AND b.{right_time} >= a.{left_time} - INTERVAL {most}")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & inside)
 
 
 def lru_stream(rows: DataFrame, key: str, order: str, item: str, capacity: int) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import re
 import statistics
+import sys
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +151,32 @@ def test_order_statistics(spark):
     numbers = [2.675, 0.125, 0.375, -1.005, 1e300, 0.5, None]
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
     assert [r[0] for r in df.select(stats.round_even(F.col("x"), 2)).collect()] == [None if x is None else round(x, 2) for x in numbers]
+
+
+def test_stable_characters_are_what_composition_leaves_alone():
+    """No character of the class changes, is a mark, or joins with one before it."""
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1)]
+    joins = {int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<"} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    other, for_words = re.compile(text._NOT_STABLE), re.compile(text._NOT_STABLE_FOR_WORDS)
+    for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        if not other.search(c):
+            assert unicodedata.normalize("NFKC", c) == unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and ord(c) not in joins, c
+        elif not for_words.search(c):
+            assert not any(x.isalnum() or x == "_" for x in c + unicodedata.normalize("NFKC", c)), c
+
+
+def test_words_compared_are_those_of_the_line_path(spark):
+    """Whatever is left as it is has the words that the line-by-line function gives."""
+    rng = random.Random(12)
+    parts = ["Das", "straße", "ÉCOLE", "слово", "слово", "語", "１", "ﬁ", "½", "e\u0301", "…", "\xa0", "—", "\n", "\n", "\r\n", "\u2028", "\x1c", " ", " ", "1.", "2)", "а)", "Б.", "٣.", "１．", "x_y", "ſ.", "K)", "İ", "Σ", "\u3000", "가", "\u1100\u1161"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)] + ["", "1. b\n2. a", "а) б\nб) а", "１. b\n２. a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    ours = {r["i"]: r["w"] for r in df.select("i", text.words(text.comparable(F.col("t"))).alias("w")).collect()}
+    lines = spark.createDataFrame([(i, text.order_options(t)) for i, t in enumerate(texts)], "i int, t string")
+    assert ours == {r["i"]: r["w"] for r in lines.select("i", text.words(F.col("t")).alias("w")).collect()}
+
+
+def test_composed_as_the_library_does(spark):
+    texts = ["é", "e\u0301", "ﬁ", "…", "Ⅳ", "가", "\u1100\u1161", "a\u0327\u0301", "Ａ", "слово", "\u0951"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.nfkc(F.col("t")).alias("k"), text.nfc(F.col("t")).alias("c"))
+    assert all((r["k"], r["c"]) == (unicodedata.normalize("NFKC", r["t"]), unicodedata.normalize("NFC", r["t"])) for r in df.collect())

@@ -40,6 +40,22 @@ def test_similarity_join_is_exact(spark, t):
     assert cross == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if jaccard(a, b) >= t}
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 1.0])
+def test_containment_is_exact(spark, share):
+    items, docs = random_sets(7, 40), random_sets(8)
+    docs = [s | {777} for s in docs]  # a shingle that all documents have
+    items = [s | {777} if i % 2 else s for i, s in enumerate(items)]
+    want = {(i, j): len(a & b) / len(a) for i, a in enumerate(items) for j, b in enumerate(docs) if a and len(a & b) / len(a) >= share}
+    got = dedup.contained_pairs(frame(spark, items), frame(spark, docs), share).collect()
+    assert {(r["a"], r["b"]): r["share"] for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_classes_of_equal_sets(spark):
+    classes, members = dedup.equal_classes(frame(spark, [{1}, {2, 3}, {1}, set(), {3, 2}, set(), {1}]))
+    assert sorted((r["id"], r["s"], r["n"]) for r in classes.collect()) == [(0, [1], 1), (1, [2, 3], 2), (3, [], 0)]
+    assert sorted(map(tuple, members.collect())) == [(0, 0), (1, 1), (2, 0), (3, 3), (4, 1), (5, 3), (6, 0)]
+
+
 def test_greedy_removal_is_the_scan(spark):
     assert [r["id"] for r in dedup.greedy_removal(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()] == [2]  # a chain keeps both ends
     rng = random.Random(1)
@@ -298,3 +314,21 @@ def test_accounting_and_patterns(spark):
     assert [r["y"] for r in df.select(requests.follows(F.col("s"), ["i", "p", "f", "i"]).alias("y")).collect()] == [True, False]
     d = requests.distribution(spark.createDataFrame([(float("nan"),), (None,), (float("inf"),)], "v double"), F.col("v")).first()
     assert d["count"] == 0 and d["p95"] is None
+
+
+def test_strict_json_in_the_jvm(spark):
+    """Each verdict is that of the strict reader, whatever tries to get out of the wrapping."""
+    good = ['{"a": 1}', "[]", " [1, 2.5e3] ", '"x"', "null", "true", "-0", "1", '{"a": {"a": [{"a": 1}]}}', '"\\u00e9\\n"', '"é 😀"', "\n{}\t", '{"x": 1}', "1e99", '"' + "long " * 50_000 + '"', "[" * 400 + "]" * 400, "9" * 299, '{"": 1}']
+    bad = ["", " ", "{", '{"a": 1} x', '{"a": 1}{}', "1, 2", '1, "b": 2', '1} , {"y": 2', "1]", '{"a": 1, "a": 2}', '{"b": {"c": 1, "c": 1}}', "NaN", "[Infinity]", "-Infinity", "1e999", "[1e400]", "01", "+1", "1.", ".5", "'a'", "{a: 1}", "[1,]", '{"a": 1,}', "// c\n1", '"a\tb"'.replace("\\t", "\t"), "nul", '{"a"}', "\ufeff1", '1,"' + "0" * 64 + '":1}', "True", "[1 2]"]
+    texts = [*good, *bad, None, '"\\ud800"', "9" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", evaluate.is_strict_json(F.col("t")).alias("ok")).collect()
+
+    def plain(t):
+        try:
+            evaluate.strict_json(t)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    assert all(plain(t) for t in good) and not any(plain(t) for t in bad)
+    assert {texts[r["i"]]: r["ok"] for r in rows} == {t: None if t is None else plain(t) for t in texts}
