@@ -102,9 +102,15 @@ def _tail(k: Column, n: Column, a: float) -> Column:
 def thresholds(measured: DataFrame, labels: DataFrame, *, grid=GRID, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
     """``(stratum, symbols, dup_lines, repeats, capitals)``: the cutoffs in thousandths, null where a rule is off.
 
-    ``measured(id, stratum, m)``; ``labels(id, quality)`` with quality 1 good, 0 bad, others and null unused."""
+    ``measured(id, stratum, m)``; ``labels(id, quality)`` with quality 1 good, 0 bad, others and null unused.
+
+    The bound is for independent draws, so an id is one draw, however often its label or its row is repeated.  An id with labels of both kinds
+    is none, and neither is one whose rows differ in stratum or measures, as the label doesn't say which of them it is for."""
+    agreed = labels.where("id IS NOT NULL AND quality IN (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    row = F.struct("stratum", "m")
+    drawn = measured.join(agreed, "id").groupBy("id", "quality").agg(F.min(row).alias("row"), F.max(row).alias("other")).where("row = other")
     known = (
-        measured.join(labels.where("id IS NOT NULL AND quality IN (0, 1)"), "id")
+        drawn.select("quality", "row.*")
         .where(~base_failed(F.col("m")))
         .select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _passed(grid, F.col("m")[a], F.col("m")[b]).alias("passed")) for r, (a, b) in RULES.items()])).alias("r"))
         .groupBy("stratum", "quality", "r.rule", "r.passed")
@@ -154,7 +160,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: ``(doc_id, m, base_failed, kept)``; repeated rows and null ids are judged like any other.
 
     Rows of ``labels`` without a document, and the reverse, have no part in the
-    thresholds; without labels only the base rules hold."""
+    thresholds; repeated labels count once, contradictory ones not at all; without labels only the base rules hold."""
     measured = cut(docs.select(F.col("doc_id").alias("id"), stratum(F.col("lang")).alias("stratum"), measures(F.col("text")).alias("m")))
     cutoffs = thresholds(measured, labels.select(F.col("doc_id").alias("id"), "quality"), **options)
     return _with_cutoffs(measured, cutoffs).select(F.col("id").alias("doc_id"), "m", base_failed(F.col("m")).alias("base_failed"), _kept(F.col("m")).alias("kept"))

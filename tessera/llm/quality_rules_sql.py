@@ -30,11 +30,15 @@ WITH words AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), shares AS (
     {" UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {n} AS a, {d} AS d FROM b" for r, (n, d) in RULES.items())}
+), known AS (
+    SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)
+), drawn AS (
+    SELECT doc_id FROM (SELECT DISTINCT * FROM m) GROUP BY doc_id HAVING count(*) = 1
 ), tried AS (
     SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n,
            count(*) FILTER (quality = 1 AND 1000 * a > cutoff * d) AS k, count(*) FILTER (quality = 0 AND 1000 * a > cutoff * d) AS bad
-    FROM shares JOIN labels USING (doc_id), unnest([{", ".join(map(str, GRID))}]) AS g(cutoff)
-    WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL
+    FROM (SELECT DISTINCT * FROM shares) JOIN known USING (doc_id) JOIN drawn USING (doc_id), unnest([{", ".join(map(str, GRID))}]) AS g(cutoff)
+    WHERE NOT base_failed GROUP BY ALL
 ), tails AS (
     SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_A}) + (n - j) * ln(1 - {_A}))) FROM range(k + 1) AS r(j)) AS p,
            (SELECT count(DISTINCT stratum) FROM tried) AS strata

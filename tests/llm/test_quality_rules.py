@@ -80,3 +80,28 @@ def test_false_rejection_is_limited(spark):
     docs, labels = labelled(spark)
     noisy = labels.withColumn("quality", F.when(F.col("doc_id") % 20 == 0, 1).otherwise(F.col("quality")))  # half of those with symbols are good
     assert Q.rejected_removed(docs, noisy, max_false_rejection=0.05).count() == 3001
+
+
+def cutoffs(docs, labels, **options):
+    measured = docs.select(F.col("doc_id").alias("id"), Q.stratum(F.col("lang")).alias("stratum"), Q.measures(F.col("text")).alias("m"))
+    return sorted(map(tuple, Q.thresholds(measured, labels.select(F.col("doc_id").alias("id"), "quality"), **options).collect()))
+
+
+def times(df, n):
+    return df.join(df.sparkSession.range(n), how="cross")
+
+
+def test_repeated_labels_and_rows_are_one_draw(spark):
+    docs, labels = labelled(spark)
+    few = labels.where("doc_id < 600")
+    assert cutoffs(docs, few) == cutoffs(docs, times(few, 10)) == cutoffs(times(docs, 10), few) == []
+    enough = cutoffs(docs, labels, max_false_rejection=0.05)
+    assert enough and enough == cutoffs(times(docs, 3), times(labels, 3), max_false_rejection=0.05)
+
+
+def test_contradictory_labels_count_for_nothing(spark):
+    docs, labels = labelled(spark)
+    both = labels.unionByName(labels.where("doc_id % 2 = 1").withColumn("quality", 1 - F.col("quality")))
+    assert cutoffs(docs, both, max_false_rejection=0.1) == cutoffs(docs, labels.where("doc_id % 2 = 0"), max_false_rejection=0.1)
+    two_texts = docs.unionByName(docs.where("doc_id % 2 = 1").withColumn("text", F.concat("text", F.lit(" and more words"))))
+    assert cutoffs(two_texts, labels, max_false_rejection=0.1) == cutoffs(docs, labels.where("doc_id % 2 = 0"), max_false_rejection=0.1)
