@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lowest
+from tessera.llm.common import cut, lowest, release_memory
 
 #: documents that the model is fitted on at most: those with the lowest hashes of their ids, so a fair sample of all at
 #: any size; a linear model of some 600 weights has no use for more.  All documents are scored.
@@ -129,22 +129,38 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150, confidence: f
     return float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
 
 
-def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Clipped standard scores and a column of ones, in single precision; a strip at a time."""
-    out = np.ones((len(x), x.shape[1] + 1), np.float32)
-    for k in range(0, len(x), 1024):
-        out[k : k + 1024, :-1] = np.clip((x[k : k + 1024] - mean) / scale, -8, 8)
-    return out
+STRIP = 1024
+
+
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the columns in double precision; a strip at a time."""
+    strips = range(0, len(x), STRIP)
+    mean = sum(x[k : k + STRIP].sum(axis=0, dtype=np.float64) for k in strips) / len(x)
+    return mean, np.sqrt(sum(((x[k : k + STRIP] - mean) ** 2).sum(axis=0) for k in strips) / len(x))
+
 
+def _standardise(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Clipped standard scores in the place of all columns but the last, which is 1; a strip at a time."""
+    for k in range(0, len(x), STRIP):
+        x[k : k + STRIP, :-1] = np.clip((x[k : k + STRIP, :-1] - mean) / scale, -8, 8)
+    return x
 
-def fit(p: np.ndarray, u: np.ndarray, steps: int = 400, l2: float = 3e-4) -> Model:
+
+def fit(p: np.ndarray, u: np.ndarray, **options) -> Model:
     """A model from features (single precision) of positives and of unlabelled documents.
 
     Without one or the other every document gets the score 0.5."""
+    with_ones = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
+    return fit_in_place(with_ones(p), with_ones(u), **options)
+
+
+def fit_in_place(p: np.ndarray, u: np.ndarray, steps: int = 400, l2: float = 3e-4) -> Model:
+    """fit() of matrices with a last column of ones, which it overwrites, so that the driver holds each once."""
     if not len(p) or not len(u):
         return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(SIZE), 0.0, 0.5, False)
-    mean, scale = u.mean(axis=0, dtype=np.float64), u.std(axis=0, dtype=np.float64) + 1e-3
-    a, b = _standardised(p, mean, scale), _standardised(u, mean, scale)
+    mean, scale = _moments(u[:, :-1])
+    scale += 1e-3
+    a, b = _standardise(p, mean, scale), _standardise(u, mean, scale)
     prior = estimate_prior(a, b)
 
     def gradient(w):
@@ -196,9 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     drawn = {(r["chosen"], r["positive"]) for r in sample.collect()}  # a document may be drawn as both
     # a bounded sample: made by a few tasks and kept in as few files, then read one at a time
     known = cut(_features_of(texts.dropDuplicates(["chosen"]).select("chosen", "text").coalesce(FIT_PARTITIONS)))
-    rows = sorted((r["chosen"], bytes(r["x"])) for r in known.toLocalIterator())  # in order, so that fits can be repeated
-    matrix = lambda kind: np.frombuffer(b"".join(x for k, x in rows if (k, kind) in drawn), np.float32).reshape(-1, SIZE)
-    return fit(matrix(True), matrix(False))
+    ids = {kind: {k: at for at, k in enumerate(sorted(k for k, positive in drawn if positive is kind))} for kind in (True, False)}  # in order, so that fits can be repeated
+    features_of = {kind: np.ones((len(at), SIZE + 1), np.float32) for kind, at in ids.items()}
+    met = {kind: np.zeros(len(at), bool) for kind, at in ids.items()}
+    for r in known.toLocalIterator():
+        for kind, at in ids.items():
+            if r["chosen"] in at:
+                features_of[kind][at[r["chosen"]], :-1] = np.frombuffer(r["x"], np.float32)
+                met[kind][at[r["chosen"]]] = True
+    return fit_in_place(*[x if met[kind].all() else x[met[kind]] for kind, x in features_of.items()])
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -222,6 +244,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Null and empty texts are scored like any other, repeated rows each get a row, and
     a null doc_id is not held out.  An empty table gives an empty result."""
     model = train(docs, labels, **options)
+    release_memory()
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= CUTOFF, 1).otherwise(0))
 
@@ -231,6 +254,7 @@ def rejected_removed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
     Where no model could be fitted there is no ground to reject any: all stay."""
     model = train(docs, labels, **options)
+    release_memory()
     if not model.fitted:
         return docs
     return docs.where(score_column(F.col("text"), model) >= CUTOFF)
