@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 SPLITS = ("train", "val", "test")
 
 
@@ -63,6 +64,11 @@ def assign(groups: dict[str, tuple[int, dict[str, int]]], anchors: list[str], ra
 
 def rate(groups: dict[str, tuple[int, dict[str, int]]], where: dict[str, str], ratios: dict[str, float]) -> tuple[float, float]:
     """(score, largest total variation) of an assignment; a label that train lacks costs 1000."""
+    return rate_sums(*summed(groups, where), ratios)
+
+
+def summed(groups: dict[str, tuple[int, dict[str, int]]], where: dict[str, str]) -> tuple[dict[str, int], dict[str, dict[str, int]]]:
+    """Rows and label counts of each split."""
     size = dict.fromkeys(SPLITS, 0)
     counts: dict[str, dict[str, int]] = {s: {} for s in SPLITS}
     for g, (n, labels) in groups.items():
@@ -70,6 +76,10 @@ def rate(groups: dict[str, tuple[int, dict[str, int]]], where: dict[str, str], r
         size[s] += n
         for label, c in labels.items():
             counts[s][label] = counts[s].get(label, 0) + c
+    return size, counts
+
+
+def rate_sums(size: dict[str, int], counts: dict[str, dict[str, int]], ratios: dict[str, float]) -> tuple[float, float]:
     total = sum(size.values())
     whole = {s: sum(c.values()) for s, c in counts.items()}
     share = lambda s, label: counts[s].get(label, 0) / whole[s] if whole[s] else 0.0
@@ -80,40 +90,78 @@ def rate(groups: dict[str, tuple[int, dict[str, int]]], where: dict[str, str], r
     return 1000 * absent + 4 * off + sum(drift), max(drift)
 
 
-def search(rows: DataFrame, group: str, labels: str, ratios: dict[str, float], seed: int = 42, attempts: int = 512, max_groups: int = 100_000) -> DataFrame:
+def cover_of(table: DataFrame) -> list[str]:
+    """cover() of ``table(g, n, labels)``: a group a round, each found by a sum over the groups; rounds and what the driver holds follow the labels."""
+    missing = {r["x"] for r in table.select(F.explode("labels").alias("x")).distinct().toLocalIterator()}
+    if not missing:
+        raise ValueError("no group has a label")
+    chosen: list[str] = []
+    while missing:
+        new = F.size(F.array_intersect("labels", F.array(*map(F.lit, sorted(missing)))))
+        best = table.where(F.col("labels").isNotNull()).select(F.min(F.struct((-new).alias("new"), "n", "g", "labels")).alias("b")).first()["b"]
+        chosen.append(best["g"])
+        missing -= set(best["labels"])
+    return chosen
+
+
+def _held(pdf: pd.DataFrame) -> dict[str, tuple[int, dict[str, int]]]:
+    empty = lambda x: [] if x is None else x
+    return {g: (int(n), {x: int(c) for x, c in zip(empty(labels), empty(counts), strict=True)}) for g, n, labels, counts in zip(pdf["g"], pdf["n"], pdf["labels"], pdf["counts"], strict=True)}
+
+
+def search(rows: DataFrame, group: str, labels: str, ratios: dict[str, float], seed: int = 42, attempts: int = 512, chunk_groups: int = 100_000) -> DataFrame:
     """``(group, split, attempt, score, max_total_variation)`` of the best of many seeded assignments.
 
-    ``rows``: ``group`` and an array of ``labels``.  The groups with their label counts
-    (``max_groups`` at most; more is an error) go to each task with the code; the
-    attempts are spread over the cluster and the best is the least (score, attempt)."""
+    ``rows``: ``group`` and an array of ``labels``.  Groups are tables and stay on the executors: they are dealt by a hash to chunks of about ``chunk_groups``,
+    and each attempt assigns the groups of a chunk in its own order, towards the ratios within the chunk; up to ``chunk_groups`` there is one chunk, and the
+    assignment is that of assign().  What the chunks sum up by split and label is added, and the best attempt is the least (score, attempt).  Attempts of a chunk
+    are spread over the cluster.  Rows with a null group are a group of no name and are an error."""
     ratios = check_ratios(ratios)
     if isinstance(attempts, bool) or not isinstance(attempts, int) or attempts < 1:
         raise ValueError("attempts is a positive integer")
-    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
-    counted = rows.select(F.col(group).alias("g"), F.explode(labels).alias("label")).groupBy("g", "label").count()
-    held = sizes.limit(max_groups + 1).collect()
-    if len(held) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
-    table: dict[str, tuple[int, dict[str, int]]] = {r["g"]: (r["n"], {}) for r in held}
-    for r in counted.toLocalIterator():
-        table[r["g"]][1][r["label"]] = r["count"]
-    anchors = cover(table)
-    if len(table) - len(anchors) < 2:
+    name = F.when(F.col(group).isNull(), F.raise_error(F.lit("a row has no group"))).otherwise(F.col(group).cast("string"))
+    read = rows.select(name.alias("g"), F.col(labels).alias("labels"))
+    sizes = read.groupBy("g").agg(F.count("*").alias("n"))
+    counted = read.select("g", F.explode("labels").alias("label")).where("label IS NOT NULL").groupBy("g", "label").agg(F.count("*").alias("c"))
+    pairs = F.array_sort(F.collect_list(F.struct("label", "c")))  # a label once
+    by = counted.groupBy("g").agg(pairs.alias("p")).select("g", F.col("p.label").alias("labels"), F.col("p.c").alias("counts"))
+    table = cut(sizes.join(by, "g", "left"))
+    many = table.count()
+    anchors = cover_of(table)
+    if many - len(anchors) < 2:
         raise ValueError("no two groups are left for val and test")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for attempt in batch["id"]:
-                score, drift = rate(table, assign(table, anchors, ratios, f"{seed}|{attempt}"), ratios)
-                out.append((attempt, score, drift))
-            yield pd.DataFrame(out, columns=["attempt", "score", "drift"])
-
-    spark = rows.sparkSession
-    tried = spark.range(attempts).repartition(min(attempts, 64)).mapInPandas(run, "attempt long, score double, drift double")
-    best = tried.orderBy("score", "attempt").first()
-    where = assign(table, anchors, ratios, f"{seed}|{best['attempt']}")
-    return spark.createDataFrame([(g, s, best["attempt"], best["score"], best["drift"]) for g, s in sorted(where.items())], "group string, split string, attempt long, score double, max_total_variation double")
+    chunks = max(1, math.ceil(many / chunk_groups))
+    slices = max(1, min(attempts, 64 // chunks))
+    dealt = table.withColumn("chunk", F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(chunks)))
+
+    def assigned(groups: dict[str, tuple[int, dict[str, int]]], attempt: int) -> dict[str, str]:
+        return assign(groups, [a for a in anchors if a in groups], ratios, f"{seed}|{attempt}")
+
+    def tried(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        groups, out = _held(pdf), []
+        for attempt in range(int(key[1]), attempts, slices):
+            size, counts = summed(groups, assigned(groups, attempt))
+            out += [(attempt, s, None, size[s]) for s in SPLITS] + [(attempt, s, x, c) for s in SPLITS for x, c in counts[s].items()]
+        return pd.DataFrame(out, columns=["attempt", "split", "label", "c"])
+
+    def rated(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf["label"].isna()
+        size = dict.fromkeys(SPLITS, 0) | {s: int(c) for s, c in zip(pdf["split"][whole], pdf["c"][whole], strict=True)}
+        counts: dict[str, dict[str, int]] = {s: {} for s in SPLITS}
+        for s, x, c in zip(pdf["split"][~whole], pdf["label"][~whole], pdf["c"][~whole], strict=True):
+            counts[s][x] = int(c)
+        return pd.DataFrame([(int(pdf["attempt"].iat[0]), *rate_sums(size, counts, ratios))], columns=["attempt", "score", "drift"])
+
+    spread = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(chunks * slices, "chunk", "slice")
+    sums = spread.groupBy("chunk", "slice").applyInPandas(tried, "attempt long, split string, label string, c long")
+    sums = sums.groupBy("attempt", "split", "label").agg(F.sum("c").alias("c"))
+    best = sums.groupBy("attempt").applyInPandas(rated, "attempt long, score double, drift double").orderBy("score", "attempt").first()
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(sorted(assigned(_held(pdf), best["attempt"]).items()), columns=["group", "split"])
+
+    where = dealt.groupBy("chunk").applyInPandas(chosen, "group string, split string")
+    return where.select("group", "split", *[F.lit(best[c]).alias(n) for c, n in (("attempt", "attempt"), ("score", "score"), ("drift", "max_total_variation"))])
 
 
 def drift(rows: DataFrame, split: str, labels: str) -> DataFrame:

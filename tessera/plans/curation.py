@@ -551,10 +551,48 @@ SELECT a.split AS "left", b.split AS "right", count(*) AS shared_groups FROM p a
 """
 
 
+SEED, ATTEMPTS = 42, 512
+
+
 def split_search(spark, sf):
-    """The best of 512 seeded assignments of whole groups; the sequential greedy rule is beyond SQL."""
+    """The best of 512 seeded assignments of whole groups, with its score."""
     rows = docs(spark, sf).select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 5) % 5).alias("grp"), label_array().alias("labels"))
-    return split.search(rows, "grp", "labels", RATIOS)
+    found = split.search(rows, "grp", "labels", RATIOS, SEED, ATTEMPTS)
+    return found.select("group", "split", "attempt", F.round("score", 9).alias("score"), F.round("max_total_variation", 9).alias("max_total_variation"))
+
+
+def _off(split: str, gained: str) -> str:
+    """What a split's squared relative error becomes by ``gained`` rows, less what it is."""
+    goal = f"(total * {RATIOS[split]})"
+    return f"(({split} + {gained} - {goal}) / {goal}) * (({split} + {gained} - {goal}) / {goal}) - (({split} - {goal}) / {goal}) * (({split} - {goal}) / {goal})"
+
+
+# the anchors, one a step; then a group of each attempt at a step; then the scores of all attempts
+SPLIT_SEARCH = f"""
+WITH RECURSIVE d AS (SELECT source || '-' || ((doc_id // 5) % 5) AS grp, [lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END] || CASE WHEN doc_id % 2 = 0 THEN ['even'] ELSE [] END AS labels FROM documents),
+l AS MATERIALIZED (SELECT grp, label, count(*) AS c FROM (SELECT grp, unnest(labels) AS label FROM d) WHERE label IS NOT NULL GROUP BY ALL),
+z AS MATERIALIZED (SELECT grp, n, sum(n) OVER () AS total, coalesce(labs, []) AS labs FROM (SELECT grp, count(*) AS n FROM d GROUP BY grp) LEFT JOIN (SELECT grp, list(label) AS labs FROM l GROUP BY grp) USING (grp)),
+cov AS (SELECT CAST(NULL AS VARCHAR) AS grp, (SELECT list(DISTINCT label) FROM l) AS missing
+        UNION ALL SELECT b.grp, list_filter(b.missing, lambda x: NOT list_contains(b.labs, x))
+        FROM (SELECT missing, arg_min(z.grp, row(-len(list_intersect(missing, labs)), n, z.grp)) AS grp, arg_min(labs, row(-len(list_intersect(missing, labs)), n, z.grp)) AS labs FROM cov, z WHERE len(missing) > 0 GROUP BY missing) b),
+anchors AS MATERIALIZED (SELECT grp FROM cov WHERE grp IS NOT NULL),
+o AS MATERIALIZED (SELECT a AS attempt, grp, n, total, row_number() OVER (PARTITION BY a ORDER BY sha256('{SEED}|' || a || '|' || grp), grp) AS k, count(*) OVER (PARTITION BY a) AS m FROM z, range({ATTEMPTS}) t(a) WHERE grp NOT IN (SELECT grp FROM anchors)),
+p AS (SELECT a AS attempt, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS grp, CAST('' AS VARCHAR) AS split, (SELECT CAST(sum(n) AS DOUBLE) FROM z JOIN anchors USING (grp)) AS train, 0.0::DOUBLE AS val, 0.0::DOUBLE AS test FROM range({ATTEMPTS}) t(a)
+      UNION ALL SELECT attempt, k, grp, split, train + CASE split WHEN 'train' THEN n ELSE 0 END, val + CASE split WHEN 'val' THEN n ELSE 0 END, test + CASE split WHEN 'test' THEN n ELSE 0 END
+      FROM (SELECT *, CASE WHEN fill AND val > 0 THEN 'test' WHEN fill AND test > 0 THEN 'val' WHEN NOT fill AND et <= ev AND et <= es THEN 'train' WHEN ev <= es THEN 'val' ELSE 'test' END AS split
+            FROM (SELECT p.attempt, o.k, o.grp, o.n, train, val, test, o.m - p.k = (CASE WHEN val = 0 THEN 1 ELSE 0 END + CASE WHEN test = 0 THEN 1 ELSE 0 END) AS fill,
+                         {_off("train", "o.n")} AS et, {_off("val", "o.n")} AS ev, {_off("test", "o.n")} AS es
+                  FROM p JOIN o ON o.attempt = p.attempt AND o.k = p.k + 1))),
+w AS MATERIALIZED (SELECT attempt, grp, split FROM p WHERE k > 0 UNION ALL SELECT a, grp, 'train' FROM anchors, range({ATTEMPTS}) t(a)),
+sizes AS (SELECT attempt, split, sum(n) AS n, any_value(total) AS total FROM w JOIN z USING (grp) GROUP BY ALL),
+c AS (SELECT attempt, split, label, sum(c) AS c FROM w JOIN l USING (grp) GROUP BY ALL), sh AS (SELECT *, c / sum(c) OVER (PARTITION BY attempt, split) AS share FROM c),
+grid AS (SELECT DISTINCT attempt, label, s.split FROM c, (VALUES ('val'), ('test')) s(split)),
+v AS (SELECT g.attempt, g.split, sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2 AS tv, count(*) FILTER (a.c > 0 AND b.c IS NULL) AS absent
+      FROM grid g LEFT JOIN sh a ON a.attempt = g.attempt AND a.split = g.split AND a.label = g.label LEFT JOIN sh b ON b.attempt = g.attempt AND b.split = 'train' AND b.label = g.label GROUP BY ALL),
+e AS (SELECT attempt, sum(abs(n - total * CASE split WHEN 'train' THEN {RATIOS["train"]} WHEN 'val' THEN {RATIOS["val"]} ELSE {RATIOS["test"]} END)) / any_value(total) AS off FROM sizes GROUP BY attempt),
+best AS (SELECT attempt, score, tv FROM (SELECT attempt, 1000 * sum(absent) + 4 * any_value(off) + sum(tv) AS score, max(tv) AS tv FROM v JOIN e USING (attempt) GROUP BY attempt) ORDER BY round(score, 10), attempt LIMIT 1)
+SELECT grp AS "group", split, attempt, round(CAST(score AS DOUBLE), 9) AS score, round(CAST(tv AS DOUBLE), 9) AS max_total_variation FROM w JOIN best USING (attempt)
+"""
 
 
 # -- diversity

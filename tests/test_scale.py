@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dedup, quantiles, requests, sets
+from tessera.operators import dedup, quantiles, requests, sets, split
 
 
 def rank(values, q):
@@ -120,3 +120,38 @@ def test_first_ids_leave_a_task_bounded(spark):
     assert first._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2  # before and after the shuffle
     over = dedup.key_overlap(df, df.where("i > 2"), F.col("key"), "i", "i").where("key = 'hot'").first()
     assert (over["left_rows"], over["left_ids"], over["right_rows"], over["right_ids"]) == (18_000, [1, 2, 3], 17_998, [3, 4, 5])
+
+
+RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def labelled_groups(spark, n):
+    """Groups of one to four rows, some without labels, one with the only rare label."""
+    g = F.col("id")
+    rows = spark.range(n).select(F.concat(F.lit("g"), g).alias("g"), F.explode(F.sequence(F.lit(0), F.pmod(F.xxhash64("id"), F.lit(4)))).alias("i"))
+    h = F.pmod(F.xxhash64("g", "i", F.lit(3)), F.lit(10))
+    labels = F.when(F.col("g") == "g7", F.array(F.lit("rare"), F.lit("a"))).when(h < 5, F.array(F.lit("a"), F.lit(None).cast("string"))).when(h < 8, F.array(F.lit("b"), F.lit("c"))).when(h == 8, F.array(F.lit("c")))
+    return rows.select("g", labels.alias("labels"))
+
+
+def test_splits_by_chunks(spark):
+    """Whole groups, all labels in train, sizes and drift as those of one chunk; no group reaches the driver."""
+    rows = labelled_groups(spark, 4000)
+    one, many = (split.search(rows, "g", "labels", RATIOS, attempts=6, chunk_groups=k).collect() for k in (10_000, 300))
+    total = dict(rows.groupBy("g").count().collect())
+    for found in (one, many):
+        assert sorted(r["group"] for r in found) == sorted(total)
+        for s, share in RATIOS.items():
+            assert sum(total[r["group"]] for r in found if r["split"] == s) == pytest.approx(share * sum(total.values()), rel=0.03)
+        assert {r["split"] for r in found if r["group"] == "g7"} == {"train"}
+        assert found[0]["score"] < 1
+    assert many[0]["max_total_variation"] < one[0]["max_total_variation"] + 0.03
+
+
+def test_cover_of_tables_is_the_cover(spark):
+    rng = random.Random(6)
+    for _ in range(6):
+        groups = {f"g{i}": (rng.randint(1, 5), {x: 1 for x in rng.sample("abcdefgh", rng.randint(0, 3))}) for i in range(rng.randint(3, 30))}
+        table = spark.createDataFrame([(g, n, sorted(x) or None) for g, (n, x) in groups.items()], "g string, n long, labels array<string>")
+        if any(x for _, x in groups.values()):
+            assert split.cover_of(table) == split.cover(groups)
