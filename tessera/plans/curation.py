@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ident, stats, text
 from tessera.operators import dedup, quality, sampling, split
-from tessera.session import cut, spread, table
+from tessera.operators.similarity_index import SimilarityIndex
+from tessera.session import cut, own_folder, spread, table
 
 THRESHOLD = 0.85
 BENCHMARK_SHARE = 0.5
@@ -354,6 +357,20 @@ SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM g ORDER BY k DESC LIMIT 1)
 """
 
 
+def near_dup_batches(spark, sf):
+    """What near_dup_greedy drops, found in two batches: the later documents meet the stored index of the earlier ones."""
+    rows = docs(spark, sf).select("doc_id", "text")
+    first = cut(dedup.exact_duplicates(rows, text.normalize_text(F.col("text")), "doc_id").where("NOT is_duplicate").select("doc_id", "text"))
+    middle = first.agg(F.avg("doc_id")).first()[0] or 0.0
+    name = f"near_{uuid.uuid4().hex}"
+    index = SimilarityIndex(spark, name, f"{own_folder(spark, 'index')}/{name}", THRESHOLD)
+    dropped = [index.add(first.where(part), "doc_id", F.col("text"))[2] for part in (F.col("doc_id") <= middle, F.col("doc_id") > middle)]
+    return dropped[0].unionAll(dropped[1]).select(F.col("id").alias("doc_id"))
+
+
+NEAR_DUP_BATCHES = NEAR_DUP_GREEDY
+
+
 def _numbered_sets(spark, sf):
     """(id, s, n) of distinct texts with shingles as 32-bit numbers from md5, which SQL can follow."""
     rows = docs(spark, sf).select("doc_id", "text")
@@ -634,7 +651,7 @@ QUERIES = {
     "option_digests": option_digests, "shingle_counts": shingle_counts, "label_functions": label_functions, "stable_ids": stable_ids, "prompt_pick": prompt_pick,
     "length_filter": length_filter, "reject_reasons": reject_reasons, "pii_mask": pii_mask, "pii_counts": pii_counts, "label_histogram": label_histogram,
     "frequent_labels": frequent_labels, "blocklist": blocklist, "keyed_dedup": keyed_dedup, "clean_metrics": clean_metrics, "near_dup_pairs": near_dup_pairs,
-    "near_dup_greedy": near_dup_greedy, "minhash_signatures": minhash_signatures, "minhash_pairs": minhash_pairs, "contamination_report": contamination_report, "contamination_containment": contamination_containment,
+    "near_dup_greedy": near_dup_greedy, "near_dup_batches": near_dup_batches, "minhash_signatures": minhash_signatures, "minhash_pairs": minhash_pairs, "contamination_report": contamination_report, "contamination_containment": contamination_containment,
     "leak_join": leak_join, "hash_prefix_sample": hash_prefix_sample, "audit_sample": audit_sample, "stratified_sample": stratified_sample, "order_strata": order_strata,
     "group_split_drift": group_split_drift, "split_overlap": split_overlap, "split_search": split_search, "diversity_metrics": diversity_metrics, "diversity_violations": diversity_violations,
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import dedup, quantiles, requests, sets, split
+from tessera.operators.similarity_index import SimilarityIndex
 
 
 def rank(values, q):
@@ -155,3 +156,44 @@ def test_cover_of_tables_is_the_cover(spark):
         table = spark.createDataFrame([(g, n, sorted(x) or None) for g, (n, x) in groups.items()], "g string, n long, labels array<string>")
         if any(x for _, x in groups.values()):
             assert split.cover_of(table) == split.cover(groups)
+
+
+def test_batches_give_what_one_gives(spark, tmp_path):
+    """Pairs, members and removals of three batches are those of all texts at once; texts of earlier batches are not read again."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(0, 14))
+        texts += [" ".join(base), " ".join([*base, rng.choice(words)]), " ".join(base[1:])]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    whole = dedup.shingle_sets(df, "i", F.col("t"), 2)
+    pairs, members = dedup.similar_classes(whole, 0.7)
+    sets = {r["id"]: frozenset(r["s"]) for r in whole.collect()}
+    index = SimilarityIndex(spark, "grown", f"{tmp_path}/index", 0.7, 2, 4)
+    found, gone = set(), set()
+    for lo, hi in ((0, 50), (50, 50), (50, 120), (120, 180)):
+        a, _, c = index.add(df.where((F.col("i") >= lo) & (F.col("i") < hi)), "i", F.col("t"))
+        found |= {(frozenset((sets[r["a"]], sets[r["b"]])), round(r["jaccard"], 9)) for r in a.collect() if sets[r["a"]] != sets[r["b"]]}
+        gone |= {r["id"] for r in c.collect()}
+        index = SimilarityIndex(spark, "grown", f"{tmp_path}/index", 0.7, 2, 4)  # as a later job would open it
+    assert found == {(frozenset((sets[r["a"]], sets[r["b"]])), round(r["jaccard"], 9)) for r in pairs.collect()} != set()
+    assert gone == {r["id"] for r in dedup.near_duplicates(whole, 0.7).collect()} != set()
+    with pytest.raises(ValueError, match="above"):
+        index.add(df.limit(1), "i", F.col("t"))
+    new = spark.createDataFrame([(1, 2, 3)], "h long, id long, n long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index._met(new, index.table("prefixes"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan  # that of the new rows
+
+
+def test_runs_that_were_lost_leave_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "i long, t string")
+    index = SimilarityIndex(spark, "lost", f"{tmp_path}/index", 0.8, 2, 2)
+    index._append(spark.createDataFrame([(1, [5], 1, True)], "id long, s array<long>, n long, kept boolean"), "sets", "a run that ended here")
+    assert [r["id"] for r in index.add(df, "i", F.col("t"))[2].collect()] == [2]
+    assert index.table("sets").count() == 1
