@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, classifier, embedding_dedup, fill_in_middle, language_id, packing, point_in_time, quality_rules, quality_rules_sql, simhash, token_counts, tokens, url_filter, warc
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document gets four edits: a cut, an insertion, a letter within a word, a new ending."""
+    """A job stores the documents with their trees; another reads them and makes four edits: a cut, an insertion, a letter within a word, a new ending."""
     docs = table(spark, sf_dir, "documents")
+    trees = written(docs.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")))
     n = F.length(F.coalesce("text", F.lit("")))
     at = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n + 1)
     edit = lambda start, end, text: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(text).alias("text"))
     edits = F.array(edit(at(1), at(1) + 40, ""), edit(at(2), at(2), " [note 1] "), edit(at(3), at(3), "x"), edit(n - 10, F.lit(None), "\nEnd."))
-    return token_counts.edited_counts(docs, edits)
+    return token_counts.counts_of(token_counts.edit_trees(trees, edits))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,38 @@ def test_long_white_space():
     head, tail = "a b" + " " * 999_997 + "x", " " * 200_003 + "c"
     assert tree.text() == head + tail
     assert tree.n_tokens == len(enc.encode_ordinary(head)) + len(enc.encode_ordinary(tail))
+
+
+def test_a_later_job_reads_stored_trees(spark, tmp_path):
+    """Each job stores what it made; the next encodes only what its edits touch, and counts stay those of a fresh count."""
+    from pyspark.sql import functions as F
+
+    enc, rng = library(), random.Random(9)
+    bits = [" ", "\n", "word", "Wörter", "'s", "12", "!?", "日本", "🙂", " the", " quick"]
+    texts = {i: "".join(rng.choice(bits) for _ in range(rng.choice([0, 5, 400, 3000]))) for i in range(40)}
+    df = spark.createDataFrame([(i, t or None, 3) for i, t in texts.items()], "doc_id long, text string, n_tokens int")
+    df.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")).write.parquet(f"{tmp_path}/0")
+    stored = spark.read.parquet(f"{tmp_path}/0")
+    for r in stored.collect():
+        pieces = token_counts.matcher(public_tokenizers.PATTERN).findall(texts[r["doc_id"]])
+        assert r["tree"]["chars"] == [len(p) for p in pieces] and r["tree"]["tokens"] == [len(enc.encode_ordinary(p)) for p in pieces]
+    for job in range(1, 4):
+        edits = F.array(F.struct(F.lit(50 * job).alias("start"), F.lit(50 * job + 3).alias("end"), F.lit("ab ").alias("text")), F.struct(F.lit(700).alias("start"), F.lit(700).alias("end"), F.lit("z").alias("text")))
+        token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/{job - 1}"), edits).write.parquet(f"{tmp_path}/{job}")
+        rows = spark.read.parquet(f"{tmp_path}/{job}").collect()
+        for r in rows:
+            text = texts[r["doc_id"]]
+            text = text[: 50 * job] + "ab " + text[50 * job + 3 :]
+            texts[r["doc_id"]] = text = text[:700] + "z" + text[700:]
+            assert r["text"] == text and r["n_chars_edited"] == len(text) == sum(r["tree"]["chars"])
+            assert r["n_tokens_edited"] == len(enc.encode_ordinary(text)) == sum(r["tree"]["tokens"])
+            assert r["reencoded_chars"] <= 150
+        assert sum(r["reencoded_chars"] for r in rows) < 0.02 * sum(map(len, texts.values()))
+
+
+def test_a_tree_of_another_text_is_refused():
+    import numpy as np
+    import pytest
+
+    with pytest.raises(ValueError, match="another text"):
+        token_counts.TokenTree("abc", len, tree=(np.array([2], np.int32), np.array([1], np.int32)))
