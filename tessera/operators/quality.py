@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import spread
 from tessera.session import cut
 
 #: name -> (metric, 'min' or 'max', limit): fixed values
@@ -30,19 +29,43 @@ def largest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return counts.agg(F.min_by(key, F.struct(-F.col("c"), F.col("first"))).alias("name"), F.max("c").alias("count"), F.count("*").alias("distinct"))
 
 
+def value_counts(rows: DataFrame, facts: dict[str, Column], lists: dict[str, Column]) -> DataFrame:
+    """``(kind, key, c)``: how often each value of each fact occurs, from one pass; ``lists`` are arrays of which each value counts. Null is a value of a fact."""
+    fact = lambda kind: lambda value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
+    one = [fact(kind)(value) for kind, value in facts.items()]
+    more = [F.transform(values, fact(kind)) for kind, values in lists.items()]
+    return rows.select(F.explode(F.concat(F.array(*one), *[F.coalesce(m, F.array().cast("array<struct<kind:string,key:string>>")) for m in more])).alias("f")).groupBy("f.kind", "f.key").agg(F.count("*").alias("c"))
+
+
 def diversity(rows: DataFrame) -> DataFrame:
     """``(metric, value)`` over ``rows(seq, system, grp, description, answer, labels)``, labels an array.
 
-    Shares of nothing are 0."""
-    rows = cut(rows.select("seq", "system", "grp", F.length("description").alias("description_len"), F.length("answer").alias("answer_len"), F.xxhash64("answer").alias("answer_key"), "labels"))
-    n = rows.agg(F.count("*").alias("n"), F.count_distinct("system").alias("system_prompts"), F.count_distinct("answer_key").alias("answers"), F.count_if(F.size("labels") > 1).alias("multi"))
+    Shares of nothing are 0.  All metrics come from the counts of values, which are taken in one pass; the quantiles of lengths from the
+    counts of different lengths, which the longest text bounds."""
+    facts = {"system": F.col("system"), "grp": F.col("grp"), "answer_len": F.length("answer"), "description_len": F.length("description"), "answer": F.xxhash64("answer"), "multi": F.size("labels") > 1}
+    counts = cut(value_counts(rows, facts, {"label": F.array_distinct("labels")}))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    groups = largest(rows, "grp", "seq").select(F.col("count").alias("g_count"), F.col("distinct").alias("groups"))
-    modes = rows.groupBy("answer_len").agg(F.count("*").alias("c")).agg(F.max("c").alias("mode"))
-    labels = rows.select(F.explode(F.array_distinct("labels")).alias("label")).groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c").alias("l_count"), F.count("*").alias("labels"))
-    answer, description = (spread(rows, c).select(F.col("ratio_p90_p10").alias(f"{c}_ratio")) for c in ("answer_len", "description_len"))
-    # one row each: the crossing is of single rows
-    one = n.crossJoin(groups).crossJoin(modes).crossJoin(labels).crossJoin(answer).crossJoin(description)
+    of = lambda kind, known=True: (F.col("kind") == kind) & (F.col("key").isNotNull() if known else F.lit(True))
+    most = lambda test: F.max(F.when(test, F.col("c")))
+    whole = counts.agg(
+        F.coalesce(F.sum(F.when(of("answer"), F.col("c"))), F.lit(0)).alias("n"),
+        F.count_if(of("system")).alias("system_prompts"),
+        F.count_if(of("answer")).alias("answers"),
+        F.coalesce(F.sum(F.when(of("multi") & (F.col("key") == "true"), F.col("c"))), F.lit(0)).alias("multi"),
+        F.count_if(of("grp")).alias("groups"),
+        most(of("grp")).alias("g_count"),
+        most(of("answer_len", False)).alias("mode"),
+        F.count_if(of("label")).alias("labels"),
+        most(of("label", False)).alias("l_count"),
+    )
+    lengths = counts.where(of("answer_len") | of("description_len"))
+    by = Window.partitionBy("kind")
+    upto = F.sum("c").over(by.orderBy(F.col("key").cast("long")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = lengths.select("kind", F.col("key").cast("long").alias("v"), upto.alias("upto"), F.sum("c").over(by).alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col("v")))
+    ratios = ranked.groupBy("kind").agg((at(0.9) / F.greatest(at(0.1), F.lit(1))).alias("ratio"))
+    wide = ratios.agg(*[F.max(F.when(F.col("kind") == c, F.col("ratio"))).alias(f"{c}_ratio") for c in ("answer_len", "description_len")])
+    one = whole.crossJoin(wide)  # one row each
     values = {
         "examples": F.col("n"),
         "system_prompts": F.col("system_prompts"),
