@@ -195,9 +195,9 @@ def identify_languages(pages: DataFrame, docs: DataFrame, *, max_docs: int = MAX
     total = np.array([x or 0.0 for x in whole]) + 1.0
     share = (total / total.sum()).tolist()
 
-    joined = rows
-    for k, sums in keyed.items():
-        joined = joined.join(cut(sums), k, "left")
+    # what hangs on the host alone is joined host by host, so that pages are joined by host and by declared language only
+    hosts = rows.select("host", "domain", "suffix").distinct().join(keyed["host"], "host").join(keyed["domain"], "domain").join(keyed["suffix"], "suffix")
+    joined = rows.drop("domain").join(cut(hosts.drop("domain", "suffix")), "host").join(cut(keyed["declared"]), "declared")
     lit = lambda xs: F.array(*map(F.lit, xs))
     less = lambda col: F.zip_with(col, "post", lambda s, p: F.greatest(s - p, F.lit(0.0)))  # noqa: E731  without the page's own
     count = lambda col: F.aggregate(col, F.lit(0.0), lambda s, x: s + x)
