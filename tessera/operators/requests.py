@@ -274,7 +274,7 @@ def admission(rows: DataFrame, server: str, arrival: str, service: str, *, runni
     return plain.repartition("server").sortWithinPartitions("server", "arrival", "id").mapInPandas(run, "id long, server string, outcome string, queue_seconds double")
 
 
-def open_loop_schedule(spark, seconds: int, rate: float, clients: int = 4, skewed: bool = False) -> DataFrame:
+def open_loop_schedule(spark, seconds: float, rate: float, clients: int = 4, skewed: bool = False) -> DataFrame:
     """``(i, offset_seconds, client)``: arrivals at a fixed rate; skewed, four of five go to client 0."""
     i = F.col("id")
     others = F.floor(i / 5) % (clients - 1) + 1

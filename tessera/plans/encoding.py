@@ -205,12 +205,12 @@ PACK_FFD = f"WITH RECURSIVE {_BINS} SELECT bin, position, id, length FROM b"
 
 def pack_report(spark, sf):
     bins = _packed(spark, sf).groupBy("bin").agg(F.sum("length").alias("used"), F.count("*").alias("items"))
-    return bins.agg(F.sum("items").alias("items"), F.count("*").alias("bins"), F.round(F.sum("used") / (F.count("*") * LIMIT), 6).alias("fill"), F.max("items").alias("max_items"), F.ceil(F.count("*") / 8).cast("long").alias("steps"))
+    return bins.agg(F.sum("items").alias("items"), F.count("*").alias("bins"), F.round(F.sum("used") / (F.count("*") * LIMIT), 6).alias("fill"), F.max("items").alias("max_items"), F.ceil(F.sum("items") / 8).cast("long").alias("steps_before"), F.ceil(F.count("*") / 8).cast("long").alias("steps")).withColumn("steps_saved", F.round(1 - F.col("steps") / F.col("steps_before"), 4))
 
 
 PACK_REPORT = f"""
 WITH RECURSIVE {_BINS}, s AS (SELECT sum(length) AS used, count(*) AS items FROM b GROUP BY bin)
-SELECT sum(items) AS items, count(*) AS bins, round(sum(used) / (count(*) * {LIMIT}), 6) AS fill, max(items) AS max_items, CAST(ceil(count(*) / 8) AS BIGINT) AS steps FROM s
+SELECT sum(items) AS items, count(*) AS bins, round(sum(used) / (count(*) * {LIMIT}), 6) AS fill, max(items) AS max_items, CAST(ceil(sum(items) / 8) AS BIGINT) AS steps_before, CAST(ceil(count(*) / 8) AS BIGINT) AS steps, round(1 - ceil(count(*) / 8) / ceil(sum(items) / 8), 4) AS steps_saved FROM s
 """
 
 

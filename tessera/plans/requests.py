@@ -279,10 +279,11 @@ SELECT id, pod AS server, outcome, queue_seconds FROM q WHERE k > 0
 
 
 def open_loop_schedule(spark, sf):
-    return R.open_loop_schedule(spark, 120, 2, 4, True)
+    """Arrivals at two a second, as many as there are events, four of five of one client."""
+    return R.open_loop_schedule(spark, table(spark, sf, "events").count() / 2, 2, 4, True)
 
 
-OPEN_LOOP_SCHEDULE = "SELECT i, i / 2.0 AS offset_seconds, CAST(CASE WHEN i % 5 <> 4 THEN 0 ELSE (i // 5) % 3 + 1 END AS BIGINT) AS client FROM range(240) t(i)"
+OPEN_LOOP_SCHEDULE = "SELECT i, i / 2.0 AS offset_seconds, CAST(CASE WHEN i % 5 <> 4 THEN 0 ELSE (i // 5) % 3 + 1 END AS BIGINT) AS client FROM range((SELECT count(*) FROM events)) t(i)"
 
 
 def schedule_difference(spark, sf):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: metrics of one document
+MOST_ROWS = 1_000_000
 MOST_METRICS = 100_000
 
 
@@ -67,7 +68,9 @@ def write_metrics(metrics: DataFrame, path: str) -> dict[str, Any]:
 
 
 def write_comparison(rows: DataFrame, path: str, order: list[str]) -> None:
-    """A sorted CSV report with a header."""
+    """A sorted CSV report with a header: one file, so one task; more than ``MOST_ROWS`` rows are an error."""
+    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write them as a table")
     rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
