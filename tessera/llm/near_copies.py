@@ -39,6 +39,10 @@ BITS = 256
 SURE = 12
 OPEN = 60
 TILE = 2048
+#: pairs of a tile that are decided before it is asked again which are still apart
+STEP = 4096
+#: classes whose texts are asked for, some 16 bytes each, are broadcast to the texts up to this number; more are joined with them
+BROADCAST_CLASSES = 200_000
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -189,12 +193,16 @@ def _decided(least: float):
                         k = root[k]
                     return k
 
-                for k in np.argsort(d, kind="stable").tolist():
-                    a, b = int(i[k]), int(j[k])
-                    p, q = top(a), top(b)
-                    if p != q and similar(sets[a], sets[b], least):
-                        root[max(p, q)] = min(p, q)
-                        out.append((cls[a], cls[b]))
+                order = np.argsort(d, kind="stable")
+                i, j = i[order], j[order]
+                for k in range(0, len(i), STEP):  # nearest pairs first; those that have come together meanwhile are passed over at once
+                    now = np.array([top(m) for m in range(len(rows))])
+                    apart = now[i[k : k + STEP]] != now[j[k : k + STEP]]
+                    for a, b in zip(i[k : k + STEP][apart].tolist(), j[k : k + STEP][apart].tolist(), strict=True):
+                        p, q = top(a), top(b)
+                        if p != q and similar(sets[a], sets[b], least):
+                            root[max(p, q)] = min(p, q)
+                            out.append((cls[a], cls[b]))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -243,8 +251,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, least: f
     links = compared.where("key IS NULL").select("a", "b")
     members = compared.where("key IS NOT NULL").select("key", "lo", "hi", F.col("a").alias("cls"), "fp")
     asked = written(members.select("cls").distinct())
-    if not asked.isEmpty():
+    if many := asked.count():
         lows = written(classes.join(asked, "cls").select(F.col("low").alias("__low"), "cls"))
+        lows = F.broadcast(lows) if many <= BROADCAST_CLASSES else lows
         # the texts of classes asked for: by the smallest id, and by class where ids are null or repeat
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lows, F.col("id").eqNullSafe(F.col("__low")))
         sets = texts.select("cls", _packed(F.col("text"), size).alias("shingles"))
