@@ -37,11 +37,30 @@ EDITED = f"doc_id long, text string, tree {TREE}, n_tokens long, n_edits long, n
 _BREAK = re.compile(r"(?<=\S)[ \n]")
 
 
+def _last_break(text: str, end: int) -> int:
+    """The last break before ``end``, or -1."""
+    while True:
+        end = max(text.rfind(" ", 0, end), text.rfind("\n", 0, end))
+        if end <= 0:
+            return -1
+        if not text[end - 1].isspace():
+            return end
+
+
 @functools.lru_cache(maxsize=4)
-def matcher(pattern: str):
+def matcher(pattern: str) -> Callable[[str], list[str]]:
+    """All matches in a text, in order.
+
+    ASCII texts go through the standard library, which is faster and where letters and digits need no properties."""
     import regex
 
-    return regex.compile(pattern)
+    every = regex.compile(pattern).findall
+    plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9") if "[" not in pattern.replace(r"[^\s\p{L}\p{N}]", "") else r"\p"
+    plain = re.sub(r"(?<![\w^])(a-zA-Z|0-9)(?=\+)", r"[\1]", plain)
+    if r"\p" in plain:
+        return every
+    ascii_only = re.compile(plain, re.ASCII).findall
+    return lambda text: ascii_only(text) if text.isascii() else every(text)
 
 
 def default_pattern() -> str:
@@ -53,7 +72,7 @@ def default_pattern() -> str:
 class PieceCounts:
     """Tokens of single pre-tokens; at most ``keep`` short ones are remembered."""
 
-    def __init__(self, encoding, keep: int = 500_000):
+    def __init__(self, encoding, keep: int = 300_000):
         self.encoding, self.keep, self.known = encoding, keep, {}
 
     def __call__(self, piece: str) -> int:
@@ -64,6 +83,24 @@ class PieceCounts:
                 self.known[piece] = n
         return n
 
+    def many(self, pieces: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self(p) if n is None else n for p, n in zip(pieces, found, strict=True)]
+        return np.array(found, np.int32)
+
+
+@functools.lru_cache(maxsize=4)
+def piece_counts(path: str, pattern: str) -> PieceCounts:
+    """Of a Python worker, for all its tasks."""
+    return PieceCounts(byte_encoding(path, pattern))
+
+
+def leaves_of(text: str, count: PieceCounts, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of each pre-token of a text."""
+    pieces = matcher(pattern)(text)
+    return np.fromiter(map(len, pieces), np.int32, len(pieces)), count.many(pieces)
+
 
 class TokenTree:
     """Character and token sums over the pre-tokens of one text.
@@ -72,7 +109,7 @@ class TokenTree:
 
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF, pattern: str | None = None, tree: tuple[np.ndarray, np.ndarray] | None = None):
         self.count, self.leaf, self.encoded = count, leaf, 0
-        self.matches = matcher(pattern or default_pattern()).findall
+        self.matches = matcher(pattern or default_pattern())
         if tree is None:
             pieces = self.matches(text)
             tree = np.fromiter(map(len, pieces), np.int32, len(pieces)), np.fromiter(map(self._tokens, pieces), np.int32, len(pieces))
@@ -132,9 +169,9 @@ class TokenTree:
         found = None
         while True:  # the last break at which both characters are before the edit
             lead = self.texts[i - 1][-1:] if i else ""
-            breaks = [m.start() for m in _BREAK.finditer(lead + self.texts[i], 0, max(0, start - before) + len(lead))]
-            if breaks:
-                found = before + breaks[-1] - len(lead)
+            at = _last_break(lead + self.texts[i], max(0, start - before) + len(lead))
+            if at > 0:
+                found = before + at - len(lead)
                 break
             if i == 0:
                 break
@@ -161,8 +198,9 @@ class TokenTree:
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
         i, j, before, p, q = self._region(start, end)
-        whole = "".join(self.texts[i : j + 1])
-        chars, tokens = np.concatenate(self.leaf_chars[i : j + 1]), np.concatenate(self.leaf_tokens[i : j + 1])
+        one = i == j
+        whole = self.texts[i] if one else "".join(self.texts[i : j + 1])
+        chars, tokens = (x[i] if one else np.concatenate(x[i : j + 1]) for x in (self.leaf_chars, self.leaf_tokens))
         ends = (np.cumsum(chars) + before).tolist()
         first, last = bisect.bisect_right(ends, p), bisect.bisect_left(ends, q) + 1 if q > p else bisect.bisect_right(ends, p)
         last = min(last, len(ends))
@@ -207,8 +245,8 @@ def tree_column(text: Column, path: str | None = None, pattern: str | None = Non
 
     @F.pandas_udf(TREE)
     def build(texts: pd.Series) -> pd.DataFrame:
-        count = PieceCounts(byte_encoding(path, pattern))
-        made = [TokenTree(t or "", count, pattern=pattern).leaves() for t in texts]
+        count = piece_counts(path, pattern)
+        made = [leaves_of(t or "", count, pattern) for t in texts]
         return pd.DataFrame({"chars": pd.Series([c for c, _ in made], dtype=object), "tokens": pd.Series([t for _, t in made], dtype=object)})
 
     return build(text)
@@ -227,7 +265,7 @@ def edit_trees(trees: DataFrame, edits: Column, *, id_col: str = "doc_id", text_
     arrays = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = PieceCounts(byte_encoding(path, pattern))
+        count = piece_counts(path, pattern)
         for batch in batches:
             rows = []
             stored = [_slices(batch.column(k)) for k in (2, 3)]

@@ -91,7 +91,7 @@ def test_a_later_job_reads_stored_trees(spark, tmp_path):
     df.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")).write.parquet(f"{tmp_path}/0")
     stored = spark.read.parquet(f"{tmp_path}/0")
     for r in stored.collect():
-        pieces = token_counts.matcher(public_tokenizers.PATTERN).findall(texts[r["doc_id"]])
+        pieces = token_counts.matcher(public_tokenizers.PATTERN)(texts[r["doc_id"]])
         assert r["tree"]["chars"] == [len(p) for p in pieces] and r["tree"]["tokens"] == [len(enc.encode_ordinary(p)) for p in pieces]
     for job in range(1, 4):
         edits = F.array(F.struct(F.lit(50 * job).alias("start"), F.lit(50 * job + 3).alias("end"), F.lit("ab ").alias("text")), F.struct(F.lit(700).alias("start"), F.lit(700).alias("end"), F.lit("z").alias("text")))
@@ -113,3 +113,15 @@ def test_a_tree_of_another_text_is_refused():
 
     with pytest.raises(ValueError, match="another text"):
         token_counts.TokenTree("abc", len, tree=(np.array([2], np.int32), np.array([1], np.int32)))
+
+
+def test_matches_of_ascii_texts_are_those_of_the_pattern():
+    import regex
+
+    ours, library_ = token_counts.matcher(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(10)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), 32, 32, 10, 39, 115, 65])) for _ in range(rng.randrange(30)))
+        assert ours(text) == library_.findall(text)
+    assert token_counts.matcher(r"\p{Lu}+|.")("ABc") == ["AB", "c"]
+    assert token_counts.matcher(r"[\p{L}x]+|\p{N}")("ab1") == ["ab", "1"]
