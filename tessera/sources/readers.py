@@ -19,9 +19,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     Whole files are split on the executors; a file is read by one task, as its line
     numbers demand."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    # a final line end closes a line and opens none
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "value"), F.endswith("value", F.lit("\n")).alias("closed")).select("file", (F.col("i") + 1).cast("long").alias("line"), "value", "closed")
+    # a final line end closes a line and opens none; only lines go on from here, not the text beside each of them
+    parts = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.endswith("value", F.lit("\n")).alias("closed"), parts.alias("parts"))
+    return whole.select("file", "closed", F.posexplode("parts").alias("i", "value")).select("file", (F.col("i") + 1).cast("long").alias("line"), "value", "closed")
 
 
 def check_json(schema: StructType, closed: bool = True):
