@@ -62,13 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: like cut(), for wide rows of which parts are read.
 
     Columns may have any names: they are stored by position.  The files go when the driver ends."""
     names, spark = df.columns, df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path, compression=compression)
     gone_at_end(spark, path)
     return spark.read.parquet(path).toDF(*names)
 

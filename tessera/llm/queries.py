@@ -57,7 +57,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job stores the documents with their trees; another reads them and makes four edits: a cut, an insertion, a letter within a word, a new ending."""
     docs = table(spark, sf_dir, "documents")
-    trees = written(docs.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")))
+    trees = written(token_counts.token_trees(docs), "zstd")
     n = F.length(F.coalesce("text", F.lit("")))
     at = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n + 1)
     edit = lambda start, end, text: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(text).alias("text"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
 from tessera.llm.tokens import BYTE_BPE, byte_encoding, encode_bytes, vocabulary
 
 #: pre-tokens below a lowest inner node
@@ -252,6 +253,25 @@ def tree_column(text: Column, path: str | None = None, pattern: str | None = Non
     return build(text)
 
 
+def token_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``(doc_id, text, tree)`` of each row of ``docs``, to be stored: what edit_trees() takes.  Texts stay as they are, a null one has an empty tree."""
+    path, pattern = path or vocabulary(BYTE_BPE), pattern or default_pattern()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piece_counts(path, pattern)
+        for batch in batches:
+            made = [leaves_of(t or "", count, pattern) for t in batch.column(1).to_pylist()]
+            if made:
+                tree = pa.StructArray.from_arrays([_lists([x[k] for x in made]) for k in (0, 1)], fields=list(_ARROW_TREE))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tree], names=["doc_id", "text", "tree"])
+        release_memory()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, text string, tree {TREE}")
+
+
+_ARROW_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+
+
 def edit_trees(trees: DataFrame, edits: Column, *, id_col: str = "doc_id", text_col: str = "text", tree_col: str = "tree", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Stored texts and trees after edits, one row (``EDITED``) per row: to be stored in turn and edited again.
 
@@ -262,7 +282,6 @@ def edit_trees(trees: DataFrame, edits: Column, *, id_col: str = "doc_id", text_
     ``reencoded_chars`` counts what the edits made the tokenizer read again."""
     path, pattern = path or vocabulary(BYTE_BPE), pattern or default_pattern()
     names = [f.split()[0] for f in ("doc_id", "text", "tree", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "reencoded_chars")]
-    arrays = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counts(path, pattern)
@@ -279,8 +298,9 @@ def edit_trees(trees: DataFrame, edits: Column, *, id_col: str = "doc_id", text_
                 rows.append((key, tree.text(), tree.leaves(), first, len(changes or []), tree.n_tokens, tree.n_chars, tree.encoded))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                made = pa.StructArray.from_arrays([_lists([x[k] for x in columns[2]]) for k in (0, 1)], fields=list(arrays))
+                made = pa.StructArray.from_arrays([_lists([x[k] for x in columns[2]]) for k in (0, 1)], fields=list(_ARROW_TREE))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), made, *[pa.array(c, pa.int64()) for c in columns[3:]]], names=names)
+        release_memory()
 
     chosen = trees.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(tree_col)["chars"].alias("chars"), F.col(tree_col)["tokens"].alias("tokens"), edits.cast(EDITS).alias("edits"))
     return chosen.mapInArrow(run, EDITED)

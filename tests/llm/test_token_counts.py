@@ -88,7 +88,8 @@ def test_a_later_job_reads_stored_trees(spark, tmp_path):
     bits = [" ", "\n", "word", "Wörter", "'s", "12", "!?", "日本", "🙂", " the", " quick"]
     texts = {i: "".join(rng.choice(bits) for _ in range(rng.choice([0, 5, 400, 3000]))) for i in range(40)}
     df = spark.createDataFrame([(i, t or None, 3) for i, t in texts.items()], "doc_id long, text string, n_tokens int")
-    df.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")).write.parquet(f"{tmp_path}/0")
+    token_counts.token_trees(df).write.parquet(f"{tmp_path}/0")
+    assert df.select("doc_id", "text", token_counts.tree_column(F.col("text")).alias("tree")).exceptAll(spark.read.parquet(f"{tmp_path}/0")).isEmpty()
     stored = spark.read.parquet(f"{tmp_path}/0")
     for r in stored.collect():
         pieces = token_counts.matcher(public_tokenizers.PATTERN)(texts[r["doc_id"]])
