@@ -1,8 +1,6 @@
 import hashlib
 import random
-import re
 import statistics
-import sys
 import unicodedata
 
 import pytest
@@ -153,18 +151,6 @@ def test_order_statistics(spark):
     assert [r[0] for r in df.select(stats.round_even(F.col("x"), 2)).collect()] == [None if x is None else round(x, 2) for x in numbers]
 
 
-def test_stable_characters_are_what_composition_leaves_alone():
-    """No character of the class changes, is a mark, or joins with one before it."""
-    pairs = [unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1)]
-    joins = {int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<"} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    other, for_words = re.compile(text._NOT_STABLE), re.compile(text._NOT_STABLE_FOR_WORDS)
-    for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]):
-        if not other.search(c):
-            assert unicodedata.normalize("NFKC", c) == unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and ord(c) not in joins, c
-        elif not for_words.search(c):
-            assert not any(x.isalnum() or x == "_" for x in c + unicodedata.normalize("NFKC", c)), c
-
-
 def test_words_compared_are_those_of_the_line_path(spark):
     """Whatever is left as it is has the words that the line-by-line function gives."""
     rng = random.Random(12)
