@@ -6,23 +6,45 @@ import json
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.operators.evaluate import strict_json
 from tessera.operators.quality import require
+from tessera.session import bound_batches, cut
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line, value)``: the lines of text files, numbered from 1 within each file.
+#: names of files that a codec reads, so that their size is not that of their text
+_PACKED = r"(?i)\.(?:gz|gzip|bz2|deflate|snappy|lz4|zst|zstd|xz)$"
+
 
-    Whole files are split on the executors; a file is read by one task, as its line
-    numbers demand."""
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value, closed)``: the lines of text files, numbered from 1 within each file; ``closed`` where the file ends with a line end.
+
+    A file is read in splits, by as many tasks: a line's number is its place in its split
+    and the lines of the splits before it.  Packed files can't be split and are read whole."""
+    bound_batches(spark)
+    file = F.col("_metadata.file_path")
+    read = spark.read.option("lineSep", "\n").text(path).where(~file.rlike(_PACKED))
+    # written down, so that splits and places stay as they are, whenever a task runs again
+    rows = cut(read.select(file.alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("i"), "value"))
+    splits = rows.groupBy("file", "at").agg(F.min("i").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.first("size").alias("size"))
+    of_file = Window.partitionBy("file")
+    before = F.sum("n").over(of_file.orderBy("at")) - F.col("n")
+    # what the lines leave of a file: -1 byte where the last has no end, three more where the reader took a byte order mark
+    rest = F.col("size") - F.sum("bytes").over(of_file)
+    placed = cut(splits.select("file", "at", (F.col("first") - before).alias("zero"), F.sum("n").over(of_file).alias("last"), (rest % 3 == 0).alias("closed"), (rest > 1).alias("mark")))
+    line = F.col("i") - F.col("zero") + 1
+    ended = F.col("closed") | (line < F.col("last"))
+    value = F.when(ended & F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    value = F.when(F.col("mark") & (line == 1), F.concat(F.lit("\ufeff"), value)).otherwise(value)
+    plain = rows.join(F.broadcast(placed), ["file", "at"]).select("file", line.alias("line"), value.alias("value"), "closed")
     # a final line end closes a line and opens none; only lines go on from here, not the text beside each of them
-    parts = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.endswith("value", F.lit("\n")).alias("closed"), parts.alias("parts"))
-    return whole.select("file", "closed", F.posexplode("parts").alias("i", "value")).select("file", (F.col("i") + 1).cast("long").alias("line"), "value", "closed")
+    parts = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    whole = spark.read.text(path, wholetext=True).where(file.rlike(_PACKED)).select(file.alias("file"), F.endswith("value", F.lit("\n")).alias("closed"), parts.alias("parts"))
+    packed = whole.select("file", "closed", F.posexplode("parts").alias("i", "value")).select("file", (F.col("i") + 1).cast("long").alias("line"), "value", "closed")
+    return plain.unionAll(packed)
 
 
 def check_json(schema: StructType, closed: bool = True):

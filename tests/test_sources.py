@@ -4,6 +4,7 @@ import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tessera.sources import readers, writers
@@ -126,3 +127,36 @@ def test_archives_are_deterministic():
     t = writers.tar_bytes({"b": b"2", "a": b"1"})
     assert t == writers.tar_bytes({"a": b"1", "b": b"2"})
     assert tarfile.open(fileobj=io.BytesIO(t)).getnames() == ["a", "b"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_file_is_read_by_many_tasks(spark, tmp_path, end):
+    """Numbers and ends of lines hold across the splits of a file; with and without a last line end, a byte order mark, blank lines."""
+    texts = {"a.txt": [f"é{i}" * (i % 7) for i in range(900)], "b.txt": ["\ufeffx", "y", ""], "c.txt": ["z"] * 50, "d.txt": ["\ufeffz"], "e.txt": ["q", "", ""]}
+    want, folder = [], tmp_path / "in"
+    folder.mkdir()
+    for name, rows in texts.items():
+        closed = name not in ("c.txt", "d.txt")
+        (folder / name).write_bytes((end.join(rows) + (end if closed else "")).encode())
+        want += [(name, i, v, closed) for i, v in enumerate(rows, 1)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "600")
+        found = readers.lines(spark, str(folder))
+        got = found.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"], r["closed"]) for r in got) == sorted(want)
+    tasks = found.where(F.col("file").endswith("a.txt")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 3
+
+
+def test_packed_lines(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.jsonl.gz").write_bytes(gzip.compress(b"x\n\ny"))
+    (tmp_path / "b.jsonl").write_bytes(b"z\n")
+    got = sorted((r["line"], r["value"], r["closed"]) for r in readers.lines(spark, str(tmp_path)).collect())
+    assert got == [(1, "x", False), (1, "z", True), (2, "", False), (3, "y", False)]
