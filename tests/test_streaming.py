@@ -81,3 +81,8 @@ def test_repeats_sessions_and_completion(spark, tmp_path):
     assert {r["r"]: r["clean"] for r in W.completion(rows, "r", F.col("done"), F.col("n")).collect()} == {"r": True, "q": False, "p": False}
     events = spark.createDataFrame([(0, "a"), (5, "a"), (50, "a")], "t long, k string").select(F.timestamp_seconds("t").alias("ts"), "k")
     assert sorted(r["n"] for r in W.sessions(events, "ts", "k", "10 seconds", [F.count("*").alias("n")]).collect()) == [1, 2]
+
+
+def test_rows_that_wait_for_the_watermark_are_packed():
+    """A row that waits takes 17 bytes of one value, not a list's element that is pickled on its own."""
+    assert "held binary" in W._ALERT_STATE and W._HELD.itemsize == 17
