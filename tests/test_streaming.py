@@ -83,6 +83,22 @@ def test_repeats_sessions_and_completion(spark, tmp_path):
     assert sorted(r["n"] for r in W.sessions(events, "ts", "k", "10 seconds", [F.count("*").alias("n")]).collect()) == [1, 2]
 
 
+def test_cache_gives_out_pieces_in_order_of_ties(spark, tmp_path, monkeypatch):
+    """Equal times, more rows than a piece, null items: as a plain replay; no frame is larger than a piece."""
+    rng = random.Random(3)
+    rows = [(i, i // 40, "ab"[i % 2], rng.choice([None, 1.0, 2.0, 3.0, 4.0])) for i in range(30_000)]
+    shuffled = rng.sample(rows, len(rows))
+    s = stream(spark, tmp_path, shuffled)
+    got = W.drain(W.lru_stream(s, "k", "ts", "v", 3, F.col("id")), str(tmp_path / "c"))
+    want, held = {}, {"a": [], "b": []}
+    for _, _, k, v in rows:
+        hit = v in held[k]
+        held[k] = ([x for x in held[k] if x != v] + [v])[-3:]
+        name = (k, None if v is None else str(v), hit)
+        want[name] = want.get(name, 0) + 1
+    assert {(r["key"], r["item"], r["hit"]): r["count"] for r in got.groupBy("key", "item", "hit").count().collect()} == want
+
+
 def test_rows_that_wait_for_the_watermark_are_packed():
     """A row that waits takes 17 bytes of one value, not a list's element that is pickled on its own."""
     assert "held binary" in W._ALERT_STATE and W._HELD.itemsize == 17
