@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,14 +189,34 @@ def minhash(sets: DataFrame, permutations: int = 64) -> DataFrame:
 
     The low 32 bits x of an element become (a x + b) mod the prime beyond 2^32, with a and
     b from a fixed rule: row by row, without a shuffle."""
-    low = F.transform("s", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    def least(u: Column, a: int, b: int) -> Column:
-        return F.array_min(F.transform(u, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(PRIME)))
-
-    return sets.select("id", let(low, lambda u: F.array(*[least(u, a, b) for a, b in coefficients(permutations)])).alias("signature"))
-
-
+    rule = coefficients(permutations)
+
+    @F.arrow_udf("array<bigint>")
+    def signatures(s: pa.Array) -> pa.Array:
+        sizes = np.diff(s.offsets.to_numpy())
+        if s.null_count:
+            sizes = np.where(s.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+        x = (s.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype(np.uint64)
+        full = np.nonzero(sizes)[0]
+        starts = np.concatenate([[0], np.cumsum(sizes[full])])
+        least, i = np.zeros((len(sizes), permutations), np.int64), 0
+        while i < len(full):  # a stretch of sets that stays in the cache
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + STRETCH, "right")) - 1)
+            part, at = x[starts[i] : starts[j]], starts[i:j] - starts[i]
+            for k, (a, b) in enumerate(rule):
+                y = part * np.uint64(a) + np.uint64(b)
+                y -= y // np.uint64(PRIME) * np.uint64(PRIME)
+                least[full[i:j], k] = np.minimum.reduceat(y, at)
+            i = j
+        mask = np.repeat(sizes == 0, permutations)
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * permutations)
+        return pa.ListArray.from_arrays(offsets, pa.array(least.ravel(), mask=mask))
+
+    return sets.select("id", signatures("s").alias("signature"))
+
+
+#: numbers of a stretch of sets
+STRETCH = 1 << 15
 PRIME = 4_294_967_311
 
 

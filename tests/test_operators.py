@@ -332,3 +332,13 @@ def test_strict_json_in_the_jvm(spark):
 
     assert all(plain(t) for t in good) and not any(plain(t) for t in bad)
     assert {texts[r["i"]]: r["ok"] for r in rows} == {t: None if t is None else plain(t) for t in texts}
+
+
+def test_minhash_is_the_rule_and_runs_in_batches(spark):
+    """Each minimum by a plain loop, for sets beyond a stretch too, and no lambda over the elements in the plan."""
+    rng = random.Random(4)
+    sets = {i: sorted({rng.randint(-(2**63), 2**63 - 1) for _ in range(n)}) for i, n in enumerate([0, 1, 7, 40_000, 0, 300, 2])}
+    signed = dedup.minhash(spark.createDataFrame(list(sets.items()), "id long, s array<long>").repartition(1).orderBy("id"), 16)
+    want = {i: [min((x % 2**32 * a + b) % dedup.PRIME for x in s) if s else None for a, b in dedup.coefficients(16)] for i, s in sets.items()}
+    assert {r["id"]: r["signature"] for r in signed.collect()} == want
+    assert "lambdafunction" not in signed._jdf.queryExecution().optimizedPlan().toString()
