@@ -1,7 +1,7 @@
 """Text normalisation, word shingles, answer labels and personal data, as columns.
 
 Native functions wherever Spark has one; Unicode normalisation and case folding have
-none and run as Arrow-batched pandas functions.
+none and run in Python over Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +24,28 @@ PERSONAL = (("phone", "(?U)" + PHONE, "[PHONE]"), ("email", "(?U)" + EMAIL, "[EM
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def _normalized(form: str):
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+#: texts that are Python objects at once, whatever the size of a batch
+SLICE = 256
+
+
+def _mapped(of):
+    """A function of columns that applies ``of``, from str to str, to each text that is not null.
+
+    A batch stays in Arrow's form, as Python holds a text in several times its bytes; only a slice of it is objects at a time."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(texts), SLICE):
+            part = texts.slice(i, SLICE)
+            parts.append(pa.nulls(len(part), pa.string()) if part.null_count == len(part) else pa.array([None if t is None else of(t) for t in part.to_pylist()], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return run
+
 
-    return of
+def _normalized(form: str):
+    return _mapped(lambda t: t if t.isascii() else unicodedata.normalize(form, t))
 
 
 def is_ascii(text: Column) -> Column:
@@ -51,12 +67,7 @@ def nfc(text: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Full case folding ('ß' to 'ss'), which lower() is not."""
-
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else t.casefold())
-
-    return _beyond(is_ascii(text), F.lower(text), of, text)
+    return _beyond(is_ascii(text), F.lower(text), _mapped(str.casefold), text)
 
 
 def squeeze(text: Column) -> Column:
@@ -111,24 +122,15 @@ def order_options(text: str | None) -> str | None:
 
 
 def canonical_options(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(order_options)
-
-    return of(text)
+    return _mapped(order_options)(text)
 
 
 def comparable(text: Column) -> Column:
     """The text whose words are compared for near-duplicates: that of canonical_options(), or one with the same words.
 
     ASCII texts without a line that may be an option are left as they are."""
-
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(order_options)
-
     text = F.coalesce(text, F.lit(""))
-    return _beyond(is_ascii(text) & ~text.rlike(_MAYBE_OPTION), text, of, text)
+    return _beyond(is_ascii(text) & ~text.rlike(_MAYBE_OPTION), text, _mapped(order_options), text)
 
 
 def let(value: Column, use) -> Column:
@@ -168,10 +170,8 @@ def shingle_hashes(text: Column, size: int) -> Column:
 def label_set(text: Column) -> Column:
     """A comma-separated list as a set of labels, each normalised as normalize_text() does."""
 
-    @F.pandas_udf("string")
-    def composed(texts: pd.Series) -> pd.Series:  # label by label: what NFKC makes a comma separates nothing
-        return texts.map(lambda t: t if t is None else "\x00".join(unicodedata.normalize("NFKC", x) for x in t.split(",")))
-
+    # label by label: what NFKC makes a comma separates nothing
+    composed = _mapped(lambda t: "\x00".join(unicodedata.normalize("NFKC", x) for x in t.split(",")))
     text = F.coalesce(text, F.lit(""))
     whole = _beyond(is_ascii(text), F.replace(text, F.lit(","), F.lit("\x00")), composed, text)
     parts = F.transform(F.split(whole, "\x00"), lambda x: F.lower(squeeze(F.translate(x, DASHES_FROM, DASHES_TO))))

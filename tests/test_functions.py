@@ -166,3 +166,13 @@ def test_composed_as_the_library_does(spark):
     texts = ["é", "e\u0301", "ﬁ", "…", "Ⅳ", "가", "\u1100\u1161", "a\u0327\u0301", "Ａ", "слово", "\u0951"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.nfkc(F.col("t")).alias("k"), text.nfc(F.col("t")).alias("c"))
     assert all((r["k"], r["c"]) == (unicodedata.normalize("NFKC", r["t"]), unicodedata.normalize("NFC", r["t"])) for r in df.collect())
+
+
+def test_texts_are_objects_a_slice_at_a_time(spark, monkeypatch):
+    """Batches of several slices, some of only nulls, give the same, and no call sees more than a slice."""
+    texts = [None if 300 <= i < 900 or i % 7 == 0 else f"Ｅｎ {i}\n2) b\n1) a" for i in range(1300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = {r["i"]: (r["n"], r["c"]) for r in df.select("i", text.nfkc(F.col("t")).alias("n"), text.canonical_options(F.col("t")).alias("c")).collect()}
+    assert got == {i: (t and unicodedata.normalize("NFKC", t), text.order_options(t)) for i, t in enumerate(texts)}
+    plan = df.select(text.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and ", 250" in plan  # an Arrow function, which pandas has no part in
