@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import let, shingle_hashes
-from tessera.session import cut
+from tessera.session import bound_batches, cut
 
 
 def check_threshold(t: float) -> float:
@@ -29,10 +29,19 @@ def duplicate_marks(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return marked.select(order, F.coalesce(F.col(order) != F.col("__first"), F.lit(False)).alias("is_duplicate"))
 
 
+#: rows of some bytes up to which a side is broadcast
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, which are written down and narrow, with a broadcast where they are few, so that the wide side of a join is not shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def exact_duplicates(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """``rows`` with ``is_duplicate``; ``order`` identifies a row.  The ids of duplicates are joined, not the texts."""
-    gone = duplicate_marks(rows, key, order).where("is_duplicate").select(F.col(order).alias("__gone")).distinct()
-    joined = rows.join(gone, F.col(order) == F.col("__gone"), "left")
+    gone = cut(duplicate_marks(rows, key, order).where("is_duplicate").select(F.col(order).alias("__gone")).distinct())
+    joined = rows.join(_small(gone), F.col(order) == F.col("__gone"), "left")
     return joined.withColumn("is_duplicate", F.col("__gone").isNotNull()).drop("__gone")
 
 
@@ -58,7 +67,7 @@ def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame
 
     Shingles of one set only come first in the order and need no place in it: they are
     counted, not sorted."""
-    ranked = sets.select("id", "n", F.explode("s").alias("h")).join(common, "h")
+    ranked = sets.select("id", "n", F.explode("s").alias("h")).join(_small(common), "h")
     mine = Window.partitionBy("id")
     position = F.row_number().over(mine.orderBy("f", "h")) + F.col("n") - F.count("*").over(mine)
     return ranked.withColumn("p", position).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select("id", "n", "h", "f")
@@ -94,8 +103,10 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], place: str, t
 
 
 def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    with_a = candidates.join(left.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(right.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    """Of ``candidates(a, b)`` those at least that similar, as ``(a, b, jaccard)``; only sets that have a candidate are moved."""
+    candidates = cut(candidates)
+    asked = lambda sets, side: sets.join(_small(cut(candidates.select(F.col(side).alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
+    both = candidates.join(asked(left, "a"), "a").join(asked(right, "b"), "b")
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -104,21 +115,70 @@ def _close_sizes(a: str, b: str, t: float) -> Column:
 
 
 def equal_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): ``(id, s, n)`` with each set once, under the smallest of its ids, and ``(id, class)``."""
-    classes = cut(sets.groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-    return classes, cut(sets.join(classes.select("s", F.col("id").alias("class")), "s").select("id", "class"))
+    """(classes, members): ``(id, s, n)`` with each set once, under the smallest of its ids, and ``(id, class)``.
+
+    Sets are told apart by 128 bits of hashes and their size; the sets themselves are not shuffled where few are copies.  ``sets`` is written down, its ids are distinct."""
+    marks = cut(sets.select("id", "n", F.xxhash64("s").alias("u"), F.xxhash64(F.lit(1), "s").alias("v")))
+    first = marks.groupBy("n", "u", "v").agg(F.min("id").alias("class"), F.count("*").alias("c"))
+    copies = cut(marks.join(first.where("c > 1").drop("c"), ["n", "u", "v"]).where("id <> class").select("id", "class"))
+    classes = sets.join(_small(copies.select("id")), "id", "left_anti")
+    return classes, cut(copies.unionAll(classes.select("id", F.col("id").alias("class"))))
+
+
+#: documents that the order of shingles is made from, and how many of them have a shingle that is frequent
+ORDER_SETS, ORDER_LEAST = 20_000, 10
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """Shingles that come last in the order of all, the most frequent last; of any input the order is right, this one makes prefixes rare.
+
+    Frequencies are those among about ORDER_SETS sets, by hashes of their ids: what is held follows from the two constants, not from the input."""
+    n = max(1, sets.count())
+    share = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < int(min(1.0, ORDER_SETS / n) * (1 << 30))
+    found = sets.where(share).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= ORDER_LEAST)
+    return found.orderBy("f", "h").select("h").toArrow().column("h").to_numpy()
+
+
+def _ordered_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(id, n, h)``: the first n - ceil(t n) + 1 shingles of each set, by _frequent() and else by hash; row by row, without a shuffle."""
+    last = _frequent(sets)
+    by_hash = np.argsort(last, kind="stable")
+    known = sets.sparkSession.sparkContext.broadcast((last[by_hash], by_hash.astype(np.int64) + 1))
+
+    def run(batches):
+        hashes, places = known.value
+        for batch in batches:
+            s, n = batch.column("s"), batch.column("n").to_numpy()
+            h, sizes = s.flatten().to_numpy(zero_copy_only=False), np.diff(s.offsets.to_numpy())
+            if not len(h):
+                continue
+            place = np.zeros(len(h), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                place = np.where(hashes[at] == h, places[at], 0)
+            row = np.repeat(np.arange(len(n)), sizes)
+            by = np.lexsort((h, place, row))
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = by[rank < (n - np.ceil(n * threshold - 1e-9) + 1)[row]]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[keep])), pa.array(n[row[keep]]), pa.array(h[keep])], names=["id", "n", "h"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "n", "s").mapInArrow(run, f"id {kind}, n long, h long")
 
 
 def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): ``(a, b, jaccard)`` between classes of equal sets at least that similar, a < b, and ``(id, class)``.
 
     A class is named by its smallest id; empty sets are equal to each other.  Exact:
-    prefix filter over shingles from rare to frequent, length filter, then the sets
-    themselves.  Copies are never paired with each other, however many there are."""
+    prefix filter in one order of shingles, the frequent ones last, length filter, then
+    the sets themselves.  Copies are never paired with each other, however many there are."""
+    bound_batches(sets.sparkSession)
     t = check_threshold(threshold)
     classes, member = equal_classes(sets)
     rare = classes.where("n > 0")
-    prefix = cut(_prefixes(rare, _common(rare), t))
+    prefix = cut(_ordered_prefixes(rare, t))
+    met = cut(prefix.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
+    prefix = cut(prefix.join(_small(met), "h"))
     left, right = prefix.select("h", "f", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
     candidates = dealt_join(left, right, ["h"], "b", count="f").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
     return cut(_verified(candidates, rare, rare, t)), member
@@ -176,11 +236,12 @@ def contained_pairs(items: DataFrame, docs: DataFrame, share: float) -> DataFram
 
     A set with that share has one of the rarest n - ceil(share n) + 1 shingles of the item: only by these are they paired, and then counted.  Empty items are in none."""
     t = check_threshold(share)
-    prefix = _prefixes(items, shared_shingles(docs, items), t).select("h", F.col("id").alias("a"))
-    hits = docs.select(F.col("id").alias("b"), F.explode("s").alias("h")).join(prefix.select("h").distinct(), "h", "left_semi")
-    candidates = dealt_join(prefix, hits, ["h"], "b").select("a", "b").distinct()
+    prefix = cut(_prefixes(items, shared_shingles(docs, items), t).select("h", F.col("id").alias("a")))
+    hits = docs.select(F.col("id").alias("b"), F.explode("s").alias("h")).join(_small(cut(prefix.select("h").distinct())), "h", "left_semi")
+    candidates = cut(dealt_join(prefix, hits, ["h"], "b").select("a", "b").distinct())
+    met = docs.join(_small(cut(candidates.select(F.col("b").alias("id")).distinct())), "id", "left_semi")
     with_a = candidates.join(items.select(F.col("id").alias("a"), F.col("s").alias("sa"), "n"), "a")
-    both = with_a.join(docs.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = with_a.join(met.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.col("n")).alias("share")).where(F.col("share") >= t)
 
 

@@ -305,9 +305,9 @@ SELECT unnest(['rows_in','dropped_length','dropped_exact','rows_out','groups','p
 
 
 def _distinct_sets(spark, sf):
-    rows = docs(spark, sf).select("doc_id", "text")
-    first = dedup.exact_duplicates(rows, text.normalize_text(F.col("text")), "doc_id").where("NOT is_duplicate")
-    return dedup.shingle_sets(first, "doc_id", F.col("text"))
+    """(id, s, n) of distinct texts; keys and shingles come from one read, and no text is shuffled."""
+    read = cut(docs(spark, sf).select(F.col("doc_id").alias("id"), F.sha2(F.coalesce(text.normalize_text(F.col("text")), F.lit("")), 256).alias("key"), text.shingle_hashes(F.col("text"), 4).alias("s")))
+    return dedup.exact_duplicates(read.select("id", "key", "s"), F.col("key"), "id").where("NOT is_duplicate").select("id", "s", F.size("s").cast("long").alias("n"))
 
 
 def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -342,3 +342,21 @@ def test_minhash_is_the_rule_and_runs_in_batches(spark):
     want = {i: [min((x % 2**32 * a + b) % dedup.PRIME for x in s) if s else None for a, b in dedup.coefficients(16)] for i, s in sets.items()}
     assert {r["id"]: r["signature"] for r in signed.collect()} == want
     assert "lambdafunction" not in signed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prefixes_are_made_without_a_shuffle(spark, monkeypatch):
+    """The similarity join is exact where most shingles are frequent, and the prefixes of sets come from their own task."""
+    monkeypatch.setattr(dedup, "ORDER_LEAST", 3)
+    sets = random_sets(91)
+    sets = [s | {777, 778, 779} for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    got = {(r["a"], r["b"]) for r in dedup.similar_pairs(frame(spark, sets), 0.8).collect()}
+    assert got == want != set()
+    prefix = dedup._ordered_prefixes(frame(spark, sets), 0.8)
+    assert "Exchange" not in prefix._jdf.queryExecution().executedPlan().toString()
+    order = {h: k for k, h in enumerate(dedup._frequent(frame(spark, sets)).tolist(), 1)}
+    assert {777, 778, 779} <= set(order)
+    for i, s in enumerate(sets):
+        ranked = sorted(s, key=lambda h: (order.get(h, 0), h))
+        keep = len(s) - -(-len(s) * 8 // 10) + 1 if s else 0
+        assert {r["h"] for r in prefix.where(F.col("id") == i).collect()} == set(ranked[:keep]) if i < 5 else True
