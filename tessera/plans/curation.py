@@ -304,21 +304,39 @@ SELECT unnest(['rows_in','dropped_length','dropped_exact','rows_out','groups','p
 """
 
 
+def _key() -> Column:
+    return F.sha2(F.coalesce(text.normalize_text(F.col("text")), F.lit("")), 256).alias("key")
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """``(id, first)`` of texts whose key an earlier one of ``keyed(id, key)`` has."""
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    return cut(keyed.join(first, "key").where("id <> first").select("id", "first"))
+
+
+def _sets_and_copies(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(id, s, n) of distinct texts, and their copies; keys and shingles come from one read, and no text is shuffled."""
+    read = cut(docs(spark, sf).select(F.col("doc_id").alias("id"), _key(), text.shingle_hashes(F.col("text"), 4).alias("s")))
+    copies = _copies(read.select("id", "key"))
+    return read.join(dedup._small(copies.select("id")), "id", "left_anti").select("id", "s", F.size("s").cast("long").alias("n")), copies
+
+
 def _distinct_sets(spark, sf):
-    """(id, s, n) of distinct texts; keys and shingles come from one read, and no text is shuffled."""
-    read = cut(docs(spark, sf).select(F.col("doc_id").alias("id"), F.sha2(F.coalesce(text.normalize_text(F.col("text")), F.lit("")), 256).alias("key"), text.shingle_hashes(F.col("text"), 4).alias("s")))
-    return dedup.exact_duplicates(read.select("id", "key", "s"), F.col("key"), "id").where("NOT is_duplicate").select("id", "s", F.size("s").cast("long").alias("n"))
+    return _sets_and_copies(spark, sf)[0]
 
 
-def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs between classes and who belongs to a class, but for the one it is named by, in one table."""
+def _with_members(pairs: DataFrame, members: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs between classes and who belongs to a class, but for the one it is named by, in one table; a copy of a text is in its class."""
     found = pairs.select(F.lit("pair").alias("kind"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
-    return found.unionByName(members.where("id <> class").select(F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+    of_copies = copies.join(members.withColumnRenamed("id", "first"), "first").select("id", "class")
+    every = members.where("id <> class").select("id", "class").unionAll(of_copies)
+    return found.unionByName(every.select(F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def near_dup_pairs(spark, sf):
-    """Similar pairs between classes of equal shingles, and the members of each: copies are not paired with each other."""
-    return _with_members(*dedup.similar_classes(_distinct_sets(spark, sf), THRESHOLD))
+    """Similar pairs between classes of equal shingles, and the members of each, every document: copies are not paired with each other."""
+    sets, copies = _sets_and_copies(spark, sf)
+    return _with_members(*dedup.similar_classes(sets, THRESHOLD), copies)
 
 
 _SETS_SQL = f"""
@@ -328,6 +346,8 @@ w AS (SELECT key AS doc_id, {sql_words('t')} AS w FROM oc),
 s AS (SELECT doc_id, {sql_shingles('w')} AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s)
 """
+# members of classes, copies of a text among them; the table has the classes of distinct texts
+_MEMBERS_SQL = f"SELECT 'member', class, x.doc_id, 1.0 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {norm('text')}) AS first FROM documents) x JOIN {{0}} y ON y.doc_id = x.first WHERE x.doc_id <> class"
 _ALL_NEAR_PAIRS = f"""
 WITH {_SETS_SQL},
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id AND y.n >= 0.84 * x.n AND x.n >= 0.84 * y.n GROUP BY ALL)
@@ -338,7 +358,7 @@ UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM s x JOIN s y ON len(x.s) = 0 AND l
 
 NEAR_DUP_PAIRS = f"""
 WITH p AS ({_ALL_NEAR_PAIRS}), m AS (WITH {_SETS_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class FROM s)
-SELECT 'pair' AS kind, a, b, jaccard FROM p WHERE a IN (SELECT class FROM m) AND b IN (SELECT class FROM m) UNION ALL SELECT 'member', class, doc_id, 1.0 FROM m WHERE doc_id <> class
+SELECT 'pair' AS kind, a, b, jaccard FROM p WHERE a IN (SELECT class FROM m) AND b IN (SELECT class FROM m) UNION ALL {_MEMBERS_SQL.format('m')}
 """
 
 
@@ -371,26 +391,27 @@ def near_dup_batches(spark, sf):
 NEAR_DUP_BATCHES = NEAR_DUP_GREEDY
 
 
-def _numbered_sets(spark, sf):
-    """(id, s, n) of distinct texts with shingles as 32-bit numbers from md5, which SQL can follow."""
-    rows = docs(spark, sf).select("doc_id", "text")
-    first = dedup.exact_duplicates(rows, text.normalize_text(F.col("text")), "doc_id").where("NOT is_duplicate")
-    words = cut(first.select("doc_id", text.words(text.comparable(F.col("text"))).alias("w")))
+def _numbered_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(id, s, n) of distinct texts with shingles as 32-bit numbers from md5, which SQL can follow, and (id, first) of their copies."""
+    copies = _copies(cut(docs(spark, sf).select(F.col("doc_id").alias("id"), _key())))
+    first = docs(spark, sf).withColumnRenamed("doc_id", "id").join(dedup._small(copies.select("id")), "id", "left_anti")
+    words = cut(first.select("id", text.words(text.comparable(F.col("text"))).alias("w")))
     number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
-    sets = words.select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(F.transform(text.shingles_of(F.col("w"), 4), number))).alias("s"))
-    return cut(sets).withColumn("n", F.size("s").cast("long"))
+    sets = words.select("id", F.array_sort(F.array_distinct(F.transform(text.shingles_of(F.col("w"), 4), number))).alias("s"))
+    return cut(sets).withColumn("n", F.size("s").cast("long")), copies
 
 
 def minhash_signatures(spark, sf):
     """Digests of the 64 minima of each distinct text."""
-    return dedup.minhash(_numbered_sets(spark, sf)).select(F.col("id").alias("doc_id"), F.sha2(F.array_join("signature", ","), 256).alias("digest"))
+    return dedup.minhash(_numbered_sets(spark, sf)[0]).select(F.col("id").alias("doc_id"), F.sha2(F.array_join("signature", ","), 256).alias("digest"))
 
 
 def minhash_pairs(spark, sf):
-    """Pairs that agree on a MinHash band, verified, between classes of equal sets, and the members of each: LSH proposes, the sets decide."""
-    classes, members = dedup.equal_classes(_numbered_sets(spark, sf).where("n > 0"))
+    """Pairs that agree on a MinHash band, verified, between classes of equal sets, and the members of each, every document: LSH proposes, the sets decide."""
+    sets, copies = _numbered_sets(spark, sf)
+    classes, members = dedup.equal_classes(sets)
     candidates = dedup.minhash_candidates(cut(dedup.minhash(classes)))
-    return _with_members(dedup._verified(candidates, classes, classes, THRESHOLD), members)
+    return _with_members(dedup._verified(candidates, classes, classes, THRESHOLD), members, copies)
 
 
 _MINIMA = ", ".join(f"list_min(list_transform(u, lambda x: (x * {a} + {b}) % {dedup.PRIME}))" for a, b in dedup.coefficients(64))
@@ -401,11 +422,11 @@ m AS (SELECT doc_id, u, [{_MINIMA}] AS m FROM u)
 """
 MINHASH_SIGNATURES = f"WITH {_SIGNATURES} SELECT doc_id, sha256(array_to_string(m, ',')) AS digest FROM m"
 MINHASH_PAIRS = f"""
-WITH {_SIGNATURES}, k AS (SELECT doc_id, u, m, min(doc_id) OVER (PARTITION BY list_sort(u)) AS class FROM m WHERE len(u) > 0), r AS (SELECT * FROM k WHERE doc_id = class),
+WITH {_SIGNATURES}, k AS (SELECT doc_id, u, m, min(doc_id) OVER (PARTITION BY list_sort(u)) AS class FROM m), r AS (SELECT * FROM k WHERE doc_id = class),
 b AS (SELECT doc_id, unnest(range(16)) AS band, m FROM r), c AS (SELECT doc_id, band, m[band * 4 + 1 : band * 4 + 4] AS cell FROM b),
 p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM c x JOIN c y ON x.band = y.band AND x.cell = y.cell AND x.doc_id < y.doc_id),
 j AS (SELECT a, b, len(list_intersect(x.u, y.u)) AS k, len(x.u) + len(y.u) AS n FROM p JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b)
-SELECT 'pair' AS kind, a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= {THRESHOLD} UNION ALL SELECT 'member', class, doc_id, 1.0 FROM k WHERE doc_id <> class
+SELECT 'pair' AS kind, a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= {THRESHOLD} UNION ALL {_MEMBERS_SQL.format('k')}
 """
 
 

@@ -360,3 +360,17 @@ def test_prefixes_are_made_without_a_shuffle(spark, monkeypatch):
         ranked = sorted(s, key=lambda h: (order.get(h, 0), h))
         keep = len(s) - -(-len(s) * 8 // 10) + 1 if s else 0
         assert {r["h"] for r in prefix.where(F.col("id") == i).collect()} == set(ranked[:keep]) if i < 5 else True
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs", "minhash_pairs"])
+def test_every_document_is_in_a_class(spark, tmp_path, name):
+    """Copies of a text, and texts without words, are members too; as SQL has it."""
+    from tessera.plans import curation
+    from tests.compare import differences, duck_rows
+
+    body = "one two three four five six seven eight nine ten"
+    texts = [body, body.upper(), f"  {body}", body.replace(" ", ", "), "other words of no one else", "!", "?!", "!", "Other  words of no one else"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in getattr(curation, name)(spark, str(tmp_path)).collect()]
+    assert differences(got, duck_rows(getattr(curation, name.upper()), str(tmp_path))) is None
+    assert sorted((r["a"], r["b"]) for r in got if r["kind"] == "member") == [(0, 1), (0, 2), (0, 3), (4, 8), (5, 6), (5, 7)]
