@@ -10,8 +10,11 @@ in their centers and planes, and links are united over all of them.
 
 The number of passes is measured: pairs at the threshold are set up around vectors of
 the sample, and where they are missed most (the worst tenth) all passes miss them with
-a probability of about ``miss`` (pairs more alike far more rarely).  Where that many
-passes cost more than comparing all pairs in tiles, all pairs are compared.
+a probability of about ``miss`` (pairs more alike far more rarely).  An exact check
+follows: what the passes missed is found by a bound on the cosine from the leading
+directions of the sample, in tiles of bounded size.  Where that many passes cost more
+than comparing all pairs in tiles, all pairs are compared at once.  So the links are
+those of brute force at any size; the check is quadratic in the number of balls.
 
 Passes carry a sketch of each vector, a byte a dimension, with the angle it is off by.
 So a vector is a small ball on the sphere.  Two balls whose farthest points must link
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -60,6 +63,10 @@ LOOSE = 0.8
 CHUNK = 256
 #: vectors of a tile where all pairs are compared
 TILE = 8192
+#: least tiles, and numbers of a tile at most, where the rest of the pairs is checked; rows and columns of a block; pairs of the sample that pass the bound
+TILES, TILE_NUMBERS, BLOCK, PASSED = 12, 1 << 22, (512, 4096), 1e-3
+#: more than single precision takes from the bound
+_ROUNDING = 1e-4
 #: vectors and bytes of the sample at most
 SAMPLE, SAMPLE_BYTES = 32768, 1 << 23
 PROBES, PARTNERS, TRIALS = 256, 8, 16
@@ -371,7 +378,6 @@ def _gather(items: DataFrame, number: int, sample: Sample, angle: float, limit:
 def _compared(ids, x, rho, other, y, sigma, threshold: float, before: np.ndarray | None = None) -> pa.RecordBatch | None:
     """``(a, b, certain)`` for the balls of one side and of the other; ``before[i]`` columns are open to row i."""
     theta = math.acos(threshold)
-    tight = theta / 2
     dot = x @ y.T
     most = rho.max() + sigma.max()
     if most <= 2 * _SMALL:
@@ -380,7 +386,13 @@ def _compared(ids, x, rho, other, y, sigma, threshold: float, before: np.ndarray
         i, j = np.nonzero(dot >= np.cos(np.minimum(math.pi, theta + rho[:, None] + sigma[None, :] + _EPS)))
     use = (ids[i] != other[j]) if before is None else (j < before[i])
     i, j = i[use], j[use]
-    spread, angle = rho[i] + sigma[j], np.arccos(np.clip(dot[i, j], -1, 1))
+    return _told(ids, rho, other, sigma, i, j, dot[i, j], theta)
+
+
+def _told(ids, rho, other, sigma, i: np.ndarray, j: np.ndarray, dot: np.ndarray, theta: float) -> pa.RecordBatch | None:
+    """``(a, b, certain)`` of the balls i and j with the cosines ``dot``."""
+    tight = theta / 2
+    spread, angle = rho[i] + sigma[j], np.arccos(np.clip(dot, -1, 1))
     certain = (angle + spread <= theta - _EPS) & (rho[i] <= tight) & (sigma[j] <= tight)
     keep = angle <= theta + spread + _EPS
     a, b = np.minimum(ids[i], other[j])[keep], np.maximum(ids[i], other[j])[keep]
@@ -402,9 +414,8 @@ def _candidates(items: DataFrame, numbers: list[int], sample: Sample, threshold:
     return _keyed(items, numbers, sample).mapInArrow(run, "a long, b long, certain boolean").distinct()
 
 
-def _all_candidates(items: DataFrame, n: int, threshold: float) -> DataFrame:
-    """As _candidates(), from all pairs: tiles of about TILE items, each compared with itself and each other one."""
-    tiles, strip = max(1, math.ceil(n / TILE)), WINDOW
+def _tiled(items: DataFrame, tiles: int, compare: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``compare(dim, left, right)`` gives for each pair of tiles; a side is (ids, vectors, rho), one and the same for a tile with itself."""
     mine = F.pmod(F.xxhash64("item", F.lit(3)), F.lit(tiles)).cast("long")
     placed = items.select(F.length("q").cast("long").alias("dim"), "item", "q", "rho", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("other"))
     dealt = placed.select("dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "item", "rho", "q")
@@ -412,15 +423,12 @@ def _all_candidates(items: DataFrame, n: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def compare():
+        def compared():
             tile, ids, x, rho = (np.concatenate([h[k] for h in held]) for k in range(4))
-            a, b = (np.nonzero(tile == k)[0] for k in now[1:])
-            if not len(a) or not len(b):
-                return
-            for k in range(0, len(a), strip):  # of bounded size
-                s = a[k : k + strip]
-                if out := _compared(ids[s], x[s], rho[s], ids[b], x[b], rho[b], threshold):
-                    yield out
+            held.clear()
+            sides = [(ids[at], unit(x[at]), rho[at]) for at in (tile == k for k in dict.fromkeys(now[1:]))]
+            if all(len(side[0]) for side in sides):
+                yield from compare(int(now[0]), sides[0], sides[-1])
 
         for batch in batches:
             if not batch.num_rows:
@@ -431,16 +439,86 @@ def _all_candidates(items: DataFrame, n: int, threshold: float) -> DataFrame:
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if now != (dim[s], lo[s], hi[s]):
                     if held:
-                        yield from compare()
-                    now, held = (dim[s], lo[s], hi[s]), []
-                held.append((tile[s:e], ids[s:e], unit(data[at[s] : at[e]].view(np.int8).reshape(e - s, int(dim[s]))), rho[s:e].astype(np.float64)))
+                        yield from compared()
+                    now = (dim[s], lo[s], hi[s])
+                held.append((tile[s:e], ids[s:e], data[at[s] : at[e]].view(np.int8).reshape(e - s, int(dim[s])), rho[s:e].astype(np.float64)))
         if held:
-            yield from compare()
+            yield from compared()
 
     sides = dealt.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi")
     return sides.mapInArrow(run, "a long, b long, certain boolean").distinct()
 
 
+def _all_candidates(items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """As _candidates(), from all pairs: tiles of about TILE items, each compared with itself and each other one."""
+    strip = WINDOW
+
+    def compare(dim: int, left: tuple, right: tuple) -> Iterator[pa.RecordBatch]:
+        ids, x, rho = left
+        for k in range(0, len(ids), strip):  # of bounded size
+            if out := _compared(ids[k : k + strip], x[k : k + strip], rho[k : k + strip], *right, threshold):
+                yield out
+
+    return _tiled(items, max(1, math.ceil(n / TILE)), compare)
+
+
+def leading(q: np.ndarray, threshold: float) -> np.ndarray:
+    """Orthonormal leading directions of a sample, as many as leave few of its pairs that may reach the threshold.
+
+    By them a cosine is bounded: x.y <= x'.y' + |x''||y''|, where x' is the part of x along them and x'' what is left."""
+    x = unit(q).astype(np.float64)
+    values, basis = np.linalg.eigh(x.T @ x)
+    along = x[:1024] @ basis[:, ::-1]
+    least, dim = math.cos(math.acos(threshold) + 2 * _SMALL + _EPS), x.shape[1]
+    for k in range(8, dim, 8):
+        rest = np.sqrt(np.maximum(0, 1 - (along[:, :k] ** 2).sum(axis=1)))
+        passed = along[:, :k] @ along[:, :k].T + rest[:, None] * rest[None, :] >= least
+        if passed.sum() - len(along) <= PASSED * len(along) ** 2:
+            break
+    else:
+        k = dim
+    return np.ascontiguousarray(basis[:, ::-1][:, :k]).astype(np.float32)
+
+
+def _rest(items: DataFrame, n: int, sample: Sample, threshold: float) -> DataFrame:
+    """As _candidates(), every pair that may link: the exact check, in tiles and blocks of bounded size.
+
+    Blocks hold balls of about one reach; a block's pairs are told by the bound of leading(), and only those that it leaves are compared in all dimensions."""
+    theta, (tall, wide) = math.acos(threshold), BLOCK
+    directions = items.sparkSession.sparkContext.broadcast({dim: leading(q, threshold) for dim, q in sample.rows.items() if dim > 8})
+
+    def bounded(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+        if basis is None or basis.shape[1] == x.shape[1]:
+            return x
+        along = x @ basis
+        return np.column_stack([along, np.sqrt(np.maximum(0, 1 - np.square(along, dtype=np.float64).sum(axis=1)) + _ROUNDING / 10).astype(np.float32)])
+
+    def compare(dim: int, left: tuple, right: tuple) -> Iterator[pa.RecordBatch]:
+        basis, few = directions.value.get(dim), max(1, TILE_NUMBERS // dim)
+        sides = []
+        for ids, x, rho in (left, right):
+            by = np.argsort(rho, kind="stable")
+            sides.append((ids[by], x[by], rho[by], bounded(x[by], basis)))
+        (ids, x, rho, f), (other, y, sigma, g) = sides
+        for s in range(0, len(ids), tall):
+            for t in range(s // wide * wide if left is right else 0, len(other), wide):
+                mine, theirs = slice(s, s + tall), slice(t, t + wide)
+                least = math.cos(min(math.pi, theta + rho[mine].max() + sigma[theirs].max() + _EPS)) - _ROUNDING
+                i, j = np.nonzero(f[mine] @ g[theirs].T >= least)
+                i, j = i + s, j + t
+                if left is right:
+                    once = i < j
+                    i, j = i[once], j[once]
+                for k in range(0, len(i), few):
+                    a, b = i[k : k + few], j[k : k + few]
+                    if out := _told(ids, rho, other, sigma, a, b, np.einsum("ij,ij->i", x[a], y[b]), theta):
+                        yield out
+
+    widest = max(sample.rows, default=1)
+    tile = max(TILE, min(TILE_NUMBERS // widest, math.ceil(n / TILES)))
+    return _tiled(items, max(1, math.ceil(n / tile)), compare)
+
+
 def _matrix(values: list[bytes], kind: str) -> np.ndarray:
     return exact_unit(np.frombuffer(b"".join(values), kind).reshape(len(values), -1))
 
@@ -563,7 +641,8 @@ def embedding_components(
     if passes >= most:
         pairs = cut(_all_candidates(items, n, threshold))
     else:
-        pairs = cut(_candidates(items, list(range(passes)), sample, threshold))
+        found = cut(_candidates(items, list(range(passes)), sample, threshold))
+        pairs = cut(found.unionByName(_rest(items, n, sample, threshold)).groupBy("a", "b").agg(F.max("certain").alias("certain")))
     members = cut(place.join(classes, "class").select("item", "class", "tight", "digest", "copies", "low"))
     loose_balls = items.where(F.col("rho") > theta / 2).select(F.col("item").alias("a"), F.col("item").alias("b"))
     sure = pairs.where("certain").select("a", "b")

@@ -134,3 +134,21 @@ def test_sketches_are_off_by_what_they_say():
         q, rho = E.sketch(x)
         y = q / np.linalg.norm(q.astype(float), axis=1)[:, None]
         assert (np.linalg.norm(x - y, axis=1) <= rho).all() and rho.max() < 0.2
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5])
+def test_links_do_not_depend_on_the_path(spark, common, monkeypatch):
+    """Pairs at the threshold itself, where passes miss most: passes and all pairs at once give the links of brute force, both."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(np.sqrt(common) * unit(rng.normal(0, 1, (1, 64))) + np.sqrt(1 - common) * unit(rng.normal(0, 1, (3500, 64))))
+    first, away = base[:1500], rng.normal(0, 1, (1500, 64))
+    away = unit(away - (away * first).sum(axis=1)[:, None] * first)
+    cosine = rng.uniform(0.9001, 0.903, (1500, 1))
+    crowd = base[-1:] + rng.normal(0, 0.04, (60, 64))
+    x = rng.permutation(np.concatenate([base, cosine * first + np.sqrt(1 - cosine**2) * away, crowd])).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(9000 + i, v) for i, v in enumerate(rng.normal(0, 1, (40, 3)).tolist())]
+    want = plain(rows)
+    for window in (16, 256):
+        monkeypatch.setattr(E, "WINDOW", window)
+        assert got(frame(spark, rows)) == want, window
