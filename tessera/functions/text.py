@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.shingle_numbers import numbered
+
 #: fixed values: long dashes and the no-break space
 DASHES_FROM = "—–‑ "
 DASHES_TO = "--- "
@@ -102,8 +104,8 @@ _OPTION = re.compile(r"^\s*(?:\d+|[a-zа-я])\s*[.)]\s*(\S.*)$", re.IGNORECASE)
 _MAYBE_OPTION = r"(?:^|[\n\x0b\x0c\r\x1c-\x1e])[\s\x1c-\x1f]*(?:\d+|[A-Za-z])[\s\x1c-\x1f]*[.)]"
 
 
-def _plain(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).translate(dict(zip(map(ord, DASHES_FROM), DASHES_TO, strict=True))).split()).lower()
+def _plain(line: str) -> str:
+    return " ".join(line.split()).lower()
 
 
 def order_options(text: str | None) -> str | None:
@@ -111,7 +113,10 @@ def order_options(text: str | None) -> str | None:
     if text is None:
         return None
     runs: list[tuple[bool, list[str]]] = []
-    for line in unicodedata.normalize("NFKC", text).translate(dict(zip(map(ord, DASHES_FROM), DASHES_TO, strict=True))).splitlines():
+    text = unicodedata.normalize("NFKC", text)  # once: parts of a composed text are composed
+    for dash, plain in zip(DASHES_FROM, DASHES_TO, strict=True):
+        text = text.replace(dash, plain)
+    for line in text.splitlines():
         option = _OPTION.fullmatch(line)
         kept = _plain(option[1] if option else line)
         if not runs or runs[-1][0] is not bool(option):
@@ -154,6 +159,24 @@ def shingles_of(word_array: Column, size: int) -> Column:
     return F.when(n >= size, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(word_array, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def spaced_words(text: Column) -> Column:
+    """words() in one text, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def shingle_numbers(spaced: Column, size: int) -> Column:
+    """The shingles of shingles_of() as sorted distinct 32-bit numbers, the first eight hex digits of their md5; ``spaced`` is from spaced_words()."""
+    if size < 1:
+        raise ValueError("a shingle has at least one word")
+
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [numbered(texts.slice(i, SLICE), size) for i in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return run(spaced)
+
+
 def shingle_hashes(text: Column, size: int) -> Column:
     """The shingles as sorted distinct 64-bit hashes; the order of numbered answer options plays no part."""
     if size < 1:

@@ -395,9 +395,7 @@ def _numbered_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(id, s, n) of distinct texts with shingles as 32-bit numbers from md5, which SQL can follow, and (id, first) of their copies."""
     copies = _copies(cut(docs(spark, sf).select(F.col("doc_id").alias("id"), _key())))
     first = docs(spark, sf).withColumnRenamed("doc_id", "id").join(dedup._small(copies.select("id")), "id", "left_anti")
-    words = cut(first.select("id", text.words(text.comparable(F.col("text"))).alias("w")))
-    number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
-    sets = words.select("id", F.array_sort(F.array_distinct(F.transform(text.shingles_of(F.col("w"), 4), number))).alias("s"))
+    sets = first.select("id", text.shingle_numbers(text.spaced_words(text.comparable(F.col("text"))), 4).alias("s"))
     return cut(sets).withColumn("n", F.size("s").cast("long")), copies
 
 

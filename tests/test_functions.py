@@ -176,3 +176,41 @@ def test_texts_are_objects_a_slice_at_a_time(spark, monkeypatch):
     assert got == {i: (t and unicodedata.normalize("NFKC", t), text.order_options(t)) for i, t in enumerate(texts)}
     plan = df.select(text.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and ", 250" in plan  # an Arrow function, which pandas has no part in
+
+
+def test_shingle_numbers_are_the_rule_and_run_in_batches(spark):
+    """Sorted distinct numbers by a plain loop, for shingles of one md5 block and of many, and no lambda over the words in the plan."""
+    rng = random.Random(8)
+    words = ["x", "слово", "É", "y" * 70, "z" * 300, "ß_1", "二"]
+    texts = [None, "", " !? ", "one", "One, two\nthree", "a b c d", "a b c d a b c d"] + ["; ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = rows.select("i", text.shingle_numbers(text.spaced_words(F.col("t")), 4).alias("s"))
+    stored = rows.select("i", text.words(F.col("t")).alias("w")).localCheckpoint()
+    shingles = {r["i"]: r["s"] for r in stored.select("i", text.shingles_of(F.col("w"), 4).alias("s")).collect()}
+    assert {r["i"]: r["s"] for r in got.collect()} == {i: sorted({int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in s}) for i, s in shingles.items()}
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_options_are_composed_once(monkeypatch):
+    """A text is normalised as a whole, not again line by line; the result is that of normalising each line."""
+    rng = random.Random(5)
+    parts = ["1) ", "b. ", "2)", "Ａ—b", "–", "‑", "́", "é", "ﬁ", " ", " ", "̸", "Σ", "İ", "\n", "\n", "\r\n", " ", "x", "3.", "한"]
+    plain = lambda x: " ".join(unicodedata.normalize("NFKC", x).translate(table).split()).lower()
+    table = dict(zip(map(ord, text.DASHES_FROM), text.DASHES_TO, strict=True))
+
+    def by_lines(t):
+        runs = []
+        for line in unicodedata.normalize("NFKC", t).translate(table).splitlines():
+            option = text._OPTION.fullmatch(line)
+            kept = plain(option[1] if option else line)
+            if not runs or runs[-1][0] is not bool(option):
+                runs.append((bool(option), []))
+            if kept or option:
+                runs[-1][1].append(kept)
+        return "\n".join(line for numbered, lines in runs for line in (sorted(lines) if numbered else lines))
+
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3000)]
+    want, calls, normalize = [by_lines(t) for t in texts], [], unicodedata.normalize
+    monkeypatch.setattr(text.unicodedata, "normalize", lambda form, t: calls.append(t) or normalize(form, t))
+    assert [text.order_options(t) for t in texts] == want
+    assert len(calls) == len(texts)
