@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,31 +105,88 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], place: str, t
     return left.join(right, [*keys, "__tile"]).drop("__tile")
 
 
-def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Of ``candidates(a, b)`` those at least that similar, as ``(a, b, jaccard)``; only sets that have a candidate are moved."""
-    candidates = cut(candidates)
-    asked = lambda sets, side: sets.join(_small(cut(candidates.select(F.col(side).alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
-    both = candidates.join(asked(left, "a"), "a").join(asked(right, "b"), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+#: sets, and shingles in them, of a cell's side
+CELL_SETS, CELL_SHINGLES = 1 << 10, 1 << 19
+
+
+def _compared(cells: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, jaccard)`` of cells ``(x, y, e)``, the sets of both sides as ``(id, s)`` and the candidates as ``(a, b)``; a cell is in memory at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y, e in zip(*(batch.column(c) for c in "xye"), strict=True):
+                (left, at, ids), (right, to, others) = ((s.values.to_numpy(), s.offsets.to_numpy(), v.field("id")) for v in (x.values, y.values) for s in [v.field("s")])
+                a, b = e.values.field("a"), e.values.field("b")
+                ia, ib = pc.index_in(a, value_set=ids).to_numpy(), pc.index_in(b, value_set=others).to_numpy()
+                by = np.argsort(ia, kind="stable")
+                found = np.empty(len(ia))
+                for own in np.split(by, np.flatnonzero(np.diff(ia[by])) + 1):
+                    mine = np.sort(left[at[ia[own[0]]] : at[ia[own[0]] + 1]])
+                    theirs = np.concatenate([right[to[k] : to[k + 1]] for k in ib[own]])
+                    sizes = to[ib[own] + 1] - to[ib[own]]
+                    hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs if len(mine) else np.zeros(len(theirs), bool)
+                    upto = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+                    shared = np.diff(upto)
+                    whole = len(mine) + sizes - shared
+                    found[own] = np.where(whole == 0, 1.0, shared / np.maximum(whole, 1))
+                keep = np.flatnonzero(found >= threshold)
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep)), pa.array(found[keep])], names=["a", "b", "jaccard"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema["e"].dataType.elementType}
+    return cells.select("x", "y", "e").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, jaccard double")
+
+
+#: ``(id, s)``, or what makes it for some ids, so that other sets are not made
+Sets = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _verified(candidates: DataFrame, left: Sets, right: Sets, threshold: float) -> DataFrame:
+    """Of ``candidates(a, b, na, nb)`` those at least that similar, as ``(a, b, jaccard)``; only sets that have a candidate are made and moved.
+
+    A candidate's place is the smallest a that its b has.  Sets that are alike have one
+    in common, so a set is moved about once, not once for each of its candidates; a place
+    with many sets is dealt out into cells, which have a bounded number of them."""
+    bound_batches(candidates.sparkSession)
+    candidates = cut(candidates.select("a", "b", "na", "nb"))
+    placed = candidates.join(candidates.groupBy("b").agg(F.min("a").alias("place")), "b")
+    ends = [placed.select("place", F.lit(x).alias("side"), F.col(x).cast("string").alias("id"), F.col(f"n{x}").alias("n")) for x in "ab"]
+    held = ends[0].unionAll(ends[1]).distinct().groupBy("place").agg(F.ceil(F.greatest(F.sum("n") / CELL_SHINGLES, F.count("*") / CELL_SETS)).cast("int").alias("t"))
+    placed = placed.join(_small(cut(held.where("t > 1"))), "place", "left").withColumn("t", F.coalesce("t", F.lit(1)))
+    cell = ["place", "ta", "tb"]
+    cells = cut(placed.select("place", *[F.pmod(F.xxhash64(x, F.lit(6)), F.col("t")).cast("int").alias(f"t{x}") for x in "ab"], "a", "b"))
+
+    def brought(sets: Sets, sides: str, name: str) -> DataFrame:
+        wanted = cells.select(*cell, F.col(sides[0]).alias("id"))
+        wanted = cut((wanted.unionAll(cells.select(*cell, F.col(sides[1]).alias("id"))) if sides[1:] else wanted).distinct())
+        ids = _small(cut(wanted.select("id").distinct()))
+        asked = sets(ids) if callable(sets) else sets.join(ids, "id", "left_semi")
+        return asked.select("id", "s").join(_small(wanted), "id").groupBy(*cell).agg(F.collect_list(F.struct("id", "s")).alias(name))
+
+    sets = brought(left, "ab", "x").withColumn("y", F.col("x")) if left is right else brought(left, "a", "x").join(brought(right, "b", "y"), cell)
+    return _compared(sets.join(cells.groupBy(*cell).agg(F.collect_list(F.struct("a", "b")).alias("e")), cell), threshold)
 
 
 def _close_sizes(a: str, b: str, t: float) -> Column:
     return (F.col(b) >= F.ceil(F.col(a) * F.lit(t) - 1e-9)) & (F.col(a) >= F.ceil(F.col(b) * F.lit(t) - 1e-9))
 
 
+def _copies_of_sets(marks: DataFrame) -> DataFrame:
+    """``(id, class)`` of ``marks(id, n, u, v)`` whose n, u and v an earlier one has."""
+    first = marks.groupBy("n", "u", "v").agg(F.min("id").alias("class"), F.count("*").alias("c"))
+    return cut(marks.join(first.where("c > 1").drop("c"), ["n", "u", "v"]).where("id <> class").select("id", "class"))
+
+
 def equal_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, members): ``(id, s, n)`` with each set once, under the smallest of its ids, and ``(id, class)``.
 
     Sets are told apart by 128 bits of hashes and their size; the sets themselves are not shuffled where few are copies.  ``sets`` is written down, its ids are distinct."""
-    marks = cut(sets.select("id", "n", F.xxhash64("s").alias("u"), F.xxhash64(F.lit(1), "s").alias("v")))
-    first = marks.groupBy("n", "u", "v").agg(F.min("id").alias("class"), F.count("*").alias("c"))
-    copies = cut(marks.join(first.where("c > 1").drop("c"), ["n", "u", "v"]).where("id <> class").select("id", "class"))
+    copies = _copies_of_sets(cut(sets.select("id", "n", F.xxhash64("s").alias("u"), F.xxhash64(F.lit(1), "s").alias("v"))))
     classes = sets.join(_small(copies.select("id")), "id", "left_anti")
     return classes, cut(copies.unionAll(classes.select("id", F.col("id").alias("class"))))
 
 
 #: documents that the order of shingles is made from, and how many of them have a shingle that is frequent
-ORDER_SETS, ORDER_LEAST = 20_000, 10
+ORDER_SETS, ORDER_LEAST = 10_000, 5
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -135,35 +195,112 @@ def _frequent(sets: DataFrame) -> np.ndarray:
     Frequencies are those among about ORDER_SETS sets, by hashes of their ids: what is held follows from the two constants, not from the input."""
     n = max(1, sets.count())
     share = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < int(min(1.0, ORDER_SETS / n) * (1 << 30))
-    found = sets.where(share).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= ORDER_LEAST)
+    each = sets.where(share).select(F.explode_outer("s").alias("h")).where("h IS NOT NULL")  # explode() would have s made twice, to see whether it is empty
+    found = each.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= ORDER_LEAST)
     return found.orderBy("f", "h").select("h").toArrow().column("h").to_numpy()
 
 
-def _ordered_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(id, n, h)``: the first n - ceil(t n) + 1 shingles of each set, by _frequent() and else by hash; row by row, without a shuffle."""
-    last = _frequent(sets)
+#: shingles of a set for each that two similar ones must have in common in their prefixes, beyond the first
+SHARED_EACH = 64
+
+
+def _least_shared(n: Column, threshold: float) -> Column:
+    """Shingles of its prefix that a set of n has in common with a similar one's, if that demands no fewer."""
+    return F.least(F.lit(1) + F.floor(n / SHARED_EACH), F.ceil(n * F.lit(threshold) - 1e-9))
+
+
+def set_marks(sets: DataFrame, threshold: float, *others: str, order: np.ndarray | None = None) -> DataFrame:
+    """``(id, *others, n, u, v, p)`` of ``sets(id, s, *others)``: size, 128 bits of hashes and prefix of each set; row by row, without a shuffle, and not written down.
+
+    The prefix is the first n - ceil(t n) + k shingles by ``order``, or _frequent(), and
+    else by hash.  Two similar sets have ceil(t n) shingles in common at least, so the
+    first k of these are in both prefixes; k is a bit more than 1 for larger sets, whose
+    prefixes are met by chance."""
+    last = _frequent(sets) if order is None else order
     by_hash = np.argsort(last, kind="stable")
     known = sets.sparkSession.sparkContext.broadcast((last[by_hash], by_hash.astype(np.int64) + 1))
 
+    def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+        x = h.view(np.uint64) + np.uint64(seed)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
     def run(batches):
         hashes, places = known.value
         for batch in batches:
-            s, n = batch.column("s"), batch.column("n").to_numpy()
-            h, sizes = s.flatten().to_numpy(zero_copy_only=False), np.diff(s.offsets.to_numpy())
-            if not len(h):
-                continue
+            s = batch.column("s")
+            h, starts = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64), s.offsets.to_numpy().astype(np.int64)
+            starts, n = starts - starts[0], np.diff(starts)
+            row = np.repeat(np.arange(len(n)), n)
             place = np.zeros(len(h), np.int64)
-            if len(hashes):
+            if len(hashes) and len(h):
                 at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 place = np.where(hashes[at] == h, places[at], 0)
-            row = np.repeat(np.arange(len(n)), sizes)
-            by = np.lexsort((h, place, row))
-            rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = by[rank < (n - np.ceil(n * threshold - 1e-9) + 1)[row]]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[keep])), pa.array(n[row[keep]]), pa.array(h[keep])], names=["id", "n", "h"])
+            by = np.argsort(row * (len(hashes) + 1) + place, kind="stable")  # a set is sorted by hash
+            least = np.ceil(n * threshold - 1e-9).astype(np.int64)
+            keep = by[np.arange(len(h)) - np.repeat(starts[:-1], n) < (n - least + np.minimum(1 + n // SHARED_EACH, least))[row]]
+            sums = []
+            for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, seed), dtype=np.uint64)])
+                sums.append(pa.array((upto[starts[1:]] - upto[starts[:-1]]).view(np.int64)))
+            p = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)), pa.array(h[keep]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", *others)], pa.array(n), *sums, p], names=["id", *others, "n", "u", "v", "p"])
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "n", "s").mapInArrow(run, f"id {kind}, n long, h long")
+    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("id", *others))
+    return sets.select("id", *others, "s").mapInArrow(run, f"{kinds}, n long, u long, v long, p array<long>")
+
+
+def _ordered_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(id, n, h)``: a row for each shingle of set_marks()'s prefixes."""
+    return set_marks(sets, threshold).select("id", "n", F.explode("p").alias("h"))
+
+
+#: bits that tell whether a shingle is in two prefixes, at most; as many for each such shingle
+MET_BITS, MET_EACH = 1 << 27, 16
+
+
+def _met_prefixes(marks: DataFrame) -> DataFrame:
+    """``(h, f, id, n)``: shingles of prefixes ``p`` that others have too, but for chance; f is how many, if more than TILE have it, else 1.
+
+    Counted by 32 of their bits.  What is met is a bitmap of bounded size, so prefixes go
+    through it where they are, and only the few that remain are shuffled."""
+    met = cut(marks.select(F.explode("p").alias("h")).groupBy(F.shiftright("h", 32).cast("int").alias("g")).agg(F.count("*").alias("f")).where("f > 1"))
+    size = min(MET_BITS, max(1 << 15, 1 << (MET_EACH * met.count()).bit_length()))
+    x = F.col("g").bitwiseAND(size - 1)
+    blocks = met.groupBy(F.shiftright(x, 15).alias("block")).agg(F.bitmap_construct_agg(x.bitwiseAND((1 << 15) - 1).cast("long")).alias("bits")).toArrow()
+    bits = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for block, part in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist(), strict=True):
+        bits[block] = np.frombuffer(part, np.uint8)
+    known = marks.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def run(batches):
+        for batch in batches:
+            p = batch.column("p")
+            h = p.flatten().to_numpy(zero_copy_only=False)
+            at = (h >> 32) & (size - 1)
+            keep = np.flatnonzero(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = pa.array(np.repeat(np.arange(len(p)), np.diff(p.offsets.to_numpy()))[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), batch.column("id").take(row), batch.column("n").take(row)], names=["h", "id", "n"])
+
+    rows = marks.select("id", "n", "p").mapInArrow(run, f"h long, id {marks.schema['id'].dataType.simpleString()}, n long")
+    hot = cut(met.where(F.col("f") > TILE))
+    if hot.isEmpty():
+        return rows.withColumn("f", F.lit(1).cast("long"))
+    return rows.withColumn("g", F.shiftright("h", 32).cast("int")).join(_small(hot), "g", "left").withColumn("f", F.coalesce("f", F.lit(1))).drop("g")
+
+
+def classes_of(marks: DataFrame, sets: Sets, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """similar_classes() of the ``sets`` that have a row in ``marks``, which are written down; others have no part.
+
+    Sets that have a candidate are asked for again; they need not be stored."""
+    copies = _copies_of_sets(marks.select("id", "n", "u", "v"))
+    classes = marks.join(_small(copies.select("id")), "id", "left_anti")
+    met = _met_prefixes(classes)
+    left, right = met.select("h", "f", F.col("id").alias("a"), F.col("n").alias("na")), met.select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
+    shared = dealt_join(left, right, ["h"], "b", count="f").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", threshold)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    candidates = shared.where(F.col("k") >= F.least(*[_least_shared(F.col(n), threshold) for n in ("na", "nb")]))
+    return cut(_verified(candidates, sets, sets, threshold)), cut(copies.unionAll(classes.select("id", F.col("id").alias("class"))))
 
 
 def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
@@ -174,14 +311,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.85) -> tuple[DataFrame
     the sets themselves.  Copies are never paired with each other, however many there are."""
     bound_batches(sets.sparkSession)
     t = check_threshold(threshold)
-    classes, member = equal_classes(sets)
-    rare = classes.where("n > 0")
-    prefix = cut(_ordered_prefixes(rare, t))
-    met = cut(prefix.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
-    prefix = cut(prefix.join(_small(met), "h"))
-    left, right = prefix.select("h", "f", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
-    candidates = dealt_join(left, right, ["h"], "b", count="f").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", t)).select("a", "b").distinct()
-    return cut(_verified(candidates, rare, rare, t)), member
+    return classes_of(cut(set_marks(sets, t)), sets, t)
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -197,11 +327,15 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def near_duplicates(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``(id)`` that a scan in order of ids drops, as greedy_removal() of all pairs would.
+    """``(id)`` that a scan in order of ids drops, as greedy_removal() of all pairs would."""
+    return dropped_of(*similar_classes(sets, threshold))
+
+
+def dropped_of(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """``(id)`` that a scan drops, from the pairs and members of similar_classes().
 
     Of equal sets only the first can stay: if it is dropped for a kept earlier row, so
     are the others, and else they are for it.  So only the first takes part in rounds."""
-    pairs, member = similar_classes(sets, threshold)
     return greedy_removal(pairs).unionAll(member.where(F.col("id") != F.col("class")).select("id")).distinct()
 
 
@@ -226,7 +360,7 @@ def cross_similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.
     common = shared_shingles(left, right)
     a = _prefixes(left, common, t).select("h", "f", F.col("id").alias("a"), F.col("n").alias("na"))
     b = _prefixes(right, common, t).select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
-    candidates = dealt_join(b, a, ["h"], "a", count="f").where(_close_sizes("na", "nb", t)).select("a", "b").distinct()
+    candidates = dealt_join(b, a, ["h"], "a", count="f").where(_close_sizes("na", "nb", t)).select("a", "b", "na", "nb").distinct()
     empty = left.where("n = 0").select(F.col("id").alias("a"), "n").join(right.where("n = 0").select(F.col("id").alias("b"), "n"), "n").select("a", "b", F.lit(1.0).alias("jaccard"))
     return _verified(candidates, left, right, t).unionAll(empty)
 

@@ -57,16 +57,16 @@ class SimilarityIndex:
         return ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(self.threshold) - 1e-9) + 1).select("h", "id", "n")
 
     def _met(self, new: DataFrame, old: DataFrame) -> DataFrame:
-        """``(a, b)``, a of ``old``, b of ``new``: sets that share a prefix shingle and are near in size.
+        """``(a, b, na, nb)``, a of ``old``, b of ``new``: sets that share a prefix shingle and are near in size.
 
         The index is read by its buckets and not shuffled; shingles that very many of its sets have are dealt out."""
         hot = cut(old.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > dedup.TILE).select("h"))
         left, right = new.select("h", F.col("id").alias("b"), F.col("n").alias("nb")), old.select("h", F.col("id").alias("a"), F.col("n").alias("na"))
         near = dedup._close_sizes("na", "nb", self.threshold)
         if hot.isEmpty():
-            return left.join(right, "h").where(near).select("a", "b")
+            return left.join(right, "h").where(near).select("a", "b", "na", "nb")
         plain = left.join(hot, "h", "left_anti").join(right, "h").where(near)
-        return plain.select("a", "b").unionAll(dedup.dealt_join(left.join(hot, "h", "left_semi"), right.join(hot, "h", "left_semi"), ["h"], "a").where(near).select("a", "b"))
+        return plain.select("a", "b", "na", "nb").unionAll(dedup.dealt_join(left.join(hot, "h", "left_semi"), right.join(hot, "h", "left_semi"), ["h"], "a").where(near).select("a", "b", "na", "nb"))
 
     def add(self, rows: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Adds a batch; ``(pairs, members, dropped)`` that it brings, written down.

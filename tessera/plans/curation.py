@@ -314,15 +314,13 @@ def _copies(keyed: DataFrame) -> DataFrame:
     return cut(keyed.join(first, "key").where("id <> first").select("id", "first"))
 
 
-def _sets_and_copies(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(id, s, n) of distinct texts, and their copies; keys and shingles come from one read, and no text is shuffled."""
-    read = cut(docs(spark, sf).select(F.col("doc_id").alias("id"), _key(), text.shingle_hashes(F.col("text"), 4).alias("s")))
-    copies = _copies(read.select("id", "key"))
-    return read.join(dedup._small(copies.select("id")), "id", "left_anti").select("id", "s", F.size("s").cast("long").alias("n")), copies
-
-
-def _distinct_sets(spark, sf):
-    return _sets_and_copies(spark, sf)[0]
+def _near_classes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs and members of classes of distinct texts, as dedup.similar_classes() has them, and copies of texts; neither texts nor their sets are written down."""
+    rows, s = docs(spark, sf).withColumnRenamed("doc_id", "id"), text.shingle_hashes(F.col("text"), 4).alias("s")
+    sets = lambda ids: rows.join(ids, "id", "left_semi").select("id", s)
+    marks = cut(dedup.set_marks(rows.select("id", _key(), s), THRESHOLD, "key"))
+    copies = _copies(marks.select("id", "key"))
+    return *dedup.classes_of(marks.join(dedup._small(copies.select("id")), "id", "left_anti"), sets, THRESHOLD), copies
 
 
 def _with_members(pairs: DataFrame, members: DataFrame, copies: DataFrame) -> DataFrame:
@@ -335,8 +333,7 @@ def _with_members(pairs: DataFrame, members: DataFrame, copies: DataFrame) -> Da
 
 def near_dup_pairs(spark, sf):
     """Similar pairs between classes of equal shingles, and the members of each, every document: copies are not paired with each other."""
-    sets, copies = _sets_and_copies(spark, sf)
-    return _with_members(*dedup.similar_classes(sets, THRESHOLD), copies)
+    return _with_members(*_near_classes(spark, sf))
 
 
 _SETS_SQL = f"""
@@ -364,7 +361,8 @@ SELECT 'pair' AS kind, a, b, jaccard FROM p WHERE a IN (SELECT class FROM m) AND
 
 def near_dup_greedy(spark, sf):
     """Documents a scan by id drops for a kept earlier neighbour."""
-    return dedup.near_duplicates(_distinct_sets(spark, sf), THRESHOLD).select(F.col("id").alias("doc_id"))
+    pairs, members, _ = _near_classes(spark, sf)
+    return dedup.dropped_of(pairs, members).select(F.col("id").alias("doc_id"))
 
 
 # the scan itself, a document with an earlier neighbour at a time
@@ -409,6 +407,8 @@ def minhash_pairs(spark, sf):
     sets, copies = _numbered_sets(spark, sf)
     classes, members = dedup.equal_classes(sets)
     candidates = dedup.minhash_candidates(cut(dedup.minhash(classes)))
+    for side in "ab":
+        candidates = candidates.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}")), side)
     return _with_members(dedup._verified(candidates, classes, classes, THRESHOLD), members, copies)
 
 

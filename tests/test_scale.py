@@ -197,3 +197,50 @@ def test_runs_that_were_lost_leave_nothing(spark, tmp_path):
     index._append(spark.createDataFrame([(1, [5], 1, True)], "id long, s array<long>, n long, kept boolean"), "sets", "a run that ended here")
     assert [r["id"] for r in index.add(df, "i", F.col("t"))[2].collect()] == [2]
     assert index.table("sets").count() == 1
+
+
+def copies_of(rng, groups, each, size, changed):
+    """Sets that are alike in groups, as (id, s, n), and the pairs at 0.85 or more by brute force."""
+    sets = []
+    for _ in range(groups):
+        base = rng.sample(range(10**6), size)
+        for _ in range(each):
+            sets.append(frozenset([*base[: size - changed], *rng.sample(base[size - changed :], rng.randint(0, changed)), *rng.sample(range(10**6), rng.randint(0, changed))]))
+    pairs = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) / len(a | b) >= 0.85}
+    return [(i, sorted(s), len(s)) for i, s in enumerate(sets)], pairs
+
+
+@pytest.mark.parametrize("cell", [1 << 10, 6])
+def test_similar_sets_are_moved_once(spark, monkeypatch, cell):
+    """Sets of some hundred shingles, whose prefixes must share several: every pair is found, and a set is moved about once, not for each candidate; dealt out where many meet."""
+    rows, want = copies_of(random.Random(5), 6, 14, 300, 24)
+    moved, compared = [], dedup._compared
+    monkeypatch.setattr(dedup, "CELL_SETS", cell)
+    monkeypatch.setattr(dedup, "_compared", lambda cells, t: (moved.append(cells.select(F.size("x")).groupBy().agg(F.sum("size(x)"), F.max("size(x)")).first()), compared(cells, t))[1])
+    pairs, _ = dedup.similar_classes(spark.createDataFrame(rows, "id long, s array<long>, n long"), 0.85)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and 100 < len(want) < 6 * 14 * 13 / 2
+    (total, most) = moved[0]
+    assert total <= 1.2 * len(rows) if cell > 100 else most < 14 and total <= 8 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["near_dup_greedy", "near_dup_pairs"])
+def test_sets_of_texts_are_not_written_down(spark, tmp_path, monkeypatch, name):
+    """Neither texts nor whole sets go to the checkpoint folder, and what is written follows the prefixes."""
+    from tessera.plans import curation
+    from tests.compare import differences, duck_rows
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(base[: 190 + rng.randrange(10)]), " ".join([*base[:150], "odd", *base[150:]])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    for module in (dedup, curation):
+        monkeypatch.setattr(module, "cut", lambda df, f=module.cut: (written.append(df), f(df))[1])
+    got = [r.asDict() for r in getattr(curation, name)(spark, str(tmp_path)).collect()]
+    assert got and differences(got, duck_rows(getattr(curation, name.upper()), str(tmp_path))) is None
+    arrays = [(df, f.name) for df in written for f in df.schema if "array" in f.dataType.simpleString()]
+    assert not any(f.name == "text" for df in written for f in df.schema)
+    assert [c for _, c in arrays] == ["p"]
+    assert sum(r["k"] for r in arrays[0][0].select(F.size("p").alias("k")).collect()) < 0.25 * 200 * len(texts)
