@@ -60,11 +60,6 @@ def shingle_sets(rows: DataFrame, id_col: str, text: Column, size: int = 4) -> D
     return cut(rows.select(F.col(id_col).alias("id"), shingle_hashes(text, size).alias("s"))).withColumn("n", F.size("s").cast("long"))
 
 
-def _common(sets: DataFrame) -> DataFrame:
-    """``(h, f)``: shingles of two sets or more and of how many."""
-    return cut(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
-
-
 def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
     """Of the rarest n - ceil(t n) + 1 shingles of each set those that are in ``common``: two sets that are similar share one of them.
 

@@ -378,7 +378,8 @@ SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM g ORDER BY k DESC LIMIT 1)
 def near_dup_batches(spark, sf):
     """What near_dup_greedy drops, found in two batches: the later documents meet the stored index of the earlier ones."""
     rows = docs(spark, sf).select("doc_id", "text")
-    first = cut(dedup.exact_duplicates(rows, text.normalize_text(F.col("text")), "doc_id").where("NOT is_duplicate").select("doc_id", "text"))
+    copies = cut(dedup.duplicate_marks(rows, text.normalize_text(F.col("text")), "doc_id").where("is_duplicate").select("doc_id").distinct())
+    first = rows.join(dedup._small(copies), "doc_id", "left_anti")  # the texts stay where they are
     middle = first.agg(F.avg("doc_id")).first()[0] or 0.0
     name = f"near_{uuid.uuid4().hex}"
     index = SimilarityIndex(spark, name, f"{own_folder(spark, 'index')}/{name}", THRESHOLD)

@@ -244,3 +244,25 @@ def test_sets_of_texts_are_not_written_down(spark, tmp_path, monkeypatch, name):
     assert not any(f.name == "text" for df in written for f in df.schema)
     assert [c for _, c in arrays] == ["p"]
     assert sum(r["k"] for r in arrays[0][0].select(F.size("p").alias("k")).collect()) < 0.25 * 200 * len(texts)
+
+
+def test_an_index_holds_prefixes_and_texts_not_sets(spark, tmp_path, monkeypatch):
+    """Sets of whole texts are neither stored nor written on the way; links across batches that need several shared shingles are found."""
+    from tessera.operators import similarity_index
+
+    rng, texts = random.Random(4), []
+    for _ in range(10):
+        base = [f"w{rng.randrange(5000)}" for _ in range(260)]
+        texts += [" ".join(base), " ".join(base[: 245 + rng.randrange(15)]), " ".join([*base[:200], "odd", *base[200:]]), " ".join(base)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    want = {r["id"] for r in dedup.near_duplicates(dedup.shingle_sets(df, "i", F.col("t")), 0.85).collect()}
+    written = []
+    for module in (dedup, similarity_index):
+        monkeypatch.setattr(module, "cut", lambda d, f=module.cut: (written.append([x.name for x in d.schema if "array" in x.dataType.simpleString()]), f(d))[1])
+    index = SimilarityIndex(spark, "slim", f"{tmp_path}/index", buckets=2)
+    gone = [index.add(df.where(part), "i", F.col("t"))[2] for part in ("i < 20", "i >= 20")]
+    assert {r["id"] for g in gone for r in g.collect()} == want != set()
+    assert sum(written, []) == ["p", "p"]  # a batch's prefixes
+    assert index.table("sets").columns == ["id", "n", "kept"] and index.table("texts").count() == index.table("sets").count() < 40
+    assert index.table("prefixes").count() < 0.25 * 260 * 40
